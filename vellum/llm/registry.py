@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from vellum.llm import exact_dedup, packing
+from vellum.llm import exact_dedup, mixing, near_join, packing, quality
 
 
 def queries() -> dict:
     return {
+        "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op7_mixing": mixing.op7_mixing,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op10_near_join": near_join.op10_near_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op7_mixing": mixing.OP7_SQL}
