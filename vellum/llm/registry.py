@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import exact_dedup, mixing, near_join, packing, quality
+from vellum.llm import exact_dedup, html_text, mixing, near_join, packing, quality, vector_search
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_text.op1_html_extraction,
+        "op2_vector_search": vector_search.op2_vector_search,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_mixing": mixing.op7_mixing,
