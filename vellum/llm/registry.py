@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vellum.llm import exact_dedup, html_text, mixing, near_join, packing, quality, vector_search
+from vellum.llm import exact_dedup, html_text, mixing, near_join, ngram_lm, packing, quality, vector_search
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_text.op1_html_extraction,
         "op2_vector_search": vector_search.op2_vector_search,
+        "op3_ngram_lm": ngram_lm.op3_ngram_lm,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_mixing": mixing.op7_mixing,
