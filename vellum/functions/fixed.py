@@ -111,11 +111,12 @@ LANGUAGE_WEIGHTS = {
     "lure": (1.1, 0.6), "advancefee": (1.3, 0.9), "social": (1.0, 0.5), "extortion": (1.5, 1.0),
 }
 
-#: Stop words by which a language is told, and the ratio that it needs.
+#: Stop words by which a language is told, and the share of all words that they must exceed; ties go to the earlier language.
+#: Words with accents never match, because words are runs of ASCII word characters; they are kept as the list has them.
 STOP_WORDS = {
-    "en": ("the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up out if about who get which go me".split(), 0.20),
-    "es": ("el la de que y a en un ser se no haber por con su para como estar tener le lo todo pero más hacer o poder decir este ir otro ese si me ya ver porque dar cuando él muy sin vez mucho saber qué sobre mi alguno mismo".split(), 0.25),
-    "fr": ("le la de et être un avoir que pour dans ce il qui ne sur se pas plus par je avec tout faire son mettre autre on mais nous comme ou si leur y dire elle devoir avant deux même prendre aussi celui".split(), 0.25),
-    "de": ("der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis".split(), 0.25),
+    "en": ("the and is to of a in that have it for not on with he as you do at this be are was were been will would could should can may might must shall has had did does doing done".split(), 0.2),
+    "es": ("el la de que y a en un ser se no haber por con su para como estar tener".split(), 0.25),
+    "fr": ("le de et à un il être avoir ne je son que se qui ce dans en du elle au".split(), 0.25),
+    "de": ("der die und in den von zu das mit sich des auf für ist im dem nicht ein eine".split(), 0.25),
 }
 FEWEST_WORDS = 10
