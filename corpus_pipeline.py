@@ -36,7 +36,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's prefix within its budget stays."""
-    return mix(docs, mixing_plan(docs, max_epochs=MAX_EPOCHS)).select(*docs.columns)
+    return mix(docs, mixing_plan(docs, max_epochs=MAX_EPOCHS)).select("_doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

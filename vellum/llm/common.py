@@ -106,5 +106,10 @@ def ranked(df: DataFrame, group: list[str], order: Column, total: int, add: Colu
     )
 
 
+def packed(docs: DataFrame, name: str = "_doc") -> DataFrame:
+    """docs as one struct column, so that no column of theirs can clash with an operator's own; unpack with select("_doc.*")."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

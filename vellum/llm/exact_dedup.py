@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import attach, cut
+from vellum.llm.common import attach, cut, packed
 
 #: Slots of the repeat filter for each row.
 SLOTS_PER_ROW = 16
@@ -90,16 +90,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = exact_groups(docs, id_col, text_col)
     dropped = groups.where("row <> keep_row").select(F.col("id").alias("_id"), F.hex("digest").alias("_digest"), (F.col("id").eqNullSafe(F.col("keep_id"))).alias("_same"))
     dropped = cut(dropped.groupBy("_id", "_digest").agg(F.bool_or("_same").alias("_same")), "dedup-dropped")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_digest_", F.upper(F.sha2(F.translate(text, WHITE, ""), 256)))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest_") == F.col("_digest"))
-    kept = keyed.join(dropped.where("NOT _same"), on, "left_anti").join(dropped.where("_same"), on, "left_anti")
+    text = F.coalesce(F.col(f"_doc.{text_col}").cast("string"), F.lit(""))
+    keyed = packed(docs).withColumns({"_own": F.col(f"_doc.{id_col}").cast("long"), "_sha": F.upper(F.sha2(F.translate(text, WHITE, ""), 256))})
+    on = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest"))
+    kept = keyed.join(dropped, on, "left_anti")
     # rows repeated with one doc_id: rare, so they alone are ranked to leave exactly one
-    length = F.length(text)
     again = keyed.join(dropped.where("_same").select("_id", "_digest"), on, "left_semi")
-    one = Window.partitionBy(id_col, "_digest_").orderBy(F.desc(length), F.xxhash64(text), F.monotonically_increasing_id())
-    first = again.withColumn("_n_", F.row_number().over(one)).where("_n_ = 1").drop("_n_")
-    return kept.unionByName(first).select(*docs.columns)
+    one = Window.partitionBy("_own", "_sha").orderBy(F.desc(F.length(text)), F.xxhash64(text), F.monotonically_increasing_id())
+    first = again.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return kept.unionByName(first).select("_doc.*")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

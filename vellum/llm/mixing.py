@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import attach, cut, ranked, table
+from vellum.llm.common import attach, cut, packed, ranked, table
 
 SEED = 17
 #: Target weights, whole numbers: any domain, language or source that is not named weighs 1.
@@ -40,13 +40,13 @@ def domain_of(source: Column) -> Column:
 
 
 def leaves_of(docs: DataFrame) -> DataFrame:
-    """docs with the columns _domain, _lang, _source, _leaf and _tokens."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit("(none)"))
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("(none)"))
-    return docs.withColumns({
+    """_doc (the document's columns), _domain, _lang, _source, _leaf and _tokens of docs."""
+    source = F.coalesce(F.col("_doc.source").cast("string"), F.lit("(none)"))
+    lang = F.coalesce(F.col("_doc.lang").cast("string"), F.lit("(none)"))
+    return packed(docs).withColumns({
         "_domain": domain_of(source), "_lang": lang, "_source": source,
         "_leaf": F.concat_ws(SEPARATOR, domain_of(source), lang, source),
-        "_tokens": F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
+        "_tokens": F.regexp_count(F.coalesce(F.col("_doc.text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
     })
 
 
@@ -98,7 +98,7 @@ def mixing_plan(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int
     """One row per leaf: leaf, domain, lang, source, tokens, n, budget, epochs (whole ones) and stop (first digest left out; null: none)."""
     weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
     rows = leaves_of(docs).select(
-        F.col("doc_id").cast("string").alias("id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"),
+        F.col("_doc.doc_id").cast("string").alias("id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"),
         F.col("_source").alias("source"), F.col("_leaf").alias("leaf"), F.col("_tokens").alias("n_tokens"),
     )
     rows = cut(rows, "mixing-rows")
@@ -123,10 +123,10 @@ def digest(epoch: Column, doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with _leaf, _tokens and epoch: a row for each epoch in which a document is taken."""
+    """_doc (the document's columns), _domain, _lang, _source, _leaf, _tokens and epoch: a row for each epoch in which a document is taken."""
     total = plan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     named = attach(leaves_of(docs), plan.select(F.col("leaf").alias("_leaf"), F.col("n").alias("_n"), F.col("epochs").alias("_epochs"), F.col("stop").alias("_stop")), "_leaf", "_n", total)
-    extra = F.col("_stop").isNull() | (digest(F.col("_epochs"), F.col("doc_id"), seed) < F.col("_stop"))
+    extra = F.col("_stop").isNull() | (digest(F.col("_epochs"), F.col("_doc.doc_id"), seed) < F.col("_stop"))
     times = F.col("_epochs") + F.when(extra, 1).otherwise(0)
     return named.withColumn("_times", times).where("_times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
 
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     taken = mix(docs, mixing_plan(docs))
-    return taken.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), "epoch")
+    return taken.select("_doc.doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), "epoch")
 
 
 def _cases(name: str, weights: dict[str, int]) -> str:

@@ -209,11 +209,14 @@ def draw_all(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """docs with text rewritten and n_entities; only texts with entities are shuffled."""
-    text = F.col(text_col).cast("string")
+    """docs with text rewritten and n_entities (in place of a column of that name); only texts with entities are shuffled."""
+    kept = [c for c in docs.columns if c not in (text_col, "n_entities")]
+    text = F.col("_text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
-    untouched = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long"))
-    hit = docs.where(has).withColumns({
+    shown = ["_doc.*", F.col("_text").alias(text_col), F.col("_n").alias("n_entities")]
+    untouched = rows.where(~has).withColumn("_n", F.lit(0).cast("long"))
+    hit = rows.where(has).withColumns({
         "_row": F.monotonically_increasing_id(),
         "_found": F.regexp_extract_all(text, F.lit(ANY), F.lit(0)),
         "_pieces": F.split(text, ANY, -1),
@@ -231,8 +234,8 @@ def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text") ->
     lists = named.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "new"))), lambda s: s["new"]).alias("_new"))
     joined = hit.join(lists, "_row")
     mixed = F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.get("_new", i), F.lit(""))))
-    done = joined.withColumn(text_col, F.array_join(mixed, "")).withColumn("n_entities", F.size("_new").cast("long"))
-    return untouched.unionByName(done.select(*untouched.columns))
+    done = joined.select("_doc", F.array_join(mixed, "").alias("_text"), F.size("_new").cast("long").alias("_n"))
+    return untouched.unionByName(done).select(*shown)
 
 
 def op9_surrogates(spark, sf_dir: str) -> DataFrame:
