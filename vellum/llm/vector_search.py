@@ -9,9 +9,9 @@ precision on the original vectors.
 
 Centroids are fitted on at most SAMPLE vectors; every vector is indexed. The number of lists that a
 query probes is the smallest whose recall on a bounded set of sample queries reaches TARGET, measured
-by brute force over the sample. A list of many vectors is cut into chunks of CHUNK, each searched by a
-task of its own with the queries that probe the list; a query's chunks are merged by a bounded heap
-of K per chunk.
+by brute force over the sample. A list of many vectors is cut into chunks of CHUNK. A task streams a
+shard of the chunks past a block of queries and keeps each query's best K so far, whose last is the bound for
+the next chunk; a query's shards are merged at the end.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do vectors of another width than most; rows repeated with one id are each candidates, except for
@@ -36,6 +36,8 @@ SAMPLE, SAMPLE_QUERIES = 16384, 200
 #: Vectors a list aims at, and most lists.
 LIST_SIZE, MOST_LISTS = 512, 65536
 CHUNK = 4096
+#: Queries that a block aims at, and shards that the lists' chunks are dealt into.
+QUERIES, SHARDS = 1024, 16
 BLOCK = 16
 EPSILON = 2.1
 TARGET = 0.96
@@ -143,101 +145,141 @@ def scan(q: np.ndarray, y: np.ndarray, heap: np.ndarray) -> tuple[np.ndarray, np
     return alive_q, alive_c
 
 
-def searched(rows: DataFrame, index: Index, k: int) -> DataFrame:
-    """query_id, vec_id, score: the best k of each query in each chunk. rows: list, chunk, is_query, id, vec, sorted, candidates first."""
-    shared = rows.sparkSession.sparkContext.broadcast(index)  # at most MOST_LISTS centroids
-
-    def one(c: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        ix = shared.value
-        x, xi = matrix(c["vec"]), c["id"].to_numpy()
-        y = ix.placed(x)
-        out = []
-        for a in range(0, len(queries), 128):
-            part = queries.iloc[a : a + 128]
-            v, vi = matrix(part["vec"]), part["id"].to_numpy()
-            q = ix.queries(v)
-            # the k-th distance of a first few candidates bounds the rest
-            first = min(len(y), 4 * k)
-            d = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (y[:first] ** 2).sum(axis=1)[None, :] - 2 * q @ y[:first].T, 0)) ** 2
-            d[vi[:, None] == xi[None, :first]] = np.inf
-            heap = np.partition(d, k - 1, axis=1)[:, k - 1] if first >= k else np.full(len(q), np.inf)
-            qs, cs = [], []
+class Block:
+    """A block of queries with the lists each probes and the best k found so far."""
+
+    def __init__(self, index: Index, rows: pd.DataFrame, k: int) -> None:
+        self.k, self.index = k, index
+        self.vectors, self.ids = matrix(rows["vec"]), rows["id"].to_numpy()
+        self.turned = index.queries(self.vectors)
+        self.square = (self.vectors**2).sum(axis=1) + index.longest**2
+        self.score = np.full((len(rows), k), -np.inf)
+        self.found = np.full((len(rows), k), np.iinfo(np.int64).max)
+        probes = [np.asarray(p, dtype=np.int64) for p in rows["probes"]]
+        lists = np.concatenate(probes)
+        owner = np.repeat(np.arange(len(rows)), [len(p) for p in probes])
+        order = np.argsort(lists, kind="stable")
+        self.names, starts = np.unique(lists[order], return_index=True)
+        self.asking = dict(zip(self.names.tolist(), np.split(owner[order], starts[1:])))
+
+    def bound(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each query's k-th best: the inner product turned into a distance."""
+        return self.square[q] - 2 * self.score[q, -1]
+
+    def search(self, listed: int, x: np.ndarray, xi: np.ndarray) -> None:
+        """Scans candidates of a list for the queries that probe it."""
+        asking = self.asking.get(listed)
+        if asking is None:
+            return
+        y = self.index.placed(x)
+        for a in range(0, len(asking), 256):
+            q = asking[a : a + 256]
             for b in range(0, len(y), 1024):
-                i, j = scan(q, y[b : b + 1024], heap)
-                j = j + b
-                other = vi[i] != xi[j]
+                i, j = scan(self.turned[q], y[b : b + 1024], self.bound(q))
+                i, j = q[i], j + b
+                other = self.ids[i] != xi[j]
                 i, j = i[other], j[other]
-                qs.append(i), cs.append(j)
-                i, j = np.concatenate(qs), np.concatenate(cs)
-                s = np.einsum("ij,ij->i", v[i], x[j])
-                order = np.lexsort((xi[j], -s, i))
-                i, j, s = i[order], j[order], s[order]
-                begin = np.searchsorted(i, np.arange(len(q)))
-                top = np.arange(len(i)) - begin[i] < k
-                i, j, s = i[top], j[top], s[top]
-                qs, cs = [i], [j]
-                full = np.bincount(i, minlength=len(q)) >= k
-                last = np.searchsorted(i, np.arange(len(q)), side="right") - 1
-                if full.any():
-                    f = np.flatnonzero(full)
-                    worst = ((y[j[last[f]]] - q[f]) ** 2).sum(axis=1)
-                    heap[f] = np.minimum(heap[f], worst)
-            out.append(pd.DataFrame({"query_id": vi[i], "vec_id": xi[j], "score": s}))
-        return pd.concat(out, ignore_index=True)
+                if len(i):
+                    self.merge(i, xi[j], np.einsum("ij,ij->i", self.vectors[i], x[j]))
+
+    def merge(self, i: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        rows = np.unique(i)
+        i = np.concatenate([i, np.repeat(rows, self.k)])
+        ids = np.concatenate([ids, self.found[rows].ravel()])
+        score = np.concatenate([score, self.score[rows].ravel()])
+        order = np.lexsort((ids, -score, i))
+        i = i[order]
+        begin = np.searchsorted(i, rows)
+        best = order[(begin[:, None] + np.arange(self.k)).ravel()]
+        self.score[rows], self.found[rows] = score[best].reshape(-1, self.k), ids[best].reshape(-1, self.k)
+
+    def result(self) -> pd.DataFrame:
+        real = np.isfinite(self.score)
+        at = np.nonzero(real)[0]
+        return pd.DataFrame({"query_id": self.ids[at], "vec_id": self.found[real], "score": self.score[real]})
+
+
+def searched(rows: DataFrame, index: Index, k: int) -> DataFrame:
+    """query_id, vec_id, score: the best k of each query in each shard.
+
+    rows: block, shard, list, chunk, id, vec, probes (null for candidates), sorted, queries first.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # at most MOST_LISTS centroids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, held, asked = None, [], []
+        key, asked, block = None, [], None
+        place, held = None, []
 
-        def done() -> Iterator[pd.DataFrame]:
-            if held and asked:
-                yield one(pd.concat(held, ignore_index=True), pd.concat(asked, ignore_index=True))
-            asked.clear()
+        def flush() -> None:
+            if held and block is not None:
+                part = pd.concat(held, ignore_index=True)
+                block.search(place[0], matrix(part["vec"]), part["id"].to_numpy())
+            held.clear()
 
         for batch in batches:
-            for key, group in batch.groupby(["list", "chunk"], sort=False):
-                if key != chunk:
-                    yield from done()
-                    held.clear()
-                    chunk = key
-                own = group[group["is_query"] == 0]
-                if len(own):
-                    held.append(own)
-                ask = group[group["is_query"] == 1]
-                if len(ask):
-                    asked.append(ask)
-                    if sum(map(len, asked)) >= 2048:  # candidates come first, so they are all there
-                        yield from done()
-        yield from done()
+            for now, group in batch.groupby(["block", "shard"], sort=False):
+                if now != key:
+                    flush()
+                    if block is not None:
+                        yield block.result()
+                    key, block, place = now, None, None
+                    asked.clear()
+                ask = group["probes"].notna().to_numpy()
+                if ask.any():
+                    asked.append(group[ask])
+                if ask.all():
+                    continue
+                if block is None and asked:
+                    block = Block(shared.value, pd.concat(asked, ignore_index=True), k)
+                    asked.clear()
+                for at, part in group[~ask].groupby(["list", "chunk"], sort=False):
+                    if at != place:
+                        flush()
+                        place = at
+                    held.append(part)
+        flush()
+        if block is not None:
+            yield block.result()
 
     return rows.mapInPandas(run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score of usable vectors and queries (id, vec)."""
+    """query_id, rank, vec_id, score of usable vectors and queries (id, vec).
+
+    Queries are dealt into blocks of about QUERIES, chunks of lists into SHARDS shards. A task holds one block's queries and
+    streams one shard's chunks past them, so its memory is bounded, a bound found in one list prunes the next, and a
+    query yields at most SHARDS * k rows however many lists it probes.
+    """
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(index)
 
-    def lists_of(batches: Iterator[pd.DataFrame], n: int, ask: bool) -> Iterator[pd.DataFrame]:
-        ix = shared.value
+    def placed_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 part = batch.iloc[a : a + 2048]
-                x = matrix(part["vec"])
-                own = ix.nearest(ix.queries(x) if ask else ix.placed(x), n)
-                at = np.repeat(np.arange(len(part)), own.shape[1])
-                yield pd.DataFrame({"list": own.ravel().astype(np.int32), "id": part["id"].to_numpy()[at], "vec": part["vec"].to_numpy()[at]})
-
-    shape = "list int, id long, vec array<double>"
-    placed = cut(vectors.mapInPandas(lambda b: lists_of(b, 1, False), shape), "vector-lists")
-    sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    bounded = F.broadcast(sizes.select("list", "chunks"))  # at most MOST_LISTS rows
-    own = placed.join(bounded, "list").select("list", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("is_query"), "id", "vec")
-    asked = (
-        queries.mapInPandas(lambda b: lists_of(b, index.probes, True), shape).join(bounded, "list")
-        .select("list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(1).alias("is_query"), "id", "vec")
-    )
-    parts = parallelism(spark)
-    rows = own.unionByName(asked).repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk", "is_query", "id")
+                own = shared.value.nearest(shared.value.placed(matrix(part["vec"])), 1)[:, 0]
+                yield pd.DataFrame({"list": own.astype(np.int32), "id": part["id"].to_numpy(), "vec": part["vec"].to_numpy()})
+
+    def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                part = batch.iloc[a : a + 1024]
+                own = shared.value.nearest(shared.value.queries(matrix(part["vec"])), shared.value.probes)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "probes": list(own.astype(np.int32))})
+
+    placed = cut(vectors.mapInPandas(placed_in, "list int, id long, vec array<double>"), "vector-lists")
+    asked = cut(queries.mapInPandas(asking, "id long, vec array<double>, probes array<int>"), "vector-queries")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    chunked = placed.join(F.broadcast(sizes), "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))  # sizes: at most MOST_LISTS rows
+    wanted = asked.select(F.explode("probes").alias("list"), "block").distinct()
+    shard = F.pmod(F.xxhash64("list", "chunk"), F.lit(SHARDS)).cast("int")
+    own = chunked.join(wanted, "list").select("block", shard.alias("shard"), "list", "chunk", "id", "vec", F.lit(None).cast("array<int>").alias("probes"))
+    every = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("shard"), F.lit(-1).alias("list"), F.lit(0).alias("chunk"), "id", "vec", "probes")
+    parts = max(parallelism(spark), min(blocks * SHARDS, 4096))
+    rows = own.unionByName(every).repartition(parts, "block", "shard").sortWithinPartitions("block", "shard", "list", "chunk", "id")
     found = searched(rows, index, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
