@@ -135,3 +135,37 @@ def test_csv_and_uuid(spark):
 
     assert value(spark, export.csv_cell(F.col("x")), x='=SUM(A1,"b")') == '"\'=SUM(A1,""b"")"'
     assert value(spark, export.uuid5(F.col("x")), x="abc") == str(uuid.uuid5(export.STIX_SPACE, "abc"))
+
+
+def test_pasted(spark):
+    from vellum.functions import pasted
+
+    c = F.col("x")
+    got = lambda x: value(spark, pasted.to_bytes(c), x=x)
+    assert [bytes(got(x)["bytes"]) for x in ("4d 5a 90 00", "0x4d,0x5a", r"\x4d\x5a", "4d:5a")] == [b"MZ\x90\0", b"MZ", b"MZ", b"MZ"]
+    assert bytes(got("00000000  4d 5a 90 00  |MZ..|")["bytes"]) == b"MZ\x90\0"
+    assert bytes(got("aGVsbG8gd29ybGQ")["bytes"]) == b"hello world" and bytes(got("data:text/plain;base64,aGVsbG8=")["bytes"]) == b"hello"
+    assert got("abc")["error"] and got("")["error"] and got("not base64!")["error"]
+
+
+def test_summary(spark):
+    from vellum.operators import summary
+
+    c = F.col("x")
+    assert [value(spark, summary.lookup_target(c), x=x) for x in ("Example.com", "8.8.8.8", "10.0.0.1", "http://a.b", "-bad.com")] == ["example.com", "8.8.8.8", None, None, None]
+    got = value(spark, summary.policy(F.lit("v=DMARC1; p=reject"), F.lit("v=spf1 mx ~all"), F.array(F.lit("mx.a.test"))), x=1)
+    assert tuple(got) == ("ok", "warn", True)
+    assert [value(spark, summary.abuse_class(F.col("x")), x=n) for n in (50, 25, 0)] == ["malicious", "suspicious", "clean"]
+
+
+def test_hidden_layers(spark):
+    import base64
+
+    from vellum.operators import pages
+
+    inner = base64.b64encode(b"<form action='https://x.test'><input type=password>" + b" " * 80).decode()
+    file = base64.b64encode(bytes(range(128)) * 2).decode()
+    page = f'<a download="inv.zip">x</a><script>atob("{inner}"); atob("{file}")</script>'
+    got = spark.createDataFrame([(1, page), (2, "<p>plain</p>"), (3, None)], "id long, html string")
+    rows = pages.hidden(got, "id", "html").orderBy("ord").collect()
+    assert [(r["is_text"], r["password_form"], r["name"]) for r in rows] == [(True, True, None), (False, False, "inv.zip")]

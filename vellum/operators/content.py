@@ -124,13 +124,11 @@ def destinations(rows: DataFrame, key: list[str], page: str) -> DataFrame:
     return best.withColumn("exfil", exfil_service(F.col("url"), F.col("use").isin(SENDING)))
 
 
-def saved_names(page: Column) -> Column:
-    """File names that a page's code writes."""
-    return F.array_distinct(F.regexp_extract_all(page, F.lit(r"""(?i)(?:download\s*=\s*|setAttribute\s*\(\s*["']download["']\s*,\s*|msSaveOrOpenBlob\s*\([^,]+,\s*)["']([^"']+)["']"""), F.lit(1)))
-
-
 def looks_like_html(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"(?i)<(?:html|body|div|p|a|table|form|script|head|meta|img|span)(?![A-Za-z0-9_])")) >= 3, F.lit(False))
+    """HTML whatever its label says: a document tag, or four usual tags, near the beginning."""
+    head = F.substring(text, 1, 4000)
+    tags = F.regexp_count(head, F.lit(r"(?i)</?(?:div|table|p|a|span|td|tr|img|br)(?![A-Za-z0-9_])"))
+    return F.coalesce(head.rlike(r"(?i)<(?:!doctype\s+html|html|body)(?![A-Za-z0-9_])") | (tags >= 4), F.lit(False))
 
 
 def has_password_form(page: Column) -> Column:

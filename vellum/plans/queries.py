@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import domains, fixed, ips, text, urls
-from vellum.operators import auth, content, correlate, export, identity, iocs, language, score
+from vellum.operators import auth, content, correlate, export, identity, iocs, language, pages, score, summary
 from vellum.plans import messages as mail
 from vellum.plans.messages import ctes
 
@@ -527,3 +527,71 @@ SELECT cust, count(*) AS n, count(*) FILTER (spf = 'fail') AS fails, arg_max(spf
 def msg_spf_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _messages(spark, sf_dir)
     return m.groupBy("cust").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("spf") == "fail").alias("fails"), F.max_by("spf", "message_id").alias("latest"))
+
+
+@query("msg_sender_authenticity", A_SQL + """ SELECT CASE WHEN dmarc = 'fail' OR NOT is_aligned THEN 'not verified' WHEN dmarc = 'pass' AND is_aligned THEN 'verified' ELSE 'could not be verified' END AS authenticity,
+ regexp_matches(from_domain, '^(xn--|[0-9])') AS suspicious, count(*) AS n FROM a GROUP BY ALL""")
+def msg_sender_authenticity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _aligned(spark, sf_dir)
+    return m.groupBy(summary.authenticity(F.col("dmarc"), F.col("is_aligned")).alias("authenticity"), summary.suspicious_domain(F.col("from_domain")).alias("suspicious")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("msg_last_relay", ctes("hops") + """, g AS (SELECT message_id, arg_max(ip, hop) AS relay_ip, arg_min(ip, hop) AS origin FROM hops GROUP BY message_id) SELECT message_id, relay_ip FROM g WHERE relay_ip <> origin""")
+def msg_last_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.last_relay(mail.relation(spark, sf_dir, "hops"), ["message_id"])
+
+
+@query("msg_file_flags", ctes("files") + rf""", f AS (SELECT 'double-extension' AS type FROM files WHERE regexp_matches(name, '\.({'|'.join(e.replace('.', '[.]') for e in fixed.DOUBLE_ENDINGS)})')
+ UNION ALL SELECT 'risky-extension' FROM files WHERE regexp_matches(name, '\.({'|'.join(fixed.RISKY_FILES)})$')) SELECT type, count(*) AS n FROM f GROUP BY type""")
+def msg_file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = mail.relation(spark, sf_dir, "files").select(F.explode(iocs.file_risks(F.col("name"))).alias("r"))
+    return f.groupBy("r.type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("msg_recipient_notes", ctes("messages") + f""", o AS (SELECT message_id, {sql_org('from_domain')} AS a, {sql_org('return_path_domain')} AS b FROM messages WHERE return_path_domain IS NOT NULL), x AS (SELECT *, split_part(a, '.', 1) AS n, split_part(b, '.', 1) AS t FROM o),
+notes AS (SELECT message_id, 'imitation' AS note FROM x WHERE a <> b AND a NOT IN {in_list(fixed.FREE_MAIL)} AND b NOT IN {in_list(fixed.FREE_MAIL)} AND (n = t OR (length(t) >= 5 AND levenshtein(n, t) <= 1))
+ UNION ALL SELECT message_id, 'same-organisation' FROM x WHERE a = b AND a NOT IN {in_list(fixed.FREE_MAIL)})
+SELECT note, count(*) AS n FROM notes GROUP BY note""")
+def msg_recipient_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("array<string>")
+    m = mail.relation(spark, sf_dir, "messages").where("return_path_domain IS NOT NULL").select(
+        "message_id", F.concat("local_part", F.lit("@"), "from_domain").alias("sender"), F.array(F.concat(F.lit("someone@"), F.col("return_path_domain"))).alias("to"), none.alias("cc"), F.lit(None).cast("string").alias("delivered_to")
+    )
+    return identity.recipient_notes(m, ["message_id"]).select(F.explode("notes").alias("note")).groupBy("note").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("msg_stix_patterns", ctes("urls") + """ SELECT DISTINCT value, concat('[url:value = ''', value, ''']') AS pattern FROM urls""")
+def msg_stix_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = mail.relation(spark, sf_dir, "urls").withColumn("kind", F.lit("url"))
+    return export.stix(u, "2024-01-01T00:00:00.000Z").select("value", F.get_json_object("object", "$.pattern").alias("pattern"))
+
+
+@query("msg_misp_attributes", ctes("messages") + """ SELECT sender_ip AS value, 'ip-src' AS type, count(*) AS n FROM messages GROUP BY ALL""")
+def msg_misp_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mail.relation(spark, sf_dir, "messages").select(F.lit("ip").alias("kind"), F.col("sender_ip").alias("value"))
+    a = export.misp(m).select(F.get_json_object("attribute", "$.value").alias("value"), F.get_json_object("attribute", "$.type").alias("type"))
+    return a.groupBy("value", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PHRASES = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(lower(text), '\\b(?:{'|'.join(sorted(ps, key=len, reverse=True))})s?\\b')) AS phrase FROM bodies" for ps in language.PHRASES.values())
+
+
+@query("msg_phrase_counts", ctes("bodies") + f", p AS ({_PHRASES}) SELECT phrase, count(*) AS n FROM p GROUP BY phrase")
+def msg_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.phrase_counts(language.match(mail.relation(spark, sf_dir, "bodies"), "text", language.default_dictionary(spark), []))
+
+
+@query("msg_anomalies", ctes("messages") + f""", x AS (SELECT message_id, {sql_org('from_domain')} <> {sql_org('return_path_domain')} AS foreign_id, return_path_domain IS NULL AS missing, regexp_matches(lower(subject), '^re:') AS reply FROM messages),
+y AS (SELECT 'foreign-message-id' AS id FROM x WHERE foreign_id UNION ALL SELECT 'no-message-id' FROM x WHERE missing UNION ALL SELECT 'not-a-reply' FROM x WHERE message_id % 2 = 0 AND NOT reply UNION ALL SELECT 'date-gap' FROM x WHERE message_id % 5 = 0)
+SELECT id, count(*) AS n FROM y GROUP BY id""")
+def msg_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("message_id")
+    date, delivered = F.when(k % 5 == 0, k * 3600).otherwise(k * 3600 + 100000), k * 3600 + 100000
+    found = auth.anomalies(date, delivered, F.concat(F.lit("<1@"), F.col("return_path_domain"), F.lit(">")), F.col("from_domain"), k % 2 == 0, F.col("subject"))
+    return mail.relation(spark, sf_dir, "messages").select(F.explode(found).alias("a")).groupBy("a.id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("page_preview_counts", r"""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<img\b[^>]*src\s*=\s*["'']?https?:')) AS BIGINT) AS remote_images, CAST(len(regexp_extract_all(html, '(?i)<img\b[^>]*src\s*=\s*["'']?(?:cid|data):')) AS BIGINT) AS embedded_images,
+ CAST(len(regexp_extract_all(html, '(?i)<a\b[^>]*href')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '(?i)<(?:script|iframe|object|embed|form|link|meta|base)\b')) AS BIGINT) AS removed FROM pages""")
+def page_preview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.preview_counts(read(spark, sf_dir, "pages", "page_id", "html"), ["page_id"], "html")
