@@ -35,7 +35,7 @@ from vellum.llm.text_hash import tokens
 
 BLOCK_ROWS = 4096
 #: Documents a shard is planned for; shards follow from the number of rows.
-SHARD_ROWS = 8192
+SHARD_ROWS = 2048
 #: Weight of the unigram distribution, in tokens.
 K = 300.0
 #: A word's share of the sampled tokens from which its pairs are dealt over all shards; most sampled documents.
@@ -54,14 +54,6 @@ def sequence(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(n + 1)])
 
 
-def before(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The token before each token; START before a text's first."""
-    out = np.empty_like(marks)
-    out[1:] = marks[:-1]
-    out[bounds[:-1]] = START
-    return out
-
-
 def shard_of(marks: np.ndarray, shards: int) -> np.ndarray:
     return ((marks >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
@@ -71,16 +63,20 @@ class Question:
 
     def __init__(self, texts: list, train: np.ndarray, shards: int, hot: np.ndarray) -> None:
         self.marks, self.bounds = sequence(texts)
-        ahead = before(self.marks, self.bounds)
         learn = np.repeat(train, np.diff(self.bounds))
-        self.words, self.word_at = np.unique(self.marks, return_inverse=True)
+        self.words, at = np.unique(self.marks, return_inverse=True)
+        self.word_at = at.astype(np.int32)  # places within a block fit 32 bits
+        del at, self.marks
         self.word_count = np.bincount(self.word_at[learn], minlength=len(self.words))
         names = np.append(self.words, START)
-        self.ahead_at = np.empty(len(self.marks), dtype=np.int64)  # place of the context among words, len(words) for START
-        self.ahead_at[1:] = self.word_at[:-1]
-        self.ahead_at[self.bounds[:-1]] = len(self.words)
-        pair = self.ahead_at.astype(np.uint64) * np.uint64(len(names)) + self.word_at.astype(np.uint64)
-        pairs, self.pair_at = np.unique(pair, return_inverse=True)
+        ahead_at = np.empty(len(self.word_at), dtype=np.int32)  # place of the context among words, len(words) for START
+        ahead_at[1:] = self.word_at[:-1]
+        ahead_at[self.bounds[:-1]] = len(self.words)
+        pair = ahead_at.astype(np.uint64) * np.uint64(len(names)) + self.word_at.astype(np.uint64)
+        del ahead_at
+        pairs, at = np.unique(pair, return_inverse=True)
+        self.pair_at = at.astype(np.int32)
+        del at, pair
         self.pair_count = np.bincount(self.pair_at[learn], minlength=len(pairs))
         left, right = (pairs // np.uint64(len(names))).astype(np.int64), (pairs % np.uint64(len(names))).astype(np.int64)
         self.left, self.child = names[left], names[right] & CHILD
@@ -134,13 +130,16 @@ def answers(payloads: list[bytes]) -> tuple[list[bytes], int, int]:
     pair_counts = np.concatenate([a[6] for a in asked]).astype(np.int64)
     learnt = pair_counts > 0
     contexts, number = np.unique(left[learnt], return_inverse=True)
+    is_split = np.zeros(len(contexts), dtype=bool)
+    is_split[number] = split[learnt]
     key = (number.astype(np.uint64) << np.uint64(CHILD_BITS)) | child[learnt]
+    del left, split, child, number, words, counts, at
     keys, at_key = np.unique(key, return_inverse=True)
+    del key
     together = np.bincount(at_key, pair_counts[learnt], len(keys))
+    del at_key, pair_counts, learnt
     owner = (keys >> np.uint64(CHILD_BITS)).astype(np.int64)
     mass = np.bincount(owner, together, len(contexts))
-    is_split = np.zeros(len(contexts), dtype=bool)
-    is_split[number] = split[learnt]
     codes = quantise(together / np.where(is_split, 1.0, mass + K)[owner] if len(owner) else together)
     trie = Trie(contexts, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(contexts)))]), keys, codes, mass)
     out = []
