@@ -282,19 +282,30 @@ def msg_trust_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auth.trust_conflicts(mail.relation(spark, sf_dir, "claims"), ["message_id"])
 
 
-@query("msg_lookalike", ctes("messages") + f""", hosts AS (SELECT DISTINCT from_domain AS h FROM messages), brand AS (SELECT * FROM (VALUES {BRAND_ROWS}) v(i, name, domains)),
+_LOOK_SQL = ctes("messages") + f""", hosts AS (SELECT DISTINCT from_domain AS h FROM messages), brand AS (SELECT * FROM (VALUES {BRAND_ROWS}) v(i, name, domains)),
 x AS (SELECT h, {sql_org('h')} AS org FROM hosts), y AS (SELECT *, split_part(org, '.', 1) AS n FROM x), z AS (SELECT *, {sql_skeleton('n')} AS s, {sql_skeleton("regexp_replace(h, '[.][a-z.]+$', '')")} AS flat FROM y WHERE org NOT IN {GENUINE}),
 hits AS (SELECT h, name, i, CASE WHEN s = name AND n <> name THEN 0
   WHEN length(name) >= 5 AND levenshtein(s, name) BETWEEN 1 AND CASE WHEN length(name) >= 8 THEN 2 ELSE 1 END THEN 1
   WHEN length(name) >= 4 AND flat <> name AND list_contains(list_transform(regexp_split_to_array(h, '[._-]'), lambda w: {sql_skeleton('w')}), name) THEN 2 END AS rank FROM z, brand),
-best AS (SELECT h, arg_min(name, rank * 100 + i) AS brand, min(rank) AS rank FROM hits WHERE rank IS NOT NULL GROUP BY h)
-SELECT message_id, from_domain, brand, ['confusable', 'typosquat', 'contains'][rank + 1] AS kind FROM messages JOIN best ON from_domain = h""")
+best AS (SELECT h, arg_min(name, rank * 100 + i) AS brand, min(rank) AS rank FROM hits WHERE rank IS NOT NULL GROUP BY h)"""
+
+
+@query("msg_lookalike", _LOOK_SQL + " SELECT message_id, from_domain, brand, ['confusable', 'typosquat', 'contains'][rank + 1] AS kind FROM messages JOIN best ON from_domain = h")
 def msg_lookalike(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mail.relation(spark, sf_dir, "messages").select("message_id", "from_domain", domains.lookalike(F.col("from_domain")).alias("look"))
     return m.where("look IS NOT NULL").select("message_id", "from_domain", "look.brand", "look.kind")
 
 
-@query("msg_identity_findings", None)
+_IDENTITY_SQL = _LOOK_SQL + f""", named AS (SELECT display_name AS d, arg_min(name, i) AS name, arg_min(domains, i) AS domains FROM (SELECT DISTINCT display_name FROM messages WHERE display_name IS NOT NULL), brand
+  WHERE length(name) >= 4 AND contains({sql_skeleton('display_name')}, name) GROUP BY display_name),
+f AS (SELECT 'display-name-address' AS id, 'high' AS severity FROM messages WHERE contains(display_name, '@') AND {sql_org("split_part(display_name, '@', 2)")} <> {sql_org('from_domain')}
+ UNION ALL SELECT 'display-name-brand', 'high' FROM messages JOIN named ON display_name = d WHERE NOT list_contains(domains, {sql_org('from_domain')})
+ UNION ALL SELECT concat('lookalike-', ['confusable', 'typosquat', 'contains'][rank + 1]), 'high' FROM messages JOIN best ON from_domain = h
+ UNION ALL SELECT 'replyto-freemail', 'medium' FROM messages WHERE {sql_org('reply_to_domain')} IN {in_list(fixed.FREE_MAIL)} AND {sql_org('reply_to_domain')} <> {sql_org('from_domain')})
+SELECT id, severity, count(*) AS n FROM f GROUP BY ALL"""
+
+
+@query("msg_identity_findings", _IDENTITY_SQL)
 def msg_identity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _identity(mail.relation(spark, sf_dir, "messages")).select("message_id", F.explode("found").alias("f")).groupBy("f.id", "f.severity").agg(F.count(F.lit(1)).alias("n"))
 
