@@ -219,6 +219,23 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0), model).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    d = hashlib.sha256(b"x").hexdigest()
+    jwt = f"eyJ{d}.{d * 40}.{d * 2}"
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "\n".join([d] * 40) + "\n-----END RSA PRIVATE KEY-----"
+    want = [
+        ("token = \"{}\" set", "assigned", d * 5), ("bare {} token", "long_token", d * 5), ("late {} digit", "long_token", "Qwertz" * 20 + d), ("token={} x", "jwt", jwt), ("auth: v1:{}", "jwt", jwt),
+        ("private_key = \"{}\"", "private_key", key), ("use {} now", "github_token", "ghp_" + d * 5), ("secret={}== end", "assigned", "k" + d * 3000), ("cut {} off", "private_key", "-----BEGIN PRIVATE KEY-----"),
+    ]
+    df = spark.createDataFrame([(k, text.format(value), "src1") for k, (text, _, value) in enumerate(want)] + [(99, f"secret=longprefix:{jwt}", "src1")], "doc_id long, text string, source string")
+    got = defaultdict(list)
+    for r in secrets.scan(df, secrets.fit(secrets.labelled_findings(spark))).collect():
+        got[r["doc_id"]].append((r["start"], r["kind"], r["value"]))
+    for k, (text, kind, value) in enumerate(want):
+        assert got[k] == [(text.index("{"), kind, value + ("==" if "==" in text else ""))], text
+    assert sorted(got[99]) == [(7, "assigned", "longprefix:"), (18, "jwt", jwt)]
+
+
 def test_secret_forest_held_out(spark):
     from pyspark.ml.feature import VectorAssembler
 

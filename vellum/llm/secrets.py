@@ -7,7 +7,8 @@ gives the probability that it is a secret, and findings under THRESHOLD are mark
 
 Labelled findings are a table (before, value, after, path, label); labelled_findings() makes one by rule - keys,
 tokens and passwords in their usual surroundings, against digests, ids, placeholders, encoded words and
-documentation - for use where there is none. Scanning covers every whole text.
+documentation - for use where there is none. Scanning covers every whole text, and a value of any length is one
+finding from its first to its last character.
 
 Defined results: null and empty texts have no findings; a value found twice in a text is two findings; an
 empty table gives no rows; texts repeated with one doc_id are each scanned; start counts code points from 0.
@@ -33,16 +34,19 @@ LABELLED = 6000
 #: Shapes of known tokens.
 SHAPES = {
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "github_token": r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,255}(?![A-Za-z0-9_])",
-    "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,250}",
-    "stripe_key": r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,247}",
+    "github_token": r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+(?![A-Za-z0-9_])",
+    "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+",
+    "stripe_key": r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}+",
     "google_key": r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])",
-    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000}",
-    "private_key": r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
+    # to its END line; without one the BEGIN line alone, and what follows is found as long tokens
+    "private_key": r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----(?:(?>[\s\S]*?-----)END (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----)?",
 }
 NAMES = r"(?:password|passwd|passwort|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|client[_-]?secret|private[_-]?key)"
-ASSIGNED = rf"""(?i:(?<![A-Za-z0-9]){NAMES}["']?\s{{0,3}}(?:=|:|=>)\s{{0,3}})["']?[^\s"'<>,;]{{6,200}}"""
-LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])[A-Za-z0-9+/_-]{24,200}={0,2}(?![A-Za-z0-9+/_=-])"
+SHAPED = "|".join(f"(?:{p})" for p in SHAPES.values())
+#: An assigned value is taken whole, up to a token of known shape, which is a finding of its own.
+ASSIGNED = rf"""(?i:(?<![A-Za-z0-9]){NAMES}["']?\s{{0,3}}(?:=|:|=>)\s{{0,3}})["']?(?![^\s"'<>,;]{{0,5}}(?:{SHAPED}))[^\s"'<>,;]{{6,}}?(?=[\s"'<>,;]|\z|{SHAPED})"""
+LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ANY = "|".join(f"(?:{p})" for p in [*SHAPES.values(), ASSIGNED, LONG])
 #: What every candidate holds: a cheap test before the patterns.
 HINT = r"[=:]|[A-Za-z0-9+/_-]{20}|-----BEGIN"
@@ -67,7 +71,7 @@ def described(rows: DataFrame) -> DataFrame:
     kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[A-Z]+", "U"), "[a-z]+", "l"), "[0-9]+", "9"), "_-", "..")
     covered = F.regexp_replace(F.lower(v), "|".join(WORDS), "")
     name = F.concat(F.col("before"), F.when(F.col("kind") == "assigned", raw).otherwise(F.lit("")))
-    around = F.concat_ws(" ", F.substring(F.regexp_replace(name, r"[^\s=:]+$", ""), -CONTEXT, CONTEXT), F.regexp_extract(raw, rf"(?i)^{NAMES}", 0))
+    around = F.concat_ws(" ", F.substring(F.regexp_replace(name, r"(?<![^\s=:])[^\s=:]++$", ""), -CONTEXT, CONTEXT), F.regexp_extract(raw, rf"(?i)^{NAMES}", 0))
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return rows.withColumns({
         "length": F.length(v).cast("double"),
