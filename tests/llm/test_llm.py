@@ -60,6 +60,20 @@ def test_html(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_html_marks_are_a_weight():
+    story = "A long sentence of the story, told with care; it goes on, and on."
+    prose = f"<p>{story}</p>" * 6
+    # the story stands outside the only marked article, which is a teaser
+    for around in ("div", "main"):
+        assert html_text.main_text(f"<body><{around}>{prose}</{around}><article><h3><a href=x>Teaser</a></h3>Read</article>").count(story) == 6
+    titled = html_text.main_text(f"<main><h1>The title</h1><article>{prose}</article></main>").split("\n")
+    assert titled[0] == "The title" and titled.count(story) == 6
+    # short blocks inside the article are told from its prose by their ratios
+    long = "<p>" + " ".join([story] * 12) + "</p>"
+    text = html_text.main_text(f"<article><h1>Head</h1>{long * 4}<div class=x1>Go</div><div class=x2>Up</div><div class=x3>Buy</div></article>")
+    assert text.startswith("Head\n") and text.count(story) == 48 and "Up" not in text and "Buy" not in text
+
+
 def test_html_on_pages(spark):
     got = registry.queries()["op1_html_extraction"](spark, str(DATA)).collect()
     assert len(got) == spark.read.parquet(f"{DATA}/pages.parquet").count()

@@ -4,10 +4,12 @@ A page is read once by a tolerant tokenizer into text blocks, each with the path
 it (with class, id and role words, which tell a notice from an article). For every distinct path the
 text length, the punctuation and the text inside links are summed; two ratios follow - text per block and
 punctuation per block - each smoothed along the order in which paths appear, fused by their product
-and damped by the share of link text. Paths whose fused value reaches a share of the page's weighted
-mean are content. Two things are decided before the ratios, because no ratio can see them: subtrees that
-are never prose (scripts, styles, forms, menus ...) and subtrees whose tag, role, class or id names
-page furniture; and a page that marks its article keeps the search to it.
+and damped by the share of link text; a heading counts at least as what it heads. Paths whose fused value,
+times a weight, reaches a share of the page's weighted mean are content. The weight is 1 unless the page
+marks its article (article, main or such a role) and the mark holds at least half of the text outside links:
+then it is MARK inside the deepest such mark, 1 around it and 1 / MARK outside every mark. Two things are decided before the
+ratios, because no ratio can see them: subtrees that are never prose (scripts, styles, forms, menus ...) and
+subtrees whose tag, role, class or id names page furniture.
 
 Defined results: null and empty pages give an empty text; markup without a closing tag is read as browsers
 do; unknown references stay as they are.
@@ -64,6 +66,9 @@ P_ONLY = frozenset({"p"})
 SCOPE = {"table", "ul", "ol", "dl", "select", "article", "body", "html"}
 #: Share of the weighted mean of the fused ratio from which a path is content.
 SHARE = 0.2
+#: Weight of the paths inside a marked article.
+MARK = 2
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Weights of a path's neighbours and its own when ratios are smoothed.
 SMOOTH = (1, 2, 1)
 
@@ -161,10 +166,10 @@ def opened(tag: str, rest: str, above: Node, paths: dict) -> Node:
     return Node(tag, off, paths.setdefault((above.path, label), len(paths) + 1), article, above)
 
 
-def text_blocks(page: str) -> list[tuple[int, str, int, int]]:
-    """(path number, text, characters inside links, article level) of each block outside furniture, in order."""
+def text_blocks(page: str) -> list[tuple[int, str, int, int, bool]]:
+    """(path number, text, characters inside links, article level, is a heading) of each block outside furniture, in order."""
     stack, paths = Stack(), {}
-    out: list[tuple[int, str, int, int]] = []
+    out: list[tuple[int, str, int, int, bool]] = []
     piece: list[str] = []
     place: Node | None = None
     linked, at = 0, 0
@@ -174,7 +179,7 @@ def text_blocks(page: str) -> list[tuple[int, str, int, int]]:
         if piece:
             text = SPACE.sub(" ", "".join(piece)).strip()
             if text and place is not None:
-                out.append((place.path, text, min(linked, len(text)), place.article))
+                out.append((place.path, text, min(linked, len(text)), place.article, place.tag in HEADINGS))
             piece.clear()
         place, linked = None, 0
 
@@ -218,8 +223,6 @@ def text_blocks(page: str) -> list[tuple[int, str, int, int]]:
 
 
 def smoothed(x: np.ndarray) -> np.ndarray:
-    if len(x) < 3:
-        return x
     a, b, c = SMOOTH
     side = np.pad(x, 1, mode="edge")
     return (a * side[:-2] + b * side[1:-1] + c * side[2:]) / (a + b + c)
@@ -230,26 +233,32 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = text_blocks(page)
-    level = max((b[3] for b in blocks), default=0)
-    blocks = [b for b in blocks if b[3] == level]
     if not blocks:
         return ""
     names: dict[int, int] = {}
     where = [names.setdefault(b[0], len(names)) for b in blocks]
     n = len(names)
-    count, length, signs, link = (np.zeros(n) for _ in range(4))
-    for k, (_, text, inside, _) in zip(where, blocks):
+    count, length, signs, link, level = (np.zeros(n) for _ in range(5))
+    heads: dict[int, int] = {}
+    for i, (k, (_, text, inside, marked, heading)) in enumerate(zip(where, blocks)):
         count[k] += 1
         length[k] += len(text)
         signs[k] += len(PUNCTUATION.findall(text))
         link[k] += inside
+        level[k] = marked
+        if heading and i + 1 < len(where):
+            heads.setdefault(k, where[i + 1])
     text_ratio, sign_ratio = length / count, (signs + 0.5) / count
-    own = length * 0 + (1 - link / np.maximum(length, 1))
+    own = 1 - link / np.maximum(length, 1)
     fused = smoothed(np.sqrt(text_ratio)) * np.sqrt(smoothed(sign_ratio)) * own
     mean = float((fused * length).sum() / length.sum())
+    for k in sorted(heads, reverse=True):
+        fused[k] = max(fused[k], fused[heads[k]] * own[k])
+    prose = length - link
+    trusted = max((m for m in (1, 2) if prose[level >= m].sum() * 2 >= prose.sum() and (level >= m).any()), default=0)
+    if trusted:
+        fused *= np.where(level >= trusted, MARK, np.where(level > 0, 1, 1 / MARK))
     content = fused >= SHARE * mean
-    if level:  # inside a marked article only link lists are left out
-        content |= own > 0.5
     return "\n".join(b[1] for k, b in zip(where, blocks) if content[k])
 
 
