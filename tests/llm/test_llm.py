@@ -354,6 +354,23 @@ def test_surrogates(spark):
     assert {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, key="other").collect()}[1] != new
 
 
+def test_surrogates_of_more_than_a_space_holds(spark, monkeypatch):
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["bar", "den"])  # 16 surnames of four syllables
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Qu{a}{b}x" for a in "aeiou" for b in letters[:12]]
+    texts = [f"Mr {x} met Mr John {x}." for x in names] + ["; ".join(f"Mr {x.title()}an {names[0]}" for x in letters)]
+    texts += [" ".join(f"{x}@corp.example" for x in letters), " ".join(f"192.168.{k >> 8}.{k & 255}" for k in range(40_000))]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    pairs = [re.fullmatch(r"Mr (\w+) met Mr \w+ (\w+)\.", got[k]).groups() for k in range(len(names))]
+    assert all(a == b for a, b in pairs) and len({a for a, _ in pairs}) == len(names) and not {a for a, _ in pairs} & set(names)
+    given = [x.split()[1:] for x in got[len(names)].split("; ")]
+    assert len({g for g, _ in given}) == 26 and {x for _, x in given} == {pairs[0][0]}
+    mails = got[len(names) + 1].split()
+    assert len(set(mails)) == 26 and len({m.split("@")[1] for m in mails}) == 1
+    hosts = got[len(names) + 2].split()
+    assert len(set(hosts)) == 40_000 and not set(hosts) & set(texts[-1].split())
+
+
 # --- 10 -------------------------------------------------------------------------------------------
 
 

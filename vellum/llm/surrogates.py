@@ -10,8 +10,11 @@ from sha256(key, kind, canonical form, attempt), so that the same entity reads t
 * IPv4 addresses stay in their private range or go to the reserved 240/4;
 * names keep title, gender, script and number of parts.
 
-Replacements are compared with each other and with every entity found; those that meet are drawn again
-until none does, so distinct entities stay distinct and no replacement is somebody else's real datum.
+Surnames and domains are entities of their own, drawn first. Replacements are compared with each other and
+with every entity found; those that meet are drawn again until none does, so distinct entities stay distinct and
+no replacement is somebody else's real datum. The space widens with the attempt, so that the draws always end:
+surnames and given names get more syllables, local parts and domains more letters, numbers more digits at their
+end, and private IPv4 addresses go from their range to 10/8, then to 240/4, and last anywhere.
 
 Defined results: null text stays null; texts without entities pass unchanged; documents repeated with one
 doc_id are each rewritten; an empty table gives no rows.
@@ -25,9 +28,6 @@ from pyspark.sql import functions as F
 from vellum.llm.common import attach, cut, table
 
 KEY = "surrogate-key-1"
-#: Draws after which entities that still collide are an error.
-ROUNDS = 12
-
 #: Titles of men and of women, and given names to choose from, by script.
 TITLES = {
     "m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Г-н", "Κύριος"],
@@ -132,12 +132,16 @@ def choose(items: list[str], draw: Column, i: int) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in items]), byte(draw, i) % len(items) + 1)
 
 
-def surname(part: Column, draw: Column) -> Column:
+def syllables(script: Column, draw: Column, count: Column) -> Column:
+    def one(k: Column, items: list[str]) -> Column:
+        at = F.conv(F.substring(draw, F.pmod(k + 8, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.element_at(F.array(*[F.lit(x) for x in items]), at % len(items) + 1)
+
     out = None
-    for script, items in SYLLABLES.items():
-        made = F.initcap(F.concat(*[choose(items, draw, 8 + k) for k in range(4)]))
-        out = made if out is None else F.when(script_of(part) == script, made).otherwise(out)
-    return out
+    for name, items in SYLLABLES.items():
+        made = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda k: one(k, items)), "")
+        out = made if out is None else F.when(script == name, made).otherwise(out)
+    return F.when(count > 0, out).otherwise("")
 
 
 def given(gender: Column, script: Column, draw: Column) -> Column:
@@ -147,23 +151,37 @@ def given(gender: Column, script: Column, draw: Column) -> Column:
     return out
 
 
-def surrogate(kind: Column, what: Column, attempt: Column, key: str) -> Column:
-    """The canonical replacement of a canonical entity."""
+def part_of(kind: Column, what: Column) -> Column:
+    """The entity that others share: an address's domain, a name's surname; null for other kinds."""
+    domain = F.concat_ws("\x1f", F.lit("domain"), F.substring_index(what, "@", -1))
+    return F.when(kind == "email", domain).when(kind == "name", F.concat_ws("\x1f", F.lit("surname"), F.substring_index(F.substring(what, 3, 200), " ", -1)))
+
+
+def surrogate(kind: Column, what: Column, part: Column, attempt: Column, key: str) -> Column:
+    """The canonical replacement of a canonical entity; part is that of its part_of."""
     draw = drawn(kind, what, attempt, key)
-    local, domain = F.substring_index(what, "@", 1), F.substring_index(what, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    below = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(F.lower(reshaped(local, draw)), F.lit("@"), F.lower(reshaped(below, drawn(F.lit("domain"), domain, attempt, key))), F.lit("."), top)
+    more = F.floor(attempt / 2).cast("int")
+    letters = F.substring(F.translate(draw, "0123456789abcdef", "bcdfghjklmnprstv"), F.lit(90), more)
+    email = F.concat(F.lower(reshaped(F.substring_index(what, "@", 1), draw)), letters, F.lit("@"), part)
+    top = F.substring_index(what, ".", -1)
+    below = F.substring(what, F.lit(1), F.length(what) - F.length(top) - 1)
+    domain = F.concat(F.lower(reshaped(below, draw)), letters, F.lit("."), top)
     first = F.substring_index(what, ".", 1)
     rest = [F.pmod(byte(draw, i), F.lit(256)).cast("string") for i in range(4)]
+    reserved = F.concat_ws(".", (byte(draw, 0) % 15 + 240).cast("string"), *rest[1:])
+    private = what.rlike(r"^(?:10|127|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
     ipv4 = (
-        F.when(first == "10", F.concat_ws(".", F.lit("10"), *rest[1:]))
+        F.when(attempt >= 24, F.concat_ws(".", *rest))
+        .when(private & (attempt >= 12), reserved)
+        .when(private & (attempt >= 6), F.concat_ws(".", F.lit("10"), *rest[1:]))
+        .when(first == "10", F.concat_ws(".", F.lit("10"), *rest[1:]))
         .when(what.rlike(r"^192\.168\."), F.concat_ws(".", F.lit("192.168"), *rest[2:]))
         .when(what.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\."), F.concat_ws(".", F.lit("172"), (byte(draw, 1) % 16 + 16).cast("string"), *rest[2:]))
         .when(first == "127", F.concat_ws(".", F.lit("127"), *rest[1:]))
-        .otherwise(F.concat_ws(".", (byte(draw, 0) % 15 + 240).cast("string"), *rest[1:]))
+        .otherwise(reserved)
     )
-    plain = reshaped(what, draw)
+    digits = F.substring(F.translate(draw, "0123456789abcdef", "0123456789412753"), F.lit(90), F.floor(attempt / 4).cast("int"))
+    plain = F.concat(reshaped(what, draw), digits)
     card = F.concat(F.substring(what, 1, 1), F.substring(plain, 2, 64))
     body = F.substring(card, F.lit(1), F.length(card) - 1)
     fixed = F.concat(body, F.pmod(10 - F.pmod(luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
@@ -171,11 +189,10 @@ def surrogate(kind: Column, what: Column, attempt: Column, key: str) -> Column:
     code = F.regexp_extract(what, r"^\+1|^\+[0-9]{2}", 0)
     phone = F.concat(code, F.substring(plain, F.length(code) + 1, F.lit(64)))
     gender, name = F.substring(what, 1, 1), F.substring(what, 3, 200)
-    last = F.substring_index(name, " ", -1)
-    new_last = surname(last, drawn(F.lit("surname"), last, attempt, key))
-    person = F.when(F.instr(name, " ") > 0, F.concat(given(gender, script_of(name), draw), F.lit(" "), new_last)).otherwise(new_last)
+    own = F.concat(given(gender, script_of(name), draw), syllables(script_of(name), draw, more))
+    person = F.when(F.instr(name, " ") > 0, F.concat(own, F.lit(" "), part)).otherwise(part)
     return (
-        F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "card", F.when(luhn(what) % 10 == 0, fixed).otherwise(wrong))
+        F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "surname", syllables(script_of(what), draw, attempt + 4)).when(kind == "ipv4", ipv4).when(kind == "card", F.when(luhn(what) % 10 == 0, fixed).otherwise(wrong))
         .when(kind == "phone", phone).when(kind == "name", F.concat(gender, F.lit(":"), F.lower(person)))
         .when(kind == "iban", F.concat(F.substring(what, 1, 2), F.substring(plain, 3, 64))).otherwise(plain)
     )
@@ -190,22 +207,37 @@ def worded(kind: Column, value: Column, made: Column) -> Column:
         return F.when(c.rlike("[0-9A-Z]"), F.substring(F.regexp_replace(made, r"[^0-9A-Z]", ""), seen + 1, F.lit(1))).otherwise(c)
 
     laid = F.array_join(F.transform(F.split(value, ""), spaced), "")
+    room = F.length(F.regexp_replace(value, "[^0-9A-Z]", ""))
+    laid = F.concat(laid, F.substring(F.regexp_replace(made, "[^0-9A-Z]", ""), room + 1, F.lit(64)))
     return F.when(kind == "name", F.concat(title, F.initcap(F.substring(made, 3, 200)))).when(kind.isin("email", "ipv4"), made).otherwise(laid)
 
 
-def draw_all(entities: DataFrame, key: str) -> DataFrame:
-    """kind, what, n and made: replacements that meet neither each other nor any entity."""
+def draw_apart(entities: DataFrame, key: str) -> DataFrame:
+    """kind, what, n and made of entities (kind, what, part, n): replacements that meet neither each other nor any entity."""
     now = entities.withColumn("attempt", F.lit(0))
     real = entities.select("kind", F.col("what").alias("made"))
-    for _ in range(ROUNDS):
-        made = cut(now.select("kind", "what", "n", "attempt", surrogate(F.col("kind"), F.col("what"), F.col("attempt"), key).alias("made")), "surrogates")
+    while True:  # ends, because the space grows with the attempt
+        drawing = surrogate(F.col("kind"), F.col("what"), F.col("part"), F.col("attempt"), key)
+        made = cut(now.select("kind", "what", "part", "n", "attempt", drawing.alias("made")), "surrogates")
         one = Window.partitionBy("kind", "made").orderBy("attempt", "what")
         taken = made.join(real.withColumn("taken", F.lit(True)), ["kind", "made"], "left")
         marked = cut(taken.withColumn("again", (F.row_number().over(one) > 1) | F.coalesce("taken", F.lit(False))), "surrogates")
         if not marked.where("again").limit(1).count():
-            return made.drop("attempt")
-        now = marked.select("kind", "what", "n", F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
-    raise RuntimeError("replacements still collide")
+            return made.select("kind", "what", "n", "made")
+        now = marked.select("kind", "what", "part", "n", F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
+
+
+def draw_all(entities: DataFrame, key: str) -> DataFrame:
+    """kind, what, n and made: shared parts are drawn first, then all entities with them."""
+    named = entities.withColumn("shared", part_of(F.col("kind"), F.col("what")))
+    shared = named.where("shared IS NOT NULL")
+    parts = cut(shared.groupBy("shared").agg(F.count(F.lit(1)).alias("n")), "surrogate-parts")
+    split = parts.select(F.substring_index("shared", "\x1f", 1).alias("kind"), F.substring_index("shared", "\x1f", -1).alias("what"), F.lit(None).cast("string").alias("part"), "n")
+    drawn_parts = draw_apart(split, key).select(F.concat_ws("\x1f", "kind", "what").alias("shared"), F.col("made").alias("part"), F.col("n").alias("size"))
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    whole = attach(shared, drawn_parts, "shared", "size", total).select("kind", "what", "part", "n")
+    alone = named.where("shared IS NULL").select("kind", "what", F.lit(None).cast("string").alias("part"), "n")
+    return draw_apart(cut(whole.unionByName(alone), "surrogate-entities"), key)
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
