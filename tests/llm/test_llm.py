@@ -331,6 +331,11 @@ def test_word_memo_is_the_tokenizer(text):
     assert np.frombuffer(packing.encoder(path).ids(text), dtype="<u4").tolist() == want
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a b <|endoftext|> c", "one<|endoftext|><|endoftext|>two  three", "x <|endoftext|>", "<|endoftext| > <|ENDOFTEXT|>"])
+def test_added_token_has_its_id(text):
+    test_word_memo_is_the_tokenizer(text)
+
+
 # --- 9 --------------------------------------------------------------------------------------------
 
 

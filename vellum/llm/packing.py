@@ -20,6 +20,7 @@ among the pieces of its length, which is computed without one task per length.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -237,7 +238,8 @@ class WordMemo:
     The vocabulary's pattern never joins what a single blank between two other characters divides, so such a
     text is a row of units (a word with the blank before it) whose ids do not depend on one another. Units not
     seen before are encoded together, in one call, and cut apart by the byte lengths of their tokens; frequent
-    ones are remembered. Texts with longer or mixed white space next to a blank are encoded as a whole.
+    ones are remembered. Texts with longer or mixed white space next to a blank are encoded as a whole. Texts that
+hold an added token of the vocabulary are divided at it first, and it gets its own id.
     """
 
     def __init__(self, path: str) -> None:
@@ -246,12 +248,15 @@ class WordMemo:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]["vocab"]
+            read = json.load(f)
+        model = read["model"]["vocab"]
+        self.added = {t["content"]: t["id"] for t in read["added_tokens"]}
+        self.divide = re.compile("|".join(re.escape(t) for t in self.added) or r"(?!)")
         # the usual printable stand-ins for bytes of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from 256
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         stands = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
         ranks = {bytes(stands[c] for c in w): i for w, i in model.items() if all(c in stands for c in w)}
-        ranks = {w: i for w, i in ranks.items() if w != b"<|endoftext|>"}
+        ranks = {w: i for w, i in ranks.items() if w.decode("utf-8", "replace") not in self.added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encode = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.widths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
@@ -260,7 +265,11 @@ class WordMemo:
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+        ids, at = [], 0
+        for m in self.divide.finditer(text):
+            ids += [*self.encode(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return np.array(ids + self.encode(text[at:]), dtype="<u4").tobytes()
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
         """Ids of words as they stand after a blank."""
@@ -283,7 +292,7 @@ class WordMemo:
                 size += len(text)
             if block and (text is None or size > 1 << 22):
                 split = [t.split(" ") for t in block]
-                split = [None if "" in s or " ".join(map(str.strip, s)) != t else s for s, t in zip(split, block)]
+                split = [None if "" in s or " ".join(map(str.strip, s)) != t or self.divide.search(t) else s for s, t in zip(split, block)]
                 first = [s.pop(0) if s else "" for s in split]
                 fresh = list(set().union(*filter(None, split)).difference(memo))
                 if fresh:
