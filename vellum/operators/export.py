@@ -26,9 +26,9 @@ def csv_line(cells: list[Column]) -> Column:
     return F.concat_ws(",", *[csv_cell(c) for c in cells])
 
 
-def csv_rows(iocs: DataFrame, columns: list[str] = CSV_COLUMNS) -> DataFrame:
-    """One line per indicator (line); a writer of text files puts the header and the byte-order mark first."""
-    return iocs.select(csv_line([F.col(c) if c in iocs.columns else F.lit(None) for c in columns]).alias("line"))
+def csv_rows(iocs: DataFrame, columns: list[str] = CSV_COLUMNS, key: list[str] = ()) -> DataFrame:
+    """One line per indicator (line), after the key; a writer of text files puts the header and the byte-order mark first."""
+    return iocs.select(*key, csv_line([F.col(c) if c in iocs.columns else F.lit(None) for c in columns]).alias("line"))
 
 
 def csv_text(lines: list[str], columns: list[str] = CSV_COLUMNS) -> str:

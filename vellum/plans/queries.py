@@ -510,6 +510,20 @@ def msg_ioc_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("message_id", export.csv_line([F.lit("url"), text.defang_url(F.col("value"))]).alias("line")).distinct()
 
 
+@query("msg_ioc_csv_all")
+def msg_ioc_csv_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL of every message, unwrapped ones too, with all columns; a test holds it against plain Python."""
+    once = mail.relation(spark, sf_dir, "urls").groupBy("message_id", "value").agg(F.min("ord").alias("ord"), F.bool_or("is_mismatch").alias("is_mismatch"))
+    u = iocs.unwrapped(once.withColumn("source", F.lit("body")), ["message_id"], urls.decoder("unwrap"))
+    u = u.withColumn("risks", iocs.url_risks(F.col("value"), mismatch=F.coalesce("is_mismatch", F.lit(False))))
+    levels = F.col("risks.level")
+    cells = {
+        "type": F.lit("url"), "value": text.defang_url(F.col("value")), "source": F.coalesce("source", F.lit("unwrapped")), "risk": F.array_join("risks.type", "; "),
+        "risk_level": F.when(F.array_contains(levels, "high"), "high").when(F.array_contains(levels, "medium"), "medium"), "unwrapped_from": text.defang_url(F.col("unwrapped_from")),
+    }
+    return export.csv_rows(u.select("message_id", *[c.alias(n) for n, c in cells.items()]), key=["message_id"])
+
+
 @query("msg_mixed_script", r"""WITH s AS (SELECT o_orderkey AS k, concat(['invoice', 'pаypal', 'αpple', 'Москва', 'héllo'][o_orderkey % 5 + 1], ' ', ['due', 'a​b', 'ok'][o_orderkey % 3 + 1]) AS t FROM orders)
 SELECT CAST(len(list_filter(regexp_extract_all(t, '[\p{L}\p{M}]{3,}'), lambda w: regexp_matches(w, '\p{Latin}') AND regexp_matches(w, '[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}]'))) AS BIGINT) AS mixed,
   CAST(len(regexp_extract_all(t, '[\p{L}\p{N}][\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{00AD}\x{180E}]+[\p{L}\p{N}]')) AS BIGINT) AS hidden, count(*) AS n FROM s GROUP BY ALL""")
