@@ -12,7 +12,7 @@ from conftest import DATA, rows_of
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellum.llm import elias_fano, exact_dedup, html_text, mixing, near_join, ngram_lm, packing, quality, registry, secrets, surrogates, text_hash, vector_search
+from vellum.llm import common, elias_fano, exact_dedup, html_text, mixing, near_join, ngram_lm, packing, quality, registry, secrets, surrogates, text_hash, vector_search
 
 WHITE = " \t\n\x0b\x0c\r"
 LONG = "word " * 60_000
@@ -200,17 +200,42 @@ def test_exact_dedup_odd(spark):
     docs = odd_docs(spark)
     groups = plain_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
     want = sorted((i or 0, min(g, key=lambda x: (-len(x[1]), x[0] is None, x[0] or 0))[0] or 0, len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for i, _ in g)
-    got = exact_dedup.exact_groups(docs).select("id", "keep_id", "group_size", F.lower(F.hex("digest")).alias("h")).collect()
+    got = exact_dedup.exact_groups(docs).select("id", F.col("keep.id").alias("keep_id"), "group_size", F.lower(F.hex("digest")).alias("h")).collect()
     assert sorted((r["id"] or 0, r["keep_id"] or 0, r["group_size"], r["h"]) for r in got) == want
     kept = exact_dedup.exact_dedup(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
     assert exact_dedup.exact_dedup(empty_docs(spark)).count() == 0 and exact_dedup.exact_groups(empty_docs(spark)).count() == 0
 
 
-def test_bloom_overflow_gives_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("slots", [16, 1])
+def test_filter_too_large_to_broadcast(spark, monkeypatch, slots):
+    """The filter in partitions, also with so few slots that many unique rows pass it."""
     want = sorted(map(tuple, exact_dedup.op5_exact_dedup(spark, str(DATA)).collect()))
+    docs = documents(spark)
+    kept = sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs).select("doc_id").collect())
     monkeypatch.setattr(exact_dedup, "MAX_WORDS", 0)
+    monkeypatch.setattr(common, "MAX_WORDS", 0)
+    monkeypatch.setattr(exact_dedup, "SLOTS_PER_ROW", slots)
     assert sorted(map(tuple, exact_dedup.op5_exact_dedup(spark, str(DATA)).collect())) == want
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs).select("doc_id").collect()) == kept == sorted(r[0] for r in want if r[3])
+
+
+def test_filter_passes_few_unique_rows(spark):
+    """Of 300,000 distinct digests and 30,000 that occur twice, every repeated row is held back and few others."""
+    rows = spark.range(360_000).selectExpr("id", "id AS at", "0L AS file", "1L AS length", "unhex(sha2(CAST(if(id < 330000, id, id - 30000) AS STRING), 256)) AS digest")
+    maybe, single = exact_dedup.possibly_repeated(rows, 360_000)
+    assert single.where("id >= 300000").count() == 0 and maybe.count() + single.count() == 360_000
+    assert maybe.count() < 60_000 + 0.02 * 300_000
+
+
+def test_places_in_files(spark, tmp_path):
+    docs = documents(spark)
+    rows = common.located(docs)
+    assert rows.select("_file", "_at").distinct().count() == docs.count()
+    gone = rows.where("_doc.doc_id % 3 = 0").select("_file", "_at")
+    assert {r["doc_id"] for r in common.without(rows, gone).collect()} == {r["doc_id"] for r in docs.collect() if r["doc_id"] % 3}
+    odd = docs.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("_metadata"), "*")
+    assert common.located(odd).select("_file", "_at").distinct().count() == 2 * docs.count()
 
 
 # --- 6 --------------------------------------------------------------------------------------------
@@ -432,8 +457,20 @@ def test_pruning_tolerance():
     assert text_hash.tokens(["A b", None, ""]).bounds.tolist() == [0, 2, 2, 2]
 
 
+def test_ids_do_not_matter(spark):
+    """Rows without an id or with one id for different texts are linked by their own texts."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:59], f"end{i}"]) for i in range(3)] + ["something else that is not alike at all here"] * 2
+    docs = spark.createDataFrame([(None if k % 2 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = near_join.near_join(docs).orderBy("at").collect()
+    assert sorted(r["n_links"] for r in got) == [0, 0, 2, 2, 2] and sorted(r["class_size"] for r in got) == [1, 1, 1, 2, 2]
+    assert near_join.near_dedup(docs).count() == 2
+
+
 def test_large_bucket_is_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(near_join, "CHUNK", 4)
+    monkeypatch.setattr(near_join, "MOST_CHUNK", 4)
+    monkeypatch.setattr(near_join, "PAIRS", 8)
     base = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join([*base[:59], f"end{i}"])) for i in range(25)]
     got = near_join.near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()

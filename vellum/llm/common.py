@@ -8,6 +8,8 @@ Everything here is plain DataFrame code. The three ideas every operator leans on
   a thousandth of the rows are at most a thousand, so they are broadcast; the others are shuffled
   and no partition can then be dominated by one key.
 * ``ranked``: row numbers and running sums inside a group without sending the group to one task.
+* ``located`` and ``without``: a row is named by its place in its Parquet file, so a decision about it comes back as one
+  bit. The bits are broadcast behind a check of their number; beyond that rows meet them by a shuffled join.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 #: Rows that one bucket of a distributed rank aims at.
 RANK_BUCKET_ROWS = 4000
+#: Most words of a bitmap (64 rows or slots each) that are broadcast, about 40 bytes each.
+MAX_WORDS = 1 << 20
+#: Bytes of an Arrow batch that Python workers get; one longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -53,6 +62,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, so that a worker's memory does not depend on the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -111,5 +127,36 @@ def packed(docs: DataFrame, name: str = "_doc") -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """_doc (the columns of docs), _file and _at: a row's Parquet file and its place in it, the same at every read.
+
+    Anything but a plain Parquet table is first written to the shared folder.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation" and "_metadata" not in [c.lower() for c in docs.columns]:
+        try:
+            return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *place)
+        except AnalysisException:  # a file format without row numbers
+            pass
+    return cut(packed(docs), "located").select("_doc", *place)
+
+
+def marked(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """rows (with _file and _at) and _marked: whether places (_file, _at) has the row."""
+    word, bit = F.expr("shiftright(_at, 6)"), F.expr("shiftleft(1L, CAST(_at & 63 AS INT))")
+    words = cut(places.select("_file", word.alias("_word"), bit.alias("_bit")).groupBy("_file", "_word").agg(F.bit_or("_bit").alias("_bits")), "marks")
+    side = F.broadcast(words) if words.count() <= MAX_WORDS else words
+    met = rows.withColumn("_word", word).join(side, ["_file", "_word"], "left")
+    return met.withColumn("_marked", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def without(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The documents of located rows that are not in places, with their columns."""
+    return marked(rows, places).where("NOT _marked").select("_doc.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

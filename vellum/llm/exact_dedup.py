@@ -1,112 +1,114 @@
 """Exact de-duplication by two Bloom passes (native).
 
-Pass one counts how many rows hit each slot of a Bloom-style table and keeps the slots hit more than
-once as 64-bit words of a bitmap. Pass two probes it: a row whose slots were not all hit twice is
-unique for certain and goes straight through; only the rest are shuffled, as (digest, length, id)
-and never with their text. The non-zero words are counted first: up to MAX_WORDS they are broadcast,
-beyond that every narrow row is shuffled by digest instead, with the same result.
+Pass one counts how many rows hit each slot of a Bloom-style table (each task sends a slot once, with its
+count) and keeps the slots hit more than once as 64-bit words of a bitmap. Pass two probes it: a row one of whose
+slots was not hit twice is unique for certain and goes straight through; only the rest are shuffled by their
+digest, as (digest, length, id, place) and never with their text. A filter of up to MAX_WORDS words is broadcast. A
+larger one stays in partitions by word: rows meet it by their first slot, those that pass by their second, and the
+words that many rows hit are broadcast all the same. What goes is marked by a row's place in its file, so texts are
+not shuffled either, unless there are more than MAX_WORDS words of such marks.
 
 Defined results: a null text counts as empty; texts that are equal after white space is removed form a
 group, empty ones included; of rows that tie on length the smallest doc_id stays, a null doc_id counts
-as the largest, and of rows repeated with the same doc_id exactly one stays.
+as the largest, and of rows repeated with the same doc_id exactly one stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import attach, cut, packed
+from vellum.llm.common import MAX_WORDS, attach, cut, located, table, without
 
 #: Slots of the repeat filter for each row.
 SLOTS_PER_ROW = 16
-#: Most words of the filter that are broadcast (16 bytes each).
-MAX_WORDS = 1 << 20
 #: Hash functions of the filter.
 PROBES = 2
 #: Characters that do not count when texts are compared: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, length, digest) of every row: all that de-duplication needs of a document."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.monotonically_increasing_id().alias("row"),
+def narrow(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, file, at, length, digest) of every located row: all that de-duplication needs of a document."""
+    text = F.coalesce(F.col(f"_doc.`{text_col}`").cast("string"), F.lit(""))
+    return rows.select(
+        F.col(f"_doc.`{id_col}`").cast("long").alias("id"), F.col("_file").alias("file"), F.col("_at").alias("at"),
         F.length(text).cast("long").alias("length"),
         F.unhex(F.sha2(F.translate(text, WHITE, ""), 256)).alias("digest"),
     )
 
 
-def possibly_repeated(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows that may be repeated, rows that are unique for certain), by the two Bloom passes."""
-    slots = 1 << 10
-    while slots < n_rows * SLOTS_PER_ROW:
-        slots *= 2
-    at = [F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(slots)) for seed in range(PROBES)]
-    probed = rows.select("*", *[a.alias(f"at{i}") for i, a in enumerate(at)])
+def repeat_filter(rows: DataFrame, slots: int) -> DataFrame:
+    """word, bits, hits: the slots that more than one row hits, as words of 64, and how often they are hit."""
     hit = (
-        probed.select(F.explode(F.array_distinct(F.array(*[f"at{i}" for i in range(PROBES)]))).alias("at"))
-        .groupBy("at")
+        rows.select(F.explode(F.array_distinct(F.array(*[slot(i, slots) for i in range(PROBES)]))).alias("slot"))
+        .groupBy("slot")
         .agg(F.count(F.lit(1)).alias("hits"))
         .where("hits > 1")
     )
-    words = hit.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")
+    return hit.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits"), F.sum("hits").alias("hits")
     )
-    words = cut(words, "dedup-filter")
-    if words.count() > MAX_WORDS:
-        return rows, rows.limit(0)
-    out = probed
-    for i in range(PROBES):
-        named = words.select(F.col("word").alias(f"word{i}"), F.col("bits").alias(f"bits{i}"))
-        out = out.withColumn(f"word{i}", (F.col(f"at{i}") / 64).cast("long")).join(F.broadcast(named), f"word{i}", "left")
-    set_ = F.lit(True)
+
+
+def slot(i: int, slots: int) -> Column:
+    return F.pmod(F.xxhash64("digest", F.lit(i)), F.lit(slots))
+
+
+def possibly_repeated(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be repeated, rows that are unique for certain), by the two Bloom passes."""
+    slots = 1 << 10
+    while slots < n_rows * SLOTS_PER_ROW:
+        slots *= 2
+    words = cut(repeat_filter(rows, slots), "dedup-filter")
+    few = words.count() <= MAX_WORDS
+    columns, maybe, single = rows.columns, rows, []
     for i in range(PROBES):
-        set_ = set_ & (F.expr(f"shiftright(coalesce(bits{i}, 0L), CAST(at{i} % 64 AS INT)) & 1L") == 1)
-    flagged = out.select("id", "row", "length", "digest", set_.alias("maybe"))
-    return flagged.where("maybe").drop("maybe"), flagged.where("NOT maybe").drop("maybe")
+        probing = maybe.withColumn("slot", slot(i, slots)).withColumn("word", F.expr("shiftright(slot, 6)"))
+        met = probing.join(F.broadcast(words), "word", "left") if few else attach(probing, words, "word", "hits", PROBES * n_rows, "left")
+        passed = F.coalesce(F.expr("bits & shiftleft(1L, CAST(slot & 63 AS INT))") != 0, F.lit(False))
+        met = cut(met.select(*columns, passed.alias("passed")), f"dedup-probe-{i}")
+        single.append(met.where("NOT passed").select(*columns))
+        maybe = met.where("passed").select(*columns)
+    unique = single[0]
+    for more in single[1:]:
+        unique = unique.unionByName(more)
+    return maybe, unique
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, row, digest, keep_id, keep_row, group_size."""
-    rows = cut(narrow(docs, id_col, text_col), "dedup-digests")
+    """One row per document: id, file, at, digest, keep (id, file, at) and group_size."""
+    return groups_of(located(docs), id_col, text_col)
+
+
+def groups_of(placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = cut(narrow(placed, id_col, text_col), "dedup-digests")
     n = rows.count()
     maybe, single = possibly_repeated(rows, n)
     groups = maybe.groupBy("digest").agg(
-        F.min_by(F.struct("id", "row"), F.struct(-F.col("length"), F.col("id").isNull(), "id", "row")).alias("keep"),
+        F.min_by(F.struct("id", "file", "at"), F.struct(-F.col("length"), F.col("id").isNull(), "id", "file", "at")).alias("keep"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    found = attach(maybe, cut(groups, "dedup-groups"), "digest", "group_size", n).select(
-        "id", "row", "digest", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size"
-    )
-    alone = single.select("id", "row", "digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
-    return found.unionByName(alone)
+    shown = ["id", "file", "at", "digest", "keep", "group_size"]
+    found = attach(maybe, cut(groups, "dedup-groups"), "digest", "group_size", n).select(*shown)
+    return found.unionByName(single.withColumns({"keep": F.struct("id", "file", "at"), "group_size": F.lit(1).cast("long")}).select(*shown))
+
+
+def stays() -> Column:
+    return (F.col("file") == F.col("keep.file")) & (F.col("at") == F.col("keep.at"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; texts are never shuffled for groups that keep distinct ids."""
-    groups = exact_groups(docs, id_col, text_col)
-    dropped = groups.where("row <> keep_row").select(F.col("id").alias("_id"), F.hex("digest").alias("_digest"), (F.col("id").eqNullSafe(F.col("keep_id"))).alias("_same"))
-    dropped = cut(dropped.groupBy("_id", "_digest").agg(F.bool_or("_same").alias("_same")), "dedup-dropped")
-    text = F.coalesce(F.col(f"_doc.{text_col}").cast("string"), F.lit(""))
-    keyed = packed(docs).withColumns({"_own": F.col(f"_doc.{id_col}").cast("long"), "_sha": F.upper(F.sha2(F.translate(text, WHITE, ""), 256))})
-    on = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest"))
-    kept = keyed.join(dropped, on, "left_anti")
-    # rows repeated with one doc_id: rare, so they alone are ranked to leave exactly one
-    again = keyed.join(dropped.where("_same").select("_id", "_digest"), on, "left_semi")
-    one = Window.partitionBy("_own", "_sha").orderBy(F.desc(F.length(text)), F.xxhash64(text), F.monotonically_increasing_id())
-    first = again.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return kept.unionByName(first).select("_doc.*")
+    """The documents that stay, with all their columns."""
+    placed = located(docs)
+    gone = groups_of(placed, id_col, text_col).where(~stays())
+    return without(placed, gone.select(F.col("file").alias("_file"), F.col("at").alias("_at")))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    from vellum.llm.common import table
-
     g = exact_groups(table(spark, sf_dir, "documents"))
     return g.select(
-        F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), "group_size", stays().alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 

@@ -22,17 +22,21 @@ CLASSES[48:58] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes that are summed in one go: the tables of powers and all temporaries of a stretch stay in cache.
+STRETCH = 1 << 16
+
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
+    """base**0 .. base**(n-1) modulo 2**64; those of a stretch are kept, longer ones (of a longer token) are not."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        factors = np.full(size, base, dtype=np.uint64)
+        factors = np.full(max(n, STRETCH), base, dtype=np.uint64)
         factors[0] = 1
-        have = _powers[base] = np.cumprod(factors)
+        have = np.cumprod(factors)
+        if n <= STRETCH:
+            _powers[base] = have
     return have[:n]
 
 
@@ -73,18 +77,22 @@ def tokens(texts: list[str | None], by_class: bool = False) -> Tokens:
     if len(edge):
         real = classes[start] > 0
         start, end = start[real], end[real]
-    low = LOWER[data]
-    n = len(data)
-    up, down = powers(BASE, n), powers(INVERSE, n)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    mark = mix((sums[end] - sums[start]) * down[start]) if len(start) else np.zeros(0, dtype=np.uint64)
+    mark = np.empty(len(start), dtype=np.uint64)
+    first = 0
+    while first < len(start):  # a stretch of whole tokens at a time
+        last = max(first + 1, int(np.searchsorted(end, start[first] + STRETCH, side="right")))
+        at = start[first]
+        n = int(end[last - 1] - at)
+        sums = np.empty(n + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum((LOWER[data[at : at + n]].astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
+        mark[first:last] = mix((sums[end[first:last] - at] - sums[start[first:last] - at]) * powers(INVERSE, n)[start[first:last] - at])
+        first = last
     begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)])
     return Tokens(data, start, end, mark, np.searchsorted(start, begins))
 
 
-def blocks(texts: list, size: int = 1 << 22) -> list[tuple[int, int]]:
+def blocks(texts: list, size: int = 1 << 19) -> list[tuple[int, int]]:
     """Ranges of texts of about size characters; a longer text is a range of its own."""
     out, begin, held = [], 0, 0
     for i, t in enumerate(texts):
