@@ -178,14 +178,34 @@ def test_quality_held_out(spark):
 
 
 def test_quality_odd(spark):
-    model = quality.fit(*quality.labelled_sample(documents(spark), labels(spark)))
+    model = quality.trained(documents(spark), labels(spark))
     assert quality.score_quality(odd_docs(spark), model).count() == 12
-    none = quality.fit([], np.zeros(0))
+    none = quality.trained(documents(spark), labels(spark).limit(0))
     assert quality.score_quality(odd_docs(spark), none).agg(F.min("score")).first()[0] == 0.5
     kept = quality.keep_quality(odd_docs(spark), labels(spark).limit(0), threshold=0.4)
     assert kept.count() == 12 and kept.columns == odd_docs(spark).columns
 
 
+def test_context_sums_brute_force(spark):
+    texts = [r["text"] for r in documents(spark).limit(40).collect()]
+    places, signs = quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.DIMENSIONS), dtype=np.int64)
+    for t in texts:
+        ids = quality.token_ids([t])[0].tolist()
+        for k, i in enumerate(ids):
+            for near in ids[max(0, k - quality.WINDOW) : k] + ids[k + 1 : k + 1 + quality.WINDOW]:
+                want[i, places[near]] += signs[near]
+    assert (quality.context_sums(documents(spark).limit(40)) == want).all()
+
+
+def test_quality_labelled_rows(spark):
+    """A labelled id that repeats, and very long labelled texts, leave the sample bounded."""
+    docs = spark.createDataFrame([(k % 30, ("good words here " if k % 2 else "BAD 99 !! ") * (k % 7 + 1)) for k in range(600)] + [(1, LONG)], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    model = quality.trained(docs, marks, most=100)
+    assert model.share is None and model.score(["good words here"])[0] > 0.7 > 0.5 > model.score(["BAD 99 !!"])[0]
+
+
 # --- 5 --------------------------------------------------------------------------------------------
 
 

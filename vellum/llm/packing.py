@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, ranked, table
+from vellum.llm.common import cut, ranked, small_batches, table
 
 CAPACITY = 2048
 #: Lengths over this share of the capacity are packed by configurations; tried in this order.
@@ -37,7 +37,7 @@ LARGE = (1 / 2, 1 / 3, 1 / 4, 1 / 8)
 #: Number of equal-cardinality groups of large lengths.
 GROUPS = 48
 #: Words each worker remembers at most between blocks; the frequent ones come early, so none is dropped for a later one.
-MEMO = 300_000
+MEMO = 200_000
 
 
 # --- the plan, from a histogram -------------------------------------------------------------------
@@ -239,7 +239,7 @@ class WordMemo:
     text is a row of units (a word with the blank before it) whose ids do not depend on one another. Units not
     seen before are encoded together, in one call, and cut apart by the byte lengths of their tokens; frequent
     ones are remembered. Texts with longer or mixed white space next to a blank are encoded as a whole. Texts that
-hold an added token of the vocabulary are divided at it first, and it gets its own id.
+    hold an added token of the vocabulary are divided at it first, and it gets its own id.
     """
 
     def __init__(self, path: str) -> None:
@@ -290,7 +290,7 @@ hold an added token of the vocabulary are divided at it first, and it gets its o
             if text is not None:
                 block.append(text)
                 size += len(text)
-            if block and (text is None or size > 1 << 22):
+            if block and (text is None or size > 1 << 19):
                 split = [t.split(" ") for t in block]
                 split = [None if "" in s or " ".join(map(str.strip, s)) != t or self.divide.search(t) else s for s, t in zip(split, block)]
                 first = [s.pop(0) if s else "" for s in split]
@@ -344,6 +344,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     at, number = at + n, number + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return wanted.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

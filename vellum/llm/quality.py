@@ -2,18 +2,20 @@
 
 Tokens are words (lower-cased), numbers and runs of other signs, with one more token for a word in
 capitals. Each of BUCKETS hashed token types has a sparse random index vector; its word vector is
-that plus the normalised sum of the index vectors seen within WINDOW tokens of it. A document is the
+that plus the normalised sum of the index vectors seen within WINDOW tokens of it in all documents: every task
+sums its own (whole numbers, BUCKETS x DIMENSIONS at most), and the sums are added up by token type. A document is the
 mean of its tokens' vectors over the whole text, with that mean's length (a repeated text keeps a long
 mean, a varied one averages out), the share of neighbours with one vector and the logarithm of its
 size. A two-layer network, trained by
 Adam in numpy, gives a logit; one temperature fitted on rows kept out of training makes it a probability.
 
-Only fitting sees labels, on at most LABELLED rows (the smallest hashes of doc_id); scoring reads every
-document and its whole text. Labels, language, source and id are no inputs of a score.
+Only fitting sees labels, on at most LABELLED rows (the smallest hashes of doc_id), whose features are made where
+the texts are; scoring reads every document and its whole text. Labels, language, source and id are no inputs of a score.
 
-Defined results: null and empty texts are scored as an empty document; with no labels, or labels of
+Defined results: null and empty texts are scored as an empty document; with fewer than ten labels, or labels of
 one class only, the score is the class share, (ones + 1) / (labels + 2); labels repeated or null are
-averaged per document or left out.
+averaged per document or left out; documents repeated with one doc_id are each scored, and each a labelled row; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import table
+from vellum.llm.common import parallelism, small_batches, table
 from vellum.llm.text_hash import blocks, tokens
 
 BUCKETS = 1 << 15
@@ -52,7 +54,7 @@ def token_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
     first = t.data[t.start]
     digits = (first >= 48) & (first <= 57)
     ids[digits] = NUMBER
-    upper = np.concatenate([[0], np.cumsum((t.data >= 65) & (t.data <= 90))])
+    upper = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum((t.data >= 65) & (t.data <= 90), dtype=np.int32)])
     n = t.end - t.start
     shout = (n > 1) & (upper[t.end] - upper[t.start] == n)
     more = shout.astype(np.int64) + 1
@@ -63,30 +65,72 @@ def token_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def index_vectors(seed: int = 7) -> np.ndarray:
-    """Sparse ternary vectors of unit length."""
+def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse ternary vectors: the places of their NONZERO entries, and their signs."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32)
     places = np.argsort(rng.random((BUCKETS, DIMENSIONS)), axis=1)[:, :NONZERO]
-    out[np.arange(BUCKETS)[:, None], places] = rng.choice([-1.0, 1.0], size=(BUCKETS, NONZERO)) / np.sqrt(NONZERO)
-    return out
+    return places, rng.choice(np.array([-1, 1]), size=(BUCKETS, NONZERO))
 
 
-def word_vectors(texts: list) -> np.ndarray:
-    """Index vectors plus the normalised sum of the index vectors around each token type in texts."""
-    index = index_vectors()
-    around = np.zeros((BUCKETS, DIMENSIONS), dtype=np.float64)
+def add_contexts(texts: list, sums: np.ndarray) -> None:
+    """Adds the index vectors around every token of texts to its type's row of sums (whole numbers)."""
+    places, signs = index_vectors_once()
+    flat = sums.reshape(-1)
     for a, b in blocks(texts):
         ids, bounds = token_ids(texts[a:b])
-        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        text = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
         for step in range(1, WINDOW + 1):
-            left, right = ids[:-step], ids[step:]
             same = text[:-step] == text[step:]
-            left, right = left[same], right[same]
-            for d in range(DIMENSIONS):
-                around[:, d] += np.bincount(left, index[right, d], BUCKETS) + np.bincount(right, index[left, d], BUCKETS)
-    length = np.linalg.norm(around, axis=1, keepdims=True)
-    return (index + around / np.maximum(length, 1e-9)).astype(np.float32)
+            left, right = ids[:-step][same], ids[step:][same]
+            for of, near in ((left, right), (right, left)):
+                for k in range(NONZERO):
+                    np.add.at(flat, of * DIMENSIONS + places[near, k], signs[near, k])
+
+
+_index: list = []
+
+
+def index_vectors_once() -> tuple[np.ndarray, np.ndarray]:
+    if not _index:
+        _index.append(index_vectors())
+    return _index[0]
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """Index vectors of unit length plus the normalised context sums."""
+    places, signs = index_vectors_once()
+    out = np.zeros((BUCKETS, DIMENSIONS))
+    out[np.arange(BUCKETS)[:, None], places] = signs / np.sqrt(NONZERO)
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    return (out + sums / np.maximum(length, 1e-9)).astype(np.float32)
+
+
+def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The context sums of all documents. Tasks send the rows of token types they met; only BUCKETS rows reach the driver."""
+    small_batches(docs.sparkSession)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((BUCKETS, DIMENSIONS), dtype=np.int64)
+        for batch in batches:
+            add_contexts(list(batch["text"]), sums)
+        met = np.flatnonzero(sums.any(axis=1))
+        yield pd.DataFrame({"bucket": met.astype(np.int32), "sums": [r.tobytes() for r in sums[met].astype("<i8" if len(met) and abs(sums).max() >= 1 << 31 else "<i4")]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, raw in zip(batch["bucket"].tolist(), batch["sums"]):
+                row = np.frombuffer(raw, dtype="<i8" if len(raw) == 8 * DIMENSIONS else "<i4").astype(np.int64)
+                total[bucket] = total[bucket] + row if bucket in total else row
+        yield pd.DataFrame({"bucket": np.array(list(total), dtype=np.int32), "sums": [r.tobytes() for r in total.values()]})
+
+    form = "bucket int, sums binary"
+    partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(each, form)
+    rows = partial.repartition(parallelism(docs.sparkSession), "bucket").mapInPandas(add, form).collect()
+    out = np.zeros((BUCKETS, DIMENSIONS), dtype=np.int64)
+    for r in rows:
+        out[r["bucket"]] = np.frombuffer(r["sums"], dtype="<i8")
+    return out
 
 
 def pooled(texts: list, vectors: np.ndarray) -> np.ndarray:
@@ -144,13 +188,11 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(loss.argmin())])
 
 
-def fit(texts: list, labels: np.ndarray, seed: int = 11) -> Model:
-    """A model from labelled texts; every fifth one only sets the temperature."""
+def fit(x: np.ndarray, labels: np.ndarray, vectors: np.ndarray, seed: int = 11) -> Model:
+    """A model from labelled rows of features made with these word vectors; every fifth one only sets the temperature."""
     y = np.asarray(labels, dtype=np.float64)
     if len(y) < 10 or y.min() == y.max():
         return Model(*[np.zeros(0)] * 6, 0.0, 1.0, share=float((y.sum() + 1) / (len(y) + 2)))
-    vectors = word_vectors(texts)
-    x = pooled(texts, vectors)
     held = np.arange(len(y)) % 5 == 0
     centre, scale = x[~held].mean(axis=0), x[~held].std(axis=0) + 0.05 * x[~held].std() + 1e-6
     x = (x - centre) / scale
@@ -185,8 +227,9 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LABELLED) -> tuple[list, np.ndarray]:
-    """At most this many labelled texts of the training folds, those with the smallest hashes of their id."""
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LABELLED) -> Model:
+    """A model: word vectors of all documents, and a network fitted on at most this many labelled rows of the training folds, those with the smallest hashes of their id."""
+    spark = docs.sparkSession
     one = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 2))
         .groupBy(F.col(id_col).cast("long").alias("_id"))
@@ -195,14 +238,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .orderBy("_hash", "_id")
         .limit(most)
     )
+    if not one.limit(1).count():
+        return fit(np.zeros((0, 0)), np.zeros(0), np.zeros(0))
+    vectors = word_vectors(context_sums(docs, text_col))
+    shared = spark.sparkContext.broadcast(vectors)  # BUCKETS x DIMENSIONS floats
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = pooled(list(batch.pop("text")), shared.value)
+            yield batch.assign(x=list(x), size=x[:, DIMENSIONS + 1])
+
+    text = F.col(text_col).cast("string").alias("text")
+    found = docs.select(F.col(id_col).cast("long").alias("_id"), text).join(F.broadcast(one), "_id").select("_hash", "_id", "_label", "text")
     rows = (
-        docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .join(F.broadcast(one), "_id")
-        .select("_hash", "_id", "_text", "_label")
-        .collect()
+        found.mapInPandas(features, "_hash long, _id long, _label double, x array<double>, size double")
+        .orderBy("_hash", "_id", "size", F.hash("x")).limit(most).collect()
     )
-    rows = sorted(rows, key=lambda r: (r["_hash"], r["_id"], r["_text"] or ""))[:most]
-    return [r["_text"] for r in rows], np.array([float(r["_label"]) for r in rows])
+    return fit(np.array([r["x"] for r in rows]), np.array([r["_label"] for r in rows]), vectors)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,13 +265,14 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": shared.value.score(list(batch["text"]))})
 
+    small_batches(docs.sparkSession)
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return wanted.mapInPandas(run, "doc_id long, score double")
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels")))
+    model = trained(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select(
         "doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
@@ -227,7 +280,7 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns; scored in the rows themselves, so nothing is joined."""
-    model = fit(*labelled_sample(docs, labels))
+    model = trained(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
