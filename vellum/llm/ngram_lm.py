@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, table
+from vellum.llm.common import cut, released, small_batches, table
 from vellum.llm.elias_fano import CHILD_BITS, Trie, quantise, value_of
 from vellum.llm.text_hash import tokens
 
@@ -253,9 +253,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         yield from done()
 
     place = "file string, block long, first long, last long, shard long"
-    asked = blocked.mapInPandas(ask, f"{place}, payload binary")
+    asked = blocked.mapInPandas(released(ask), f"{place}, payload binary")
     dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard", "file", "first")
-    replies = cut(dealt.mapInPandas(reply, f"{place}, answer binary, tokens long, words long"), "lm-answers")
+    replies = cut(dealt.mapInPandas(released(reply), f"{place}, answer binary, tokens long, words long"), "lm-answers")
     sums = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     n, v = int(sums[0]), int(sums[1])
 
@@ -295,7 +295,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     both = replies.select("file", "block", F.col("first").alias("at"), "last", "shard", "answer").unionByName(blocked, allowMissingColumns=True)
     parts = max(1, -(-n_rows // BLOCK_ROWS))
     met = both.repartition(parts, "file", "block").sortWithinPartitions("file", "block", F.col("answer").isNull(), "at")
-    return met.mapInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return met.mapInPandas(released(judge), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_ngram_lm(spark, sf_dir: str) -> DataFrame:

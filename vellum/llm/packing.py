@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, ranked, small_batches, table
+from vellum.llm.common import cut, ranked, released, small_batches, table
 
 CAPACITY = 2048
 #: Lengths over this share of the capacity are packed by configurations; tried in this order.
@@ -328,12 +328,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer or default_tokenizer()).batch
+        encode = encoder(tokenizer or default_tokenizer())
         end = (0).to_bytes(4, "little")
         for batch in batches:
             rows: list = []
             texts = [t or "" for t in batch["text"]]
-            for doc, ids in zip(batch["doc_id"], encode(texts)):
+            for doc, ids in zip(batch["doc_id"], encode.batch(texts)):
                 ids += end
                 total = len(ids) // 4
                 first = total % capacity or capacity
@@ -343,10 +343,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     rows.append((doc, number, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])))
                     at, number = at + n, number + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        encode.memo.clear()
 
     small_batches(docs.sparkSession)
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return wanted.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return wanted.mapInPandas(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import parallelism, small_batches, table
+from vellum.llm.common import parallelism, released, small_batches, table
 from vellum.llm.text_hash import blocks, tokens
 
 BUCKETS = 1 << 15
@@ -125,8 +125,8 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pd.DataFrame({"bucket": np.array(list(total), dtype=np.int32), "sums": [r.tobytes() for r in total.values()]})
 
     form = "bucket int, sums binary"
-    partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(each, form)
-    rows = partial.repartition(parallelism(docs.sparkSession), "bucket").mapInPandas(add, form).collect()
+    partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(released(each), form)
+    rows = partial.repartition(parallelism(docs.sparkSession), "bucket").mapInPandas(released(add), form).collect()
     out = np.zeros((BUCKETS, DIMENSIONS), dtype=np.int64)
     for r in rows:
         out[r["bucket"]] = np.frombuffer(r["sums"], dtype="<i8")
@@ -251,7 +251,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     text = F.col(text_col).cast("string").alias("text")
     found = docs.select(F.col(id_col).cast("long").alias("_id"), text).join(F.broadcast(one), "_id").select("_hash", "_id", "_label", "text")
     rows = (
-        found.mapInPandas(features, "_hash long, _id long, _label double, x array<double>, size double")
+        found.mapInPandas(released(features), "_hash long, _id long, _label double, x array<double>, size double")
         .orderBy("_hash", "_id", "size", F.hash("x")).limit(most).collect()
     )
     return fit(np.array([r["x"] for r in rows]), np.array([r["_label"] for r in rows]), vectors)
@@ -267,7 +267,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     small_batches(docs.sparkSession)
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return wanted.mapInPandas(run, "doc_id long, score double")
+    return wanted.mapInPandas(released(run), "doc_id long, score double")
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
@@ -283,8 +283,15 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     model = trained(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series(shared.value.score(list(part)))
+
+    give = released(scored)
+
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(list(text)))
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from give(texts)
 
+    small_batches(docs.sparkSession)
     return docs.where(score(F.col("text").cast("string")) >= threshold)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut, parallelism, table
+from vellum.llm.common import cut, parallelism, released, small_batches, table
 
 K = 20
 #: Most vectors that centroids are fitted on and probes are measured with; most sample queries.
@@ -241,7 +241,7 @@ def searched(rows: DataFrame, index: Index, k: int) -> DataFrame:
         if block is not None:
             yield block.result()
 
-    return rows.mapInPandas(run, "query_id long, vec_id long, score double")
+    return rows.mapInPandas(released(run), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K) -> DataFrame:
@@ -268,8 +268,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, index: Index, k: int = K) ->
                 own = shared.value.nearest(shared.value.queries(matrix(part["vec"])), shared.value.probes)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "probes": list(own.astype(np.int32))})
 
-    placed = cut(vectors.mapInPandas(placed_in, "list int, id long, vec array<double>"), "vector-lists")
-    asked = cut(queries.mapInPandas(asking, "id long, vec array<double>, probes array<int>"), "vector-queries")
+    placed = cut(vectors.mapInPandas(released(placed_in), "list int, id long, vec array<double>"), "vector-lists")
+    asked = cut(queries.mapInPandas(released(asking), "id long, vec array<double>, probes array<int>"), "vector-queries")
     blocks = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
