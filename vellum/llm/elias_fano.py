@@ -1,10 +1,17 @@
 """Elias-Fano sequences and a two-level n-gram trie over them, in memory-mapped files.
 
-A monotone sequence keeps the low bits of each value packed and the high bits as gaps in a bit vector. The
-trie of a shard has the contexts' fingerprints (level one, a sequence), the position of each context's
+A monotone sequence keeps the low bits of each value packed and the high bits as gaps in a bit vector, with the
+number of ones and zeros before each of its 64-bit words; a value or a gap is selected by bisecting those and then
+the word, so nothing is expanded when a sequence is opened. The
+trie has the contexts' fingerprints (level one, a sequence), the position of each context's
 first successor (pointers, a sequence) and the successors (level two): the fingerprint of a successor behind
 the number of its context, which makes the whole level one sequence. Beside each level lie its values:
 counts, and smoothed probabilities quantised to 16 bits.
+
+The file is in the worker's own temporary folder: it lives within one task, is unlinked as soon as it is mapped, and
+a lost executor's tasks build it again.
+
+Defined results: an empty sequence has no values, and its successor of anything is 0.
 """
 
 from __future__ import annotations
@@ -65,21 +72,52 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
     for b in range(width):
         bits[b::width] = (low >> np.uint64(b)) & np.uint64(1)
     high = (values >> np.uint64(width)).astype(np.int64)
-    upper = np.zeros((int(high[-1]) if n else 0) + n + 2, dtype=np.uint8)
+    last = int(high[-1]) if n else 0
+    upper = np.zeros(-(-(last + n + 2) // 64) * 64, dtype=np.uint8)
     upper[high + np.arange(n)] = 1
+    words = np.packbits(upper, bitorder="little").view("<u8")
+    ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1].astype(np.uint32)
+    zeros = (64 * np.arange(len(words), dtype=np.int64) - ones).astype(np.uint32)
     low_bytes = np.concatenate([np.packbits(bits, bitorder="little"), np.zeros(8, dtype=np.uint8)])
-    return {f"{name}.low": low_bytes, f"{name}.up": np.packbits(upper, bitorder="little"), f"{name}.meta": np.array([n, width], dtype=np.int64)}
+    return {
+        f"{name}.low": low_bytes, f"{name}.up": words, f"{name}.ones": ones, f"{name}.zeros": zeros,
+        f"{name}.meta": np.array([n, width, last], dtype=np.int64),
+    }
+
+
+def nth_one(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the bit with this rank (from 0) among the ones of each 64-bit word, by halving."""
+    word, rank, place = word.astype(np.uint64), rank.astype(np.int64), np.zeros(len(word), dtype=np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        low = word & np.uint64((1 << width) - 1)
+        have = np.bitwise_count(low).astype(np.int64)
+        beyond = rank >= have
+        word = np.where(beyond, word >> np.uint64(width), low)
+        rank = rank - np.where(beyond, have, 0)
+        place += np.where(beyond, width, 0)
+    return place
 
 
 class EliasFano:
     def __init__(self, parts: Mapped, name: str) -> None:
-        self.n, self.width = (int(x) for x in parts[f"{name}.meta"])
-        self.low = parts[f"{name}.low"]
-        upper = np.unpackbits(parts[f"{name}.up"], bitorder="little")
-        #: before[h]: how many values have a smaller high part; select over the gaps, kept while the shard is searched
-        zeros = np.flatnonzero(upper == 0)
-        self.before = (zeros - np.arange(len(zeros))).astype(np.int64)
-        self.high_of = np.repeat(np.arange(len(zeros)), np.diff(np.concatenate([[0], self.before])))[: self.n]
+        self.n, self.width, self.last = (int(x) for x in parts[f"{name}.meta"])
+        self.low, self.up, self.ones, self.zeros = (parts[f"{name}.{x}"] for x in ("low", "up", "ones", "zeros"))
+
+    def selected(self, rank: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """The place in the upper bits of the one (or zero) of each rank; before: how many come ahead of each word."""
+        at = np.searchsorted(before, rank.astype(before.dtype), side="right") - 1
+        word = self.up[at]
+        return 64 * at + nth_one(~word if flip else word, rank - before[at].astype(np.int64))
+
+    def below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a smaller high part: what precedes the gap before it."""
+        out = np.full(len(high), self.n, dtype=np.int64)
+        out[high <= 0] = 0
+        some = np.flatnonzero((high > 0) & (high <= self.last + 1))
+        if len(some):
+            rank = high[some] - 1
+            out[some] = self.selected(rank, self.zeros, True) - rank
+        return out
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -89,15 +127,17 @@ class EliasFano:
         return (words[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        return (self.high_of[at].astype(np.uint64) << np.uint64(self.width)) | self.lows(at)
+        at = np.asarray(at, dtype=np.int64)
+        if not len(at):
+            return np.zeros(0, dtype=np.uint64)
+        high = self.selected(at, self.ones, False) - at
+        return (high.astype(np.uint64) << np.uint64(self.width)) | self.lows(at)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The position of the first value >= x (n if none): the gaps give the stretch of equal high parts, its low parts are bisected."""
         high = (x >> np.uint64(self.width)).astype(np.int64)
         low = x & np.uint64((1 << self.width) - 1) if self.width else np.zeros(len(x), dtype=np.uint64)
-        last = len(self.before) - 1
-        lo = np.where(high > last, self.n, np.where(high > 0, self.before[np.clip(high - 1, 0, last)], 0))
-        hi = np.where(high > last, self.n, self.before[np.clip(high, 0, last)])
+        lo, hi = self.below(high), self.below(high + 1)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):

@@ -2,14 +2,17 @@
 
 Tokens are white-space words, A-Z lower-cased, then one end. The model is a bigram model with Dirichlet
 smoothing, p(w | v) = (c(v w) + K p(w)) / (c(v) + K), over p(w) = (c(w) + 1) / (N + V + 1), all counts from
-the training documents; it sums to one over words. No n-gram is dropped.
+the training documents. It sums to one over words but for the quantiser, which rounds the share of c(v w) down by
+less than a thousandth of itself, and for fingerprints of 40 bits that meet within a context and shard. No n-gram is dropped.
 
-The corpus is read in blocks of BLOCK_ROWS rows. A block sends each shard the words and word pairs it has,
+The corpus is read in blocks of about BLOCK_CHARS characters. A block sends each shard the words and word pairs it has,
 once each and sorted, with their training counts: that is its contribution to the model and at the same
-time its question. A shard adds up the counts of all blocks, builds its trie (see elias_fano) and answers
-every block, in the order of its question, with counts of words and 16-bit smoothed probabilities of
-pairs. The answers meet the block's documents again and every document is scored whole. Nothing grows in
-one place: shards and blocks both multiply with the input.
+time its question. A shard, planned for SHARD_CHARS characters, adds up the counts of all blocks and answers them, one
+range of contexts after another: of each range it builds the trie (see elias_fano) and looks up every block's
+pairs, in the order of the question, with counts of words and 16-bit smoothed probabilities of
+pairs. The answers meet the block's documents again and every document is scored whole. Blocks and shards both
+multiply with the input, and each stays within its size; messages between them number blocks x shards, about 10 million of 6 kB
+for 50 thousand million characters. On larger inputs give both sizes as much as executors can hold.
 
 Pairs of a very frequent first word (share over HOT in a bounded sample, so at most 1 / HOT words) are dealt
 over all shards by their second word; their codes hold c(v w), and the block divides by c(v) + K, which it
@@ -26,16 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, released, small_batches, table
 from vellum.llm.elias_fano import CHILD_BITS, Trie, quantise, value_of
 from vellum.llm.text_hash import tokens
 
-BLOCK_ROWS = 4096
-#: Documents a shard is planned for; shards follow from the number of rows.
-SHARD_ROWS = 2048
+#: Rows whose documents go to one task, and characters at which a block of them ends (a longer text is a block of its own).
+BLOCK_ROWS, BLOCK_CHARS = 4096, 8 << 20
+#: Characters a shard is planned for; the number of shards follows from the input's.
+SHARD_CHARS = 32 << 20
+#: Pairs of a range of contexts, whose trie is built at once.
+RANGE = 1 << 19
 #: Weight of the unigram distribution, in tokens.
 K = 300.0
 #: A word's share of the sampled tokens from which its pairs are dealt over all shards; most sampled documents.
@@ -124,31 +130,45 @@ def answers(payloads: list[bytes]) -> tuple[list[bytes], int, int]:
     counts = np.concatenate([a[1] for a in asked]).astype(np.int64)
     names, at = np.unique(words, return_inverse=True)
     total = np.bincount(at, counts, len(names)).astype(np.int64)
-    left = np.concatenate([np.repeat(a[2], a[3]) for a in asked]).astype(np.uint64)
-    split = np.concatenate([np.repeat(a[4], a[3]) for a in asked]).astype(bool)
-    child = np.concatenate([a[5] for a in asked])
-    pair_counts = np.concatenate([a[6] for a in asked]).astype(np.int64)
-    learnt = pair_counts > 0
-    contexts, number = np.unique(left[learnt], return_inverse=True)
+    starts = [np.concatenate([[0], np.cumsum(a[3], dtype=np.int64)]) for a in asked]
+    codes = [np.zeros(len(a[5]), dtype="<u2") for a in asked]
+    ranges = max(1, -(-sum(len(c) for c in codes) // RANGE))
+    edges = [np.uint64((k << 64) // ranges) for k in range(1, ranges)]  # contexts are hashes: spread evenly
+    cuts = [np.concatenate([[0], np.searchsorted(a[2], np.array(edges, dtype=np.uint64)), [len(a[2])]]) for a in asked]
+    for k in range(ranges):
+        parts = []
+        for a, at, cut_ in zip(asked, starts, cuts):
+            lo, hi = int(cut_[k]), int(cut_[k + 1])
+            parts.append((a[2][lo:hi].astype(np.uint64), a[3][lo:hi], a[4][lo:hi], a[5][at[lo] : at[hi]], a[6][at[lo] : at[hi]]))
+        trie = built(parts)
+        for part, code, at, cut_ in zip(parts, codes, starts, cuts):
+            found, there = trie.find(part[0])
+            code[at[cut_[k]] : at[cut_[k + 1]]] = trie.code(np.repeat(found, part[1]), np.repeat(there, part[1]), part[3])
+    out = []
+    kind = "<u4" if total.max(initial=0) < 1 << 32 else "<u8"
+    for a, code in zip(asked, codes):
+        out.append(total[np.searchsorted(names, a[0])].astype(kind).tobytes() + b"|" + code.tobytes())
+    return out, int(total.sum()), int((total > 0).sum())
+
+
+def built(parts: list[tuple]) -> Trie:
+    """The trie of (contexts, sizes, split, children, counts) of several blocks."""
+    learnt = np.concatenate([p[4] for p in parts]) > 0
+    left = np.concatenate([np.repeat(p[0], p[1]) for p in parts])[learnt]
+    split = np.concatenate([np.repeat(p[2], p[1]) for p in parts])[learnt]
+    contexts, number = np.unique(left, return_inverse=True)
+    del left
     is_split = np.zeros(len(contexts), dtype=bool)
-    is_split[number] = split[learnt]
-    key = (number.astype(np.uint64) << np.uint64(CHILD_BITS)) | child[learnt]
-    del left, split, child, number, words, counts, at
-    keys, at_key = np.unique(key, return_inverse=True)
-    del key
-    together = np.bincount(at_key, pair_counts[learnt], len(keys))
-    del at_key, pair_counts, learnt
+    is_split[number] = split
+    keys = (number.astype(np.uint64) << np.uint64(CHILD_BITS)) | np.concatenate([p[3] for p in parts])[learnt]
+    del number, split
+    keys, at = np.unique(keys, return_inverse=True)
+    together = np.bincount(at, np.concatenate([p[4] for p in parts])[learnt], len(keys))
+    del at, learnt
     owner = (keys >> np.uint64(CHILD_BITS)).astype(np.int64)
     mass = np.bincount(owner, together, len(contexts))
     codes = quantise(together / np.where(is_split, 1.0, mass + K)[owner] if len(owner) else together)
-    trie = Trie(contexts, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(contexts)))]), keys, codes, mass)
-    out = []
-    for a in asked:
-        where = np.searchsorted(names, a[0])
-        found, there = trie.find(a[2].astype(np.uint64))
-        code = trie.code(np.repeat(found, a[3]), np.repeat(there, a[3]), a[5])
-        out.append(total[where].astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8").tobytes() + b"|" + code.astype("<u2").tobytes())
-    return out, int(total.sum()), int((total > 0).sum())
+    return Trie(contexts, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(contexts)))]), keys, codes, mass)
 
 
 def scores(q: Question, shards: int, replies: dict[int, bytes], n: int, v: int) -> tuple[np.ndarray, ...]:
@@ -194,19 +214,26 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def frequent_words(rows: DataFrame, n: int) -> np.ndarray:
     """Words over HOT of the tokens of a bounded sample; it only decides how pairs are dealt, never a result."""
-    every = max(1, n // SAMPLE)
-    some = rows.where(F.pmod(F.xxhash64("doc_id", "at"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE).collect()
-    marks, _ = sequence([r["text"] for r in some])
-    words, counts = np.unique(marks, return_counts=True)
-    return words[counts >= max(2, HOT * len(marks))]
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words, counts = np.unique(sequence(list(batch["text"]))[0], return_counts=True)
+            yield pd.DataFrame({"word": words.view(np.int64), "n": counts})
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "at"), F.lit(max(1, n // SAMPLE))) == 0).select("text").limit(2 * SAMPLE)
+    sums = some.mapInPandas(released(counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = Window.partitionBy(F.lit(0))  # the words of at most 2 * SAMPLE documents
+    hot = sums.withColumn("all", F.sum("n").over(total)).where((F.col("n") >= HOT * F.col("all")) & (F.col("n") > 1)).select("word").limit(int(1 / HOT) + 1)
+    return np.array(sorted(r["word"] for r in hot.collect()), dtype=np.int64).view(np.uint64)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = numbered(docs)
-    n_rows = rows.count()
-    shards = max(8, -(-n_rows // SHARD_ROWS))
+    small_batches(spark)
+    n_rows, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards = max(8, -(-chars // SHARD_CHARS))
     hot = frequent_words(rows, n_rows)
     blocked = rows.select("doc_id", "text", "train", "file", "at", (F.col("at") / BLOCK_ROWS).cast("long").alias("block"))
 
@@ -230,6 +257,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 if held and (held[0]["file"].iloc[0] != part["file"].iloc[0] or held[0]["block"].iloc[0] != part["block"].iloc[0]):
                     yield from done()
                 held.append(part)
+                if sum(int(p["text"].str.len().sum()) for p in held) >= BLOCK_CHARS:
+                    yield from done()
         yield from done()
 
     def reply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,41 +289,40 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n, v = int(sums[0]), int(sums[1])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spans: dict[tuple, dict[int, bytes]] = {}
-        block, held = None, []
+        span, got, held = None, {}, []
 
         def done() -> Iterator[pd.DataFrame]:
             if held:
-                part = pd.concat(held, ignore_index=True)
-                at = part["at"].to_numpy()
-                for (first, last), got in sorted(spans.items()):
-                    own = part[(at >= first) & (at <= last)]
-                    if len(own):
-                        train = own["train"].to_numpy(dtype=bool)
-                        q = Question(list(own["text"]), train, shards, hot)
-                        tokens_, known, base, score = scores(q, shards, got, n, v)
-                        yield pd.DataFrame({
-                            "doc_id": own["doc_id"].astype("Int64"), "held_out": ~train, "n_tokens": tokens_, "n_known": known,
-                            "train_tokens": n, "base_score": base, "score": score,
-                        })
-            held.clear()
-            spans.clear()
-
+                own = pd.concat(held, ignore_index=True)
+                held.clear()
+                train = own["train"].to_numpy(dtype=bool)
+                q = Question(list(own["text"]), train, shards, hot)
+                tokens_, known, base, score = scores(q, shards, got, n, v)
+                yield pd.DataFrame({
+                    "doc_id": own["doc_id"].astype("Int64"), "held_out": ~train, "n_tokens": tokens_, "n_known": known,
+                    "train_tokens": n, "base_score": base, "score": score,
+                })
+            got.clear()
+
+        # a block's answers stand just before its documents: one block is held at a time
         for batch in batches:
-            for key, part in batch.groupby(["file", "block"], sort=False):
-                if key != block:
-                    yield from done()
-                    block = key
-                reply_ = part["answer"].notna()
-                for r in part[reply_].itertuples():
-                    spans.setdefault((int(r.at), int(r.last)), {})[int(r.shard)] = r.answer
-                if not reply_.all():
-                    held.append(part[~reply_][["doc_id", "text", "train", "at"]])
+            answer = batch["answer"].notna().to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(answer[1:] != answer[:-1]) + 1, [len(batch)]])
+            for a, b in zip(edges[:-1], edges[1:]):
+                part = batch.iloc[a:b]
+                if not answer[a]:
+                    held.append(part[["doc_id", "text", "train"]])
+                    continue
+                for r in part.itertuples():
+                    if span != (r.file, r.at):
+                        yield from done()
+                        span = (r.file, r.at)
+                    got[int(r.shard)] = r.answer
         yield from done()
 
-    both = replies.select("file", "block", F.col("first").alias("at"), "last", "shard", "answer").unionByName(blocked, allowMissingColumns=True)
+    both = replies.select("file", "block", F.col("first").alias("at"), "shard", "answer").unionByName(blocked, allowMissingColumns=True)
     parts = max(1, -(-n_rows // BLOCK_ROWS))
-    met = both.repartition(parts, "file", "block").sortWithinPartitions("file", "block", F.col("answer").isNull(), "at")
+    met = both.repartition(parts, "file", "block").sortWithinPartitions("file", "block", "at", F.col("answer").isNull())
     return met.mapInPandas(released(judge), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
