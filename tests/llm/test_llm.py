@@ -116,6 +116,36 @@ def test_vectors_odd(spark):
     assert vector_search.fit(vector_search.usable(df.limit(0), "vec_id", "embedding")) == (None, 0)
 
 
+def test_vectors_recall_over_lists(spark):
+    """24,000 vectors, some in clusters and some anywhere: many lists, few of them probed, tests that abandon."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24)) * 3
+    x = np.concatenate([centres[rng.integers(0, 60, 20_000)] + rng.normal(size=(20_000, 24)), rng.normal(size=(4_000, 24)) * 2])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+    index, _ = vector_search.fit(df)
+    assert len(index.centroids) > 100 and index.probes < 0.7 * len(index.centroids)
+    got = defaultdict(set)
+    for r in vector_search.nearest(df, df.where("id % 100 = 0"), index).collect():
+        assert abs(r["score"] - x[r["query_id"]] @ x[r["vec_id"]]) < 1e-9
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in range(0, len(x), 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
+        assert len(got[q]) == 20
+    assert hit >= 0.93 * 20 * len(x) / 100
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(k, [1e200 * (k + 1), -1e200]) for k in range(30)] + [(0, [3e200, 1.0])] * 2
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    index, _ = vector_search.fit(df)
+    queries = df.where("id = 0").groupBy("id").agg(F.min("vec").alias("vec"))
+    got = vector_search.nearest(df, queries, index).orderBy("rank").collect()
+    assert queries.first()["vec"] == [1e200, -1e200] and [r["vec_id"] for r in got] == list(range(1, 21))  # their products are infinite: ties
+
+
 # --- 3 --------------------------------------------------------------------------------------------
 
 
