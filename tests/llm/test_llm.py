@@ -74,6 +74,32 @@ def test_html_marks_are_a_weight():
     assert text.startswith("Head\n") and text.count(story) == 48 and "Up" not in text and "Buy" not in text
 
 
+def test_html_long_tags_and_odd_quotes():
+    many = "<p " + " ".join(f'd{k}="v{k}>x"' for k in range(2000)) + ">Text of the paragraph, at last.</p>"
+    assert html_text.main_text(many) == "Text of the paragraph, at last."
+    assert html_text.main_text("<p>co\u200boperate now, all\n of you.</p>") == "co\u200boperate now, all of you."
+    assert html_text.main_text('<p>One sentence here.</p><a title="x>two</a><p>Three sentences, more.</p>') == "One sentence here.\nThree sentences, more."
+
+
+def test_html_ratios_by_hand():
+    """Blocks of plain pages against the ratios computed path by path in plain Python."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        blocks = [(int(rng.integers(0, 6)), " ".join(["word"] * int(rng.integers(1, 60))) + "." * int(rng.integers(0, 3)), bool(rng.random() < 0.2)) for _ in range(int(rng.integers(1, 25)))]
+        page = "".join(f"<div class=k{c}>" + (f"<a href=x>{t}</a>" if a else t) + "</div>" for c, t, a in blocks)
+        order = list(dict.fromkeys(c for c, _, _ in blocks))
+        per = {c: [(t, a) for k, t, a in blocks if k == c] for c in order}
+        text = [sum(len(t) for t, _ in per[c]) / len(per[c]) for c in order]
+        sign = [(sum(t.count(".") for t, _ in per[c]) + 0.5) / len(per[c]) for c in order]
+        smooth = lambda x: [(x[max(k - 1, 0)] + 2 * x[k] + x[min(k + 1, len(x) - 1)]) / 4 for k in range(len(x))]
+        own = [1 - sum(len(t) for t, a in per[c] if a) / sum(len(t) for t, _ in per[c]) for c in order]
+        fused = [a * b**0.5 * o for a, b, o in zip(smooth([x**0.5 for x in text]), smooth(sign), own)]
+        size = [sum(len(t) for t, _ in per[c]) for c in order]
+        mean = sum(f * n for f, n in zip(fused, size)) / sum(size)
+        kept = {c for c, f in zip(order, fused) if f >= html_text.SHARE * mean - 1e-12}
+        assert html_text.main_text(page) == "\n".join(t for c, t, _ in blocks if c in kept)
+
+
 def test_html_on_pages(spark):
     got = registry.queries()["op1_html_extraction"](spark, str(DATA)).collect()
     assert len(got) == spark.read.parquet(f"{DATA}/pages.parquet").count()
@@ -325,6 +351,25 @@ def test_secrets_of_any_length(spark):
     assert sorted(got[99]) == [(7, "assigned", "longprefix:"), (18, "jwt", jwt)]
 
 
+def test_secret_words(spark):
+    likely = secrets.pair_table(secrets.default_words())
+    texts = ["password", "information", "qzxvkjwp", "x7", "", "orchardLantern99"]
+    df = spark.createDataFrame([(k, "", f"secret={t}", "", "src") for k, t in enumerate(texts)], "doc_id long, before string, raw string, after string, path string")
+    got = {r["doc_id"]: r for r in secrets.described(df, ("orchard", "lantern", "password", "information")).collect()}
+    assert [round(got[k]["worded"], 3) for k in (0, 1, 2, 5)] == [1.0, 1.0, 0.0, 0.875]
+    means = {r["raw"]: r["m"] for r in df.select("raw", secrets.letter_pairs(F.expr("substring(raw, 8)"), likely).alias("m")).collect()}
+    assert means["secret=information"] > 0.5 > means["secret=qzxvkjwp"] and means["secret=x7"] == means["secret="] == 0
+    hand = [likely[(ord(a) - 96) * 27 + ord(b) - 96] for a, b in zip("information", "nformation")]
+    assert abs(means["secret=information"] - sum(hand) / 11) < 1e-9
+
+
+def test_secrets_odd(spark):
+    model = secrets.fit(secrets.labelled_findings(spark))
+    docs = odd_docs(spark).withColumn("text", F.when(F.col("doc_id").isin(2, 5), F.concat("text", F.lit(" token=Zk3Qp9Xv7Tm2Rb5Ld8Wc"))).otherwise(F.col("text")))
+    got = secrets.scan(docs, model).collect()
+    assert sorted((r["doc_id"], r["value"]) for r in got) == [(k, "Zk3Qp9Xv7Tm2Rb5Ld8Wc") for k in (2, 2, 5)] and max(r["start"] for r in got) == len(LONG) + 7
+
+
 def test_secret_forest_held_out(spark):
     from pyspark.ml.feature import VectorAssembler
 
@@ -434,6 +479,38 @@ def test_surrogates(spark):
     assert {r["doc_id"]: r["text"] for r in surrogates.replace_entities(df, key="other").collect()}[1] != new
 
 
+def test_surrogates_of_more_kinds(spark):
+    def rest(iban):
+        text = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+    want = {
+        "phone": ("+353 1 555 1234", r"\+353 \d \d{3} \d{4}"), "phone2": ("+49 30 901820", r"\+49 \d\d \d{6}"), "name": ("John Smith", r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+"), "title": ("Dr. Jane Doe", r"Dr\. \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+"),
+        "ipv6": ("2001:db8::1", r"2001:db8(:[0-9a-f]{1,4}){6}"), "ipv6b": ("fe80:0:0:0:1:2:3:4", r"2001:db8(:[0-9a-f]{1,4}){6}"), "iban": ("GB82 WEST 1234 5698 7654 32", r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d"),
+        "iban2": ("DE89370400440532013001", r"DE\d{20}"),
+    }
+    left = ["at 12:30:45 std::dead code::begin", "Twelve Monkeys", "Smith John", "version 1.2.3 of 2024-01-02", "a ratio of 3:4", ""]
+    df = spark.createDataFrame([(k, f"see {v[0]}, ok") for k, v in enumerate(want.values())] + [(100 + k, t) for k, t in enumerate(left)] + [(200, "see John Smith; Jane Doe", )] * 2, "doc_id long, text string")
+    rows = surrogates.replace_entities(df).collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    import regex
+
+    for k, (name, (value, shape)) in enumerate(want.items()):
+        new = got[k][4:-4]
+        assert got[k].startswith("see ") and got[k].endswith(", ok") and regex.fullmatch(shape, new) and new != value, (name, got[k])
+    assert [got[100 + k] for k in range(len(left))] == left
+    assert rest(got[6][4:-4]) == 1 and rest(want["iban2"][0]) != 1 != rest(got[7][4:-4])
+    assert len(rows) == len(df.collect()) and got[200] == f"see {got[2][4:-4]}; {got[3][8:-4]}"
+
+
+def test_surrogates_odd(spark):
+    docs = odd_docs(spark).withColumn("text", F.when(F.col("doc_id") == 5, F.concat("text", F.lit(" mail a.b@corp.example"))).otherwise(F.col("text")))
+    got = surrogates.replace_entities(docs).collect()
+    assert len(got) == 12 and sum(r["n_entities"] for r in got) == 1 and {r["key"] for r in got} == {"clash"}
+    long = next(r["text"] for r in got if r["doc_id"] == 5)
+    assert long.startswith(LONG) and "a.b@" not in long
+
+
 def test_surrogates_of_more_than_a_space_holds(spark, monkeypatch):
     monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["bar", "den"])  # 16 surnames of four syllables
     letters = "abcdefghijklmnopqrstuvwxyz"

@@ -72,16 +72,14 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Weights of a path's neighbours and its own when ratios are smoothed.
 SMOOTH = (1, 2, 1)
 
-#: Most pieces of a tag's attributes that are searched for its end, so that unclosed quotes stay cheap.
-ATTRIBUTES = 400
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-    rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){{0,{ATTRIBUTES}}}+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+_OTHER = r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+#: A tag ends at the first > outside quotes. One that has none up to the page's end (a quote is open) is read up to its first >,
+#: and so are all tags behind it, which keeps reading linear.
+TOKEN = re.compile(_OTHER + r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)", re.S)
+PLAIN = re.compile(_OTHER + r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SPACE = re.compile(r"[\s​﻿]+")
+SPACE = re.compile(r"\s+")
 #: Signs that prose ends and divides sentences with.
 PUNCTUATION = re.compile(r"[.,;:!?…。，？！،؟]")
 
@@ -194,18 +192,20 @@ def text_blocks(page: str) -> list[tuple[int, str, int, int, bool]]:
             linked += len(text.strip())
         piece.append(text)
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    pattern = TOKEN
+    while m := pattern.search(page, at):
+        if pattern is TOKEN and m.group(2) and not m.group(4):
+            pattern = PLAIN
             continue
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = (m.group(2) or m.group(5) or "").lower()
+        tag = (m.group(2) or "").lower()
         if not tag:
             continue
         if tag not in INLINE:
             flush()
-        if m.group(1) or m.group(4):
+        if m.group(1):
             stack.end(tag)
             continue
         stack.make_room(tag)
@@ -215,8 +215,7 @@ def text_blocks(page: str) -> list[tuple[int, str, int, int, bool]]:
         elif tag not in VOID:
             if tag == "a":
                 stack.end("a")
-            rest = (m.group(3) if m.group(2) else m.group(6)) or ""
-            stack.push(opened(tag, rest, stack.open[-1], paths))
+            stack.push(opened(tag, m.group(3), stack.open[-1], paths))
     add(page[at:])
     flush()
     return out

@@ -110,7 +110,9 @@ def mixing_plan(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")),
         "mixing-budgets",
     )
-    ordered = attach(rows.select("id", "leaf", "n_tokens"), planned.select("leaf", "n", "epochs", "rest"), "leaf", "n", total).withColumn(
+    # rows of one doc_id share a digest and are taken or left together: they are one row before any is ranked
+    one = rows.groupBy("leaf", "id").agg(F.sum("n_tokens").alias("n_tokens"))
+    ordered = attach(one, planned.select("leaf", "n", "epochs", "rest"), "leaf", "n", total).withColumn(
         "digest", digest(F.col("epochs"), F.col("id"), seed)
     )
     sums = ranked(ordered, ["leaf"], F.col("digest"), total, add=F.col("n_tokens"), unique=["id"])

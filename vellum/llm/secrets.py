@@ -1,10 +1,14 @@
 """Secret scan with a random forest that removes false positives (native).
 
 Candidates are found by patterns: tokens of known shape, values assigned to a telling name, and long mixed
-tokens. Each is described by its length, its character transitions, how much of it is made of dictionary
+tokens. Each is described by its length, its character transitions (runs of one kind, and how likely its pairs of
+letters are in words), how much of it is made of dictionary
 words, the path it was found under and the words around it; a random forest trained on labelled findings
 gives the probability that it is a secret, and findings under THRESHOLD are marked as false.
 
+The dictionary, and with it the likelihood of pairs of letters, is a list of words: by default the whole words of a public
+tokenizer's vocabulary, read in the driver. Its size bounds what is broadcast.
+
 Labelled findings are a table (before, value, after, path, label); labelled_findings() makes one by rule - keys,
 tokens and passwords in their usual surroundings, against digests, ids, placeholders, encoded words and
 documentation - for use where there is none. Scanning covers every whole text, and a value of any length is one
@@ -16,13 +20,18 @@ empty table gives no rows; texts repeated with one doc_id are each scanned; star
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+from functools import cache
+from math import log
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import table
+from vellum.llm.common import cut, table
 
 THRESHOLD = 0.5
 TREES, DEPTH = 40, 7
@@ -54,11 +63,53 @@ HINT = r"[=:]|[A-Za-z0-9+/_-]{20}|-----BEGIN"
 WORDS = ["password", "passwd", "secret", "token", "example", "sample", "changeme", "change", "placeholder", "your", "insert", "here", "dummy", "test", "demo", "fake", "null", "none", "true", "false", "undefined", "default", "redacted", "value", "string", "public", "index", "static", "images", "content", "version", "release", "module", "config", "document", "localhost", "user", "admin", "welcome", "xxxx", "abcd", "1234"]
 TELLING = r"(?i)password|passwd|passwort|pwd|secret|token|api.?key|access.?key|auth|credential|private"
 HARMLESS = r"(?i)sha-?1|sha-?256|md5|commit|checksum|digest|hash|uuid|guid|etag|integrity|revision|build|example|sample|placeholder|fingerprint"
-FEATURES = ["length", "distinct", "digits", "upper", "changes", "vowel_runs", "covered", "hex", "shaped", "assigned", "path_code", "path_doc", "telling", "harmless", "quoted", "repeats"]
+#: Pieces of a candidate that are looked up in the dictionary, and the shortest word that counts.
+PIECES, SHORTEST = r"[A-Z]?[a-z]{3,}+|[A-Z]{4,}+", 4
+FEATURES = ["length", "distinct", "digits", "upper", "changes", "pairs", "vowel_runs", "covered", "worded", "hex", "shaped", "assigned", "path_code", "path_doc", "telling", "harmless", "quoted", "repeats"]
+
+
+@cache
+def default_words() -> tuple[str, ...]:
+    """Whole lower-case words (with a blank before them) of a public vocabulary."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        known = json.load(f)["model"]["vocab"]
+    blank = chr(256 + 32)  # the vocabulary's stand-in for a blank
+    return tuple(sorted({w[1:] for w in known if w[:1] == blank and w[1:].isascii() and w[1:].isalpha() and w[1:].islower() and len(w) > SHORTEST}))
+
+
+def pair_table(words: Iterable[str]) -> list[float]:
+    """Logarithm of how much likelier than chance each letter follows each (0 stands for another character), in words."""
+    count = [[1.0] * 27 for _ in range(27)]
+    for w in words:
+        for a, b in zip(w, w[1:]):
+            count[ord(a) - 96][ord(b) - 96] += 1
+    return [round(log(27 * n / sum(row)), 4) if i and j else 0.0 for i, row in enumerate(count) for j, n in enumerate(row)]
+
+
+def letter_pairs(value: Column, likely: list[float]) -> Column:
+    """Mean of the table over the value's pairs of letters."""
+    codes = F.transform(F.split(F.lower(value), ""), lambda c: F.when(c.rlike("^[a-z]$"), F.ascii(c) - 96).otherwise(0))
+    known = F.split(F.lit(" ".join(map(str, likely))), " ").cast("array<double>")
+    scored = F.zip_with(codes, F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(1))), lambda a, b: F.coalesce(F.get(known, a * 27 + b), F.lit(0.0)))
+    return F.aggregate(scored, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(codes), F.lit(1))
 
 
-def described(rows: DataFrame) -> DataFrame:
+def described(rows: DataFrame, words: tuple[str, ...] | None = None) -> DataFrame:
     """rows (before, raw, after, path) with the candidate's value, kind and features."""
+    words = default_words() if words is None else words
+    rows = cut(rows.withColumn("_id", F.monotonically_increasing_id()), "secret-candidates")
+    rows = features_of(rows, pair_table(words))
+    pieces = rows.select("_id", F.explode(F.regexp_extract_all("value", F.lit(PIECES), F.lit(0))).alias("piece")).withColumn("word", F.lower("piece"))
+    known = rows.sparkSession.range(1).select(F.explode(F.split(F.lit(" ".join(words)), " ")).alias("word"))
+    held = pieces.join(F.broadcast(known), "word").groupBy("_id").agg(F.sum(F.length("piece")).alias("_held"))
+    worded = F.coalesce(F.col("_held"), F.lit(0)) / F.greatest(F.col("length"), F.lit(1.0))
+    return rows.join(held, "_id", "left").withColumn("worded", worded.cast("double")).drop("_id", "_held")
+
+
+def features_of(rows: DataFrame, likely: list[float]) -> DataFrame:
+    """The features that need nothing but the row."""
     raw = F.col("raw")
     kind = F.lit("long_token")
     kind = F.when(raw.rlike(rf"^(?:{ASSIGNED})$"), "assigned").otherwise(kind)
@@ -79,6 +130,7 @@ def described(rows: DataFrame) -> DataFrame:
         "digits": F.length(F.regexp_replace(v, "[^0-9]", "")) / n,
         "upper": F.length(F.regexp_replace(v, "[^A-Z]", "")) / n,
         "changes": F.length(kinds) / n,
+        "pairs": letter_pairs(v, likely),
         "vowel_runs": F.regexp_count(F.lower(v), F.lit("[bcdfghjklmnpqrstvwxyz][aeiouy]")) * 2.0 / n,
         "covered": 1 - F.length(covered) / n,
         "hex": yes(v.rlike("^[0-9a-fA-F-]+$")),

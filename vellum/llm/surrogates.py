@@ -1,14 +1,15 @@
 """Surrogates for personal data (native).
 
-E-mail addresses, phone, card and social-security numbers, IBANs, IPv4 addresses and titled names are found by
-one pattern; a text's pieces between them never change. Every distinct entity gets one replacement, drawn
+E-mail addresses, phone, card and social-security numbers, IBANs, IP addresses and names (after a title, or of a
+known given name and a capitalised word) are found by one pattern; a text's pieces between them never change. Every distinct entity gets one replacement, drawn
 from sha256(key, kind, canonical form, attempt), so that the same entity reads the same in every document
 (coreference; a surname alone and with a given name share their surname's replacement):
 
-* numbers keep their punctuation, a phone its country code, a card its first digit and whether its check digit is right;
+* numbers keep their punctuation, a phone its country code, a card its first digit, an IBAN its country, and both whether their
+  check digits are right;
 * addresses keep the shape of their parts and the top-level domain, and a domain's replacement is shared;
-* IPv4 addresses stay in their private range or go to the reserved 240/4;
-* names keep title, gender, script and number of parts.
+* IPv4 addresses stay in their private range or go to the reserved 240/4, IPv6 addresses go to the documentation range 2001:db8;
+* names keep title, gender (of the title, else of the given name; where neither tells, any name is drawn), script and number of parts.
 
 Surnames and domains are entities of their own, drawn first. Replacements are compared with each other and
 with every entity found; those that meet are drawn again until none does, so distinct entities stay distinct and
@@ -33,6 +34,21 @@ TITLES = {
     "m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Г-н", "Κύριος"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа", "Г-жа", "Κυρία"],
 }
+#: Titles of either, and given names by which an untitled name is known.
+TITLES["n"] = ["Dr", "Prof", "Professor", "Doctor", "Доктор"]
+KNOWN = {
+    "m": [
+        "Alexander", "Andrew", "Anthony", "Antonio", "Benjamin", "Brian", "Carlos", "Charles", "Christopher", "Daniel", "David", "Edward", "François", "Friedrich",
+        "George", "Hans", "Heinrich", "Henri", "Henry", "Jacques", "James", "Javier", "John", "José", "Joseph", "Juan", "Jürgen", "Kevin", "Klaus", "Louis", "Luis", "Manuel",
+        "Matthew", "Michael", "Michel", "Miguel", "Nicolas", "Pablo", "Patrick", "Pedro", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Stefan", "Stephen",
+        "Steven", "Thomas", "Timothy", "Wilhelm", "William", "Wolfgang",
+    ],
+    "f": [
+        "Alice", "Amélie", "Andrea", "Angela", "Anna", "Barbara", "Camille", "Carmen", "Catherine", "Claire", "Deborah", "Elena", "Elizabeth", "Emily", "Emma", "Françoise",
+        "Hannah", "Isabel", "Jane", "Jennifer", "Jessica", "Johanna", "Karen", "Katharina", "Laura", "Linda", "Lisa", "Lucía", "Margaret", "Maria", "María", "Marie", "Mary",
+        "Michelle", "Monika", "Nancy", "Patricia", "Petra", "Rebecca", "Sabine", "Sarah", "Sophie", "Susan", "Susanne", "Ursula",
+    ],
+}
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "Denis", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Karim", "Leo", "Marco", "Nils", "Oscar", "Paul"],
     ("latin", "f"): ["Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Helena", "Irma", "Julia", "Karla", "Lena", "Martha", "Nora", "Olga", "Paula"],
@@ -48,18 +64,26 @@ SYLLABLES = {
 }
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+EVERY_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+EVERY_KNOWN = "|".join(g for gs in KNOWN.values() for g in gs)
+PART = r"\p{Lu}[\p{L}’'-]{1,40}"
+HEX = r"[0-9A-Fa-f]{1,4}"
+#: Calling codes of one and two digits; all others have three.
+CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "name": r"(?<![\p{L}\p{N}])(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}[\p{L}’'-]{1,40}(?: \p{Lu}[\p{L}’'-]{1,40})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{EVERY_TITLE})\.? {PART}(?: {PART})?|(?:{EVERY_KNOWN}) {PART})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{1,6}}:(?:{HEX}(?::{HEX}){{0,5}}+)?+)(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+(?=(?:[0-9][ .-]?){7,14}[0-9](?![0-9]))[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,6}(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds: a cheap test before the patterns.
-HINT = r"[0-9@]|" + "|".join(t for ts in TITLES.values() for t in ts)
+HINT = rf"[0-9@]|{EVERY_TITLE}|{EVERY_KNOWN}"
+TITLED = rf"^(?:{EVERY_TITLE})\.? "
 
 
 def kind_of(value: Column) -> Column:
@@ -75,19 +99,27 @@ def digits_of(value: Column) -> Column:
 
 def canonical(kind: Column, value: Column) -> Column:
     """What makes two mentions one entity."""
-    name = F.regexp_replace(F.lower(value), r"^[\p{L}-]+\.? ", "")
+    name = F.lower(F.regexp_replace(value, TITLED, ""))
     return (
         F.when(kind == "email", F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "ipv4", value)
-        .when(kind == "name", F.concat(F.when(_gender(value) == "f", "f:").otherwise("m:"), name))
+        .when(kind == "ipv6", F.lower(value))
+        .when(kind == "name", F.concat(_gender(value), F.lit(":"), name))
         .when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits_of(value)))
         .otherwise(digits_of(value))
     )
 
 
 def _gender(value: Column) -> Column:
-    return F.when(value.rlike("^(?:" + "|".join(TITLES["f"]) + r")\.? "), "f").otherwise("m")
+    """f or m by the title, else by a known given name before another word, else n."""
+    out = F.lit("n")
+    for g in ("m", "f"):
+        names = "|".join([*KNOWN[g], *GIVEN["latin", g], *GIVEN["cyrillic", g], *GIVEN["greek", g]])
+        out = F.when(value.rlike(rf"^(?:(?:{EVERY_TITLE})\.? )?(?:{names}) "), g).otherwise(out)
+    for g in ("m", "f"):
+        out = F.when(value.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? "), g).otherwise(out)
+    return out
 
 
 def script_of(value: Column) -> Column:
@@ -124,6 +156,13 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0)))
 
 
+def iban_rest(text: Column) -> Column:
+    """text as a number (A = 10 to Z = 35) modulo 97."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: (
+        F.when(c.rlike("^[0-9]$"), (a * 10 + F.coalesce(c.try_cast("int"), F.lit(0))) % 97).when(c.rlike("^[A-Z]$"), (a * 100 + F.ascii(c) - 55) % 97).otherwise(a)
+    ))
+
+
 def byte(draw: Column, i: int) -> Column:
     return F.conv(F.substring(draw, 1 + 2 * i, 2), 16, 10).cast("int")
 
@@ -146,7 +185,7 @@ def syllables(script: Column, draw: Column, count: Column) -> Column:
 
 def given(gender: Column, script: Column, draw: Column) -> Column:
     out = F.lit("Alex")
-    for (s, g), items in GIVEN.items():
+    for (s, g), items in [*GIVEN.items(), *(((s, "n"), GIVEN[s, "m"] + GIVEN[s, "f"]) for s in SYLLABLES)]:
         out = F.when((gender == g) & (script == s), choose(items, draw, 3)).otherwise(out)
     return out
 
@@ -186,21 +225,27 @@ def surrogate(kind: Column, what: Column, part: Column, attempt: Column, key: st
     body = F.substring(card, F.lit(1), F.length(card) - 1)
     fixed = F.concat(body, F.pmod(10 - F.pmod(luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
     wrong = F.concat(body, F.pmod(F.lit(11) - F.pmod(luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
-    code = F.regexp_extract(what, r"^\+1|^\+[0-9]{2}", 0)
+    code = F.regexp_extract(what, CODE, 0)
     phone = F.concat(code, F.substring(plain, F.length(code) + 1, F.lit(64)))
+    account, country = F.substring(plain, 5, 64), F.substring(what, 1, 2)
+    sound = iban_rest(F.concat(F.substring(what, 5, 64), F.substring(what, 1, 4))) == 1
+    check = 98 - iban_rest(F.concat(account, country, F.lit("00")))
+    iban = F.concat(country, F.lpad(F.when(sound, check).otherwise(F.pmod(check, F.lit(97)) + 1).cast("string"), 2, "0"), account)
+    groups = [F.regexp_replace(F.substring(draw, 1 + 4 * i, 4), "^0+(?=.)", "") for i in range(6)]
+    ipv6 = F.concat_ws(":", F.lit("2001:db8"), *groups)
     gender, name = F.substring(what, 1, 1), F.substring(what, 3, 200)
     own = F.concat(given(gender, script_of(name), draw), syllables(script_of(name), draw, more))
     person = F.when(F.instr(name, " ") > 0, F.concat(own, F.lit(" "), part)).otherwise(part)
     return (
         F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "surname", syllables(script_of(what), draw, attempt + 4)).when(kind == "ipv4", ipv4).when(kind == "card", F.when(luhn(what) % 10 == 0, fixed).otherwise(wrong))
         .when(kind == "phone", phone).when(kind == "name", F.concat(gender, F.lit(":"), F.lower(person)))
-        .when(kind == "iban", F.concat(F.substring(what, 1, 2), F.substring(plain, 3, 64))).otherwise(plain)
+        .when(kind == "iban", iban).when(kind == "ipv6", ipv6).otherwise(plain)
     )
 
 
 def worded(kind: Column, value: Column, made: Column) -> Column:
     """A canonical replacement written as the mention was."""
-    title = F.regexp_extract(value, r"^[\p{L}-]+\.? ", 0)
+    title = F.regexp_extract(value, TITLED, 0)
 
     def spaced(c: Column, i: Column) -> Column:  # digit for digit; signs between stay
         seen = F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9A-Z]", ""))
@@ -209,7 +254,7 @@ def worded(kind: Column, value: Column, made: Column) -> Column:
     laid = F.array_join(F.transform(F.split(value, ""), spaced), "")
     room = F.length(F.regexp_replace(value, "[^0-9A-Z]", ""))
     laid = F.concat(laid, F.substring(F.regexp_replace(made, "[^0-9A-Z]", ""), room + 1, F.lit(64)))
-    return F.when(kind == "name", F.concat(title, F.initcap(F.substring(made, 3, 200)))).when(kind.isin("email", "ipv4"), made).otherwise(laid)
+    return F.when(kind == "name", F.concat(title, F.initcap(F.substring(made, 3, 200)))).when(kind.isin("email", "ipv4", "ipv6"), made).otherwise(laid)
 
 
 def draw_apart(entities: DataFrame, key: str) -> DataFrame:
