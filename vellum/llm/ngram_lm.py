@@ -11,7 +11,7 @@ time its question. A shard, planned for SHARD_CHARS characters, adds up the coun
 range of contexts after another: of each range it builds the trie (see elias_fano) and looks up every block's
 pairs, in the order of the question, with counts of words and 16-bit smoothed probabilities of
 pairs. The answers meet the block's documents again and every document is scored whole. Blocks and shards both
-multiply with the input, and each stays within its size; messages between them number blocks x shards, about 10 million of 6 kB
+multiply with the input, and each stays within its size; messages between them number blocks x shards, about 18 million of 3 kB
 for 50 thousand million characters. On larger inputs give both sizes as much as executors can hold.
 
 Pairs of a very frequent first word (share over HOT in a bounded sample, so at most 1 / HOT words) are dealt
@@ -39,7 +39,7 @@ from vellum.llm.text_hash import tokens
 #: Rows whose documents go to one task, and characters at which a block of them ends (a longer text is a block of its own).
 BLOCK_ROWS, BLOCK_CHARS = 4096, 8 << 20
 #: Characters a shard is planned for; the number of shards follows from the input's.
-SHARD_CHARS = 32 << 20
+SHARD_CHARS = 16 << 20
 #: Pairs of a range of contexts, whose trie is built at once.
 RANGE = 1 << 19
 #: Weight of the unigram distribution, in tokens.
