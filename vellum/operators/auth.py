@@ -122,8 +122,17 @@ def auth_points(spf: Column, dkim: Column, dmarc: Column, aligned: Column, reply
     return F.greatest(total, F.lit(0))
 
 
-def overall(spf: Column, dkim: Column, dmarc: Column, aligned: Column, warnings: Column) -> Column:
-    """fail, warn or pass of the authentication as a whole."""
-    failed = spf.isin("fail") | dkim.isin("fail") | dmarc.isin("fail") | F.coalesce(~aligned, F.lit(False))
-    soft = ~spf.isin("pass") | ~dkim.isin("pass") | ~dmarc.isin("pass") | (warnings > 0)
-    return F.when(failed, "fail").when(soft, "warn").otherwise("pass")
+#: The statuses of each method that raise an issue without being a failure.
+SOFT = {"spf": ["softfail", "permerror", "temperror", "none"], "dkim": ["none", "permerror"], "dmarc": ["none"]}
+
+
+def overall(spf: Column, dkim: Column, dmarc: Column, aligned: Column, reply_elsewhere: Column, warnings: Column) -> Column:
+    """struct(level, failures, issues): fail from two failures on, suspicious from one failure or issue on, else pass.
+
+    Failures are results fail and domains that are not aligned (aligned is null where there is nothing to align).
+    """
+    status = {"spf": spf, "dkim": dkim, "dmarc": dmarc}
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    failures = sum((one(c == "fail") for c in status.values()), one(~aligned))
+    issues = sum((one(c.isin(SOFT[m])) for m, c in status.items()), one(reply_elsewhere) + F.coalesce(warnings, F.lit(0)).cast("long")) + failures
+    return F.struct(F.when(failures >= 2, "fail").when(issues > 0, "suspicious").otherwise("pass").alias("level"), failures.alias("failures"), issues.alias("issues"))

@@ -28,7 +28,7 @@ ARCHIVES = set("zip rar 7z gz tgz tar cab ace arj lzh xz bz2 zst".split())
 MACROS = set("docm dotm xlsm xltm xlam xlsb pptm potm ppsm sldm".split())
 DISGUISED = re.compile(r"\.[a-z0-9]{2,4}\.(?:exe|scr|js|vbs|bat|cmd|lnk|hta)$", re.I)
 RISKS = "array<struct<type:string,level:string>>"
-FILES = f"message_id long, ord int, name string, inside string, depth int, size long, sha256 string, risks {RISKS}, links array<string>, text string, error string"
+FILES = f"message_id string, ord int, name string, inside string, depth int, size long, sha256 string, risks {RISKS}, links array<string>, text string, error string"
 
 
 def ending(name: str) -> str:
@@ -167,7 +167,7 @@ def inspect_files(messages: DataFrame) -> DataFrame:
     import hashlib
 
     own = F.transform(F.filter("parts", lambda p: p["is_file"]), lambda p: F.struct(p["filename"].alias("name"), p["mime"].alias("mime"), p["bytes"].alias("bytes")))
-    rows = messages.select("message_id", own.alias("files"), F.coalesce(content.passwords(F.col("read_text")), F.array().cast("array<string>")).alias("passwords")).where(F.size("files") > 0)
+    rows = messages.select(F.col("message_id").cast("string").alias("message_id"), own.alias("files"), F.coalesce(content.passwords(F.col("read_text")), F.array().cast("array<string>")).alias("passwords")).where(F.size("files") > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -43,21 +43,21 @@ ENTROPY_BYTES = 8 << 20
 
 #: How a page uses a URL, the most specific use first, and the pattern that finds it.
 USES = [
-    ("form target", r"""(?i)<form(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])action\s*=\s*["']([^"']+)["']"""),
-    ("fetch", r"""(?i)(?<![A-Za-z0-9_])fetch\s*\(\s*["'`]([^"'`]+)["'`]"""),
+    ("form target", r"""(?i)<form\b[^>]*\baction\s*=\s*["']([^"']+)["']"""),
+    ("fetch", r"""(?i)\bfetch\s*\(\s*["'`]([^"'`]+)["'`]"""),
     ("XMLHttpRequest", r"""(?i)\.open\s*\(\s*["'`](?:GET|POST|PUT)["'`]\s*,\s*["'`]([^"'`]+)["'`]"""),
     ("jQuery request", r"""(?i)\$\.(?:ajax|post|get)\s*\(\s*(?:\{[^}]*?url\s*:\s*)?["'`]([^"'`]+)["'`]"""),
     ("beacon", r"""(?i)sendBeacon\s*\(\s*["'`]([^"'`]+)["'`]"""),
     ("WebSocket", r"""(?i)new\s+WebSocket\s*\(\s*["'`]([^"'`]+)["'`]"""),
-    ("request URL", r"""(?i)(?<![A-Za-z0-9_])url\s*:\s*["'`](https?://[^"'`]+)["'`]"""),
+    ("request URL", r"""(?i)\burl\s*:\s*["'`](https?://[^"'`]+)["'`]"""),
     ("redirect", r"""(?i)location(?:(?:\.href)?\s*=|\.(?:replace|assign)\s*\()\s*["'`]([^"'`]+)["'`]"""),
-    ("meta refresh", r"""(?i)<meta(?![A-Za-z0-9_])[^>]*http-equiv\s*=\s*["']?refresh[^>]*content\s*=\s*["'][^"']*url\s*=\s*([^"'>\s]+)"""),
-    ("external script", r"""(?i)<script(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])src\s*=\s*["']([^"']+)["']"""),
-    ("embedded frame", r"""(?i)<iframe(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])src\s*=\s*["']([^"']+)["']"""),
+    ("meta refresh", r"""(?i)<meta\b[^>]*http-equiv\s*=\s*["']?refresh[^>]*content\s*=\s*["'][^"']*url\s*=\s*([^"'>\s]+)"""),
+    ("external script", r"""(?i)<script\b[^>]*\bsrc\s*=\s*["']([^"']+)["']"""),
+    ("embedded frame", r"""(?i)<iframe\b[^>]*\bsrc\s*=\s*["']([^"']+)["']"""),
     ("URL in script", r"""(?i)["'`](https?://[^\s"'`<>]{4,})["'`]"""),
-    ("stylesheet or resource", r"""(?i)<link(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])href\s*=\s*["']([^"']+)["']"""),
-    ("image", r"""(?i)<img(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])src\s*=\s*["']([^"']+)["']"""),
-    ("link", r"""(?i)<a(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])href\s*=\s*["']([^"']+)["']"""),
+    ("stylesheet or resource", r"""(?i)<link\b[^>]*\bhref\s*=\s*["']([^"']+)["']"""),
+    ("image", r"""(?i)<img\b[^>]*\bsrc\s*=\s*["']([^"']+)["']"""),
+    ("link", r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"']+)["']"""),
 ]
 SENDING = ["form target", "fetch", "XMLHttpRequest", "jQuery request", "beacon", "WebSocket", "request URL"]
 #: Words that follow "password" without being one.
@@ -127,12 +127,12 @@ def destinations(rows: DataFrame, key: list[str], page: str) -> DataFrame:
 def looks_like_html(text: Column) -> Column:
     """HTML whatever its label says: a document tag, or four usual tags, near the beginning."""
     head = F.substring(text, 1, 4000)
-    tags = F.regexp_count(head, F.lit(r"(?i)</?(?:div|table|p|a|span|td|tr|img|br)(?![A-Za-z0-9_])"))
+    tags = F.regexp_count(head, F.lit(r"(?i)</?(?:div|table|p|a|span|td|tr|img|br)\b"))
     return F.coalesce(head.rlike(r"(?i)<(?:!doctype\s+html|html|body)(?![A-Za-z0-9_])") | (tags >= 4), F.lit(False))
 
 
 def has_password_form(page: Column) -> Column:
-    return F.coalesce(page.rlike(r"""(?i)<input(?![A-Za-z0-9_])[^>]*type\s*=\s*["']?password"""), F.lit(False))
+    return F.coalesce(page.rlike(r"""(?i)<input\b[^>]*type\s*=\s*["']?password"""), F.lit(False))
 
 
 def passwords(text: Column) -> Column:
@@ -191,24 +191,33 @@ def rtf_risks(raw: bytes) -> list[tuple[str, str]]:
     return out
 
 
-#: Streams of a PDF that are decompressed, and bytes of each.
+#: Most deflated streams of a PDF that are opened, and most bytes that they give together.
 PDF_STREAMS, PDF_BYTES = 80, 8 << 20
+PDF_STREAM = re.compile(rb"(?<!end)stream\r?\n")
+PDF_NAME = re.compile(r"/[^\s()<>\[\]{}/%]+")
 PDF_MARKS = [("pdf-javascript", "high", r"/(?:JavaScript|JS)(?![A-Za-z])"), ("pdf-launch", "high", r"/Launch(?![A-Za-z])"), ("pdf-autoaction", "medium", r"/(?:OpenAction|AA)(?![A-Za-z])"), ("pdf-embedded", "medium", r"/EmbeddedFile(?![A-Za-z])"), ("pdf-submit", "high", r"/SubmitForm(?![A-Za-z])"), ("pdf-richmedia", "medium", r"/RichMedia(?![A-Za-z])")]
 
 
-def pdf_text(raw: bytes) -> str:
-    """A PDF with the names' #xx written out and its deflated streams appended."""
-    parts = [raw]
-    for m in list(re.finditer(rb"stream\r?\n", raw))[:PDF_STREAMS]:
+def pdf_text(raw: bytes, streams: int = PDF_STREAMS, most: int = PDF_BYTES) -> str:
+    """A PDF with the #xx of its names written out and what its deflated streams hold appended."""
+    parts, room, opened = [raw], most, 0
+    for m in PDF_STREAM.finditer(raw):
+        if opened == streams or not room:
+            break
         end = raw.find(b"endstream", m.end())
         if end < 0:
             break
+        head = raw[max(0, m.start() - 400) : m.start()]
+        if b"Fl" not in head[head.rfind(b"obj") + 1 :]:  # /FlateDecode or /Fl among the filters of its own dictionary
+            continue
+        opened += 1
         try:
-            parts.append(zlib.decompressobj().decompress(raw[m.end() : end], PDF_BYTES))
+            parts.append(zlib.decompressobj().decompress(raw[m.end() : end], room))
         except zlib.error:
             continue
+        room -= len(parts[-1])
     text = b"\n".join(parts).decode("latin-1")
-    return re.sub(r"#([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), text)
+    return PDF_NAME.sub(lambda n: re.sub(r"#([0-9A-Fa-f]{2})", lambda h: chr(int(h[1], 16)), n[0]), text)
 
 
 def pdf_risks(raw: bytes) -> tuple[list[tuple[str, str]], list[str]]:

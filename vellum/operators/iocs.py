@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import domains, fixed, ips, text
 
-ANCHOR = r"""(?is)<a(?![A-Za-z0-9_])[^>]*?(?<![A-Za-z0-9_])href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
-RESOURCE = r"""(?i)<(?:img|script|iframe|embed|source|input|body|table|td)(?![A-Za-z0-9_])[^>]*?(?<![A-Za-z0-9_])(?:src|background)\s*=\s*["'](https?://[^"']+)["']"""
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
+RESOURCE = r"""(?i)<(?:img|script|iframe|embed|source|input|body|table|td)\b[^>]*?\b(?:src|background)\s*=\s*["'](https?://[^"']+)["']"""
 #: Services that stolen data is sent to; whether any use of one counts.
 EXFIL = [
     (r"api\.telegram\.org/bot", "Telegram bot", True),
@@ -106,14 +106,23 @@ def risk(kind: str, level: str) -> Column:
 
 
 def url_risks(url: Column, mismatch: Column | None = None, source: Column | None = None, credential: Column | None = None, sending: Column | None = None, own: list[str] | None = None) -> Column:
-    """Risks of a URL, in fixed order."""
-    scheme = F.lower(F.regexp_extract(url, r"\A\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    """Risks of a URL, in fixed order. Its parts are bound once, as a struct that the tests read."""
     auth = domains.authority(url)
     raw = F.regexp_replace(F.lower(auth), r"\A.*@", "")
-    host = F.regexp_replace(raw, r":[0-9]*\z", "")
-    port = F.regexp_extract(raw, r":([0-9]+)\z", 1)
     path = F.regexp_extract(url, r"\A\s*[A-Za-z][A-Za-z0-9+.\-]*:[/\\]{2}[^/?#\\]*([^?#]*)", 1)
-    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)\z", 1))
+    given = {"mismatch": mismatch, "source": source, "credential": credential, "sending": sending}
+    parts = F.struct(
+        url.alias("url"), F.lower(F.regexp_extract(url, r"\A\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"), auth.alias("auth"),
+        F.regexp_replace(raw, r":[0-9]*\z", "").alias("host"), F.regexp_extract(raw, r":([0-9]+)\z", 1).alias("port"),
+        F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)\z", 1)).alias("ending"),
+        domains.lookalike(F.regexp_replace(raw, r":[0-9]*\z", ""), own).isNotNull().alias("alike"),
+        *[c.alias(name) for name, c in given.items() if c is not None],
+    )
+    return F.get(F.transform(F.array(parts), lambda u: _judged(u, *[u[n] if c is not None else None for n, c in given.items()])), F.lit(0))
+
+
+def _judged(u: Column, mismatch: Column | None, source: Column | None, credential: Column | None, sending: Column | None) -> Column:
+    url, scheme, auth, host, port, ending, alike = (u[name] for name in ("url", "scheme", "auth", "host", "port", "ending", "alike"))
     web = auth.isNotNull()
     kinds = [
         (F.coalesce(source, F.lit("")).startswith("QR code") if source is not None else None, "qr-link", "medium"),
@@ -123,7 +132,7 @@ def url_risks(url: Column, mismatch: Column | None = None, source: Column | None
         (web & ending.isin(fixed.PROGRAM_URLS), "direct-download", "high"),
         (web & ending.isin(fixed.ARCHIVE_URLS), "direct-download", "medium"),
         (web & F.element_at(F.split(host, r"\."), -1).isin(fixed.RISKY_TLDS), "risky-tld", "medium"),
-        (web & domains.lookalike(host, own).isNotNull(), "brand-lookalike", "high"),
+        (web & alike, "brand-lookalike", "high"),
         (web & domains.under(host, fixed.SHORTENERS), "url-shortener", "medium"),
         (web & host.contains("xn--"), "punycode", "high"),
         (web & (ips.is_ipv4(host) | ips.is_ip(F.regexp_replace(host, r"\A\[|\]\z", ""))), "ip-url", "high"),

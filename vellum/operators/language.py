@@ -40,6 +40,10 @@ PATTERNS = [
 ]
 
 
+#: Words a worker remembers as beginnings of phrases or none.
+REMEMBERED = 200_000
+
+
 def default_dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, "strong", p) for c, ps in PHRASES.items() for p in ps], "category string, tier string, phrase string")
 
@@ -77,6 +81,16 @@ class Matcher:
                     node = node.setdefault(w, {})
                 node.setdefault(None, set()).add((category, tier))
         self.patterns = [(c, t, re.compile(p)) for c, t, p in patterns]
+        self.begins: dict[str, bool] = {}
+
+    def may_begin(self, token: str) -> bool:
+        """Whether a phrase begins with this word; remembered, as texts share most words."""
+        known = self.begins.get(token)
+        if known is None:
+            known = any(form in self.root for form in singulars(token))
+            if len(self.begins) < REMEMBERED:
+                self.begins[token] = known
+        return known
 
     def at(self, found: list, i: int) -> dict[str, tuple[bool, int, int]]:
         """Best match by category that begins at word i: (strong, characters, words)."""
@@ -100,7 +114,7 @@ class Matcher:
     def matches(self, text: str) -> list[tuple[str, str, int, int, str]]:
         """(category, tier, start, length, phrase) in order of category and place, without overlaps in a category."""
         found, free, by = words(text), {}, {}
-        for i in range(len(found)):
+        for i in [k for k, w in enumerate(found) if self.may_begin(w[0])]:
             for category, (strong, length, n) in self.at(found, i).items():
                 if free.get(category, 0) <= i:
                     by.setdefault(category, []).append(("strong" if strong else "broad", found[i][1], length))
@@ -138,7 +152,9 @@ def match(rows: DataFrame, column: str, dictionary: DataFrame, patterns: list[tu
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for texts in batches:
-            yield texts.map(lambda t: [dict(zip(("category", "tier", "start", "length", "phrase"), m)) for m in own.matches(t or "")])
+            place, once = pd.factorize(texts)
+            found = pd.Series([[dict(zip(("category", "tier", "start", "length", "phrase"), m)) for m in own.matches(t or "")] for t in once], dtype=object)
+            yield found.take(place).reset_index(drop=True)
 
     return rows.withColumn("matches", run(F.coalesce(F.col(column).cast("string"), F.lit(""))))
 

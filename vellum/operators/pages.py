@@ -87,6 +87,6 @@ def preview_counts(rows: DataFrame, key: list[str], page: str) -> DataFrame:
     """key, remote_images, embedded_images, links, removed: what a safe preview of a page would leave out."""
     n = lambda p: F.regexp_count(F.col(page), F.lit(p)).cast("long")
     return rows.select(
-        *key, n(r"""(?i)<img(?![A-Za-z0-9_])[^>]*src\s*=\s*["']?https?:""").alias("remote_images"), n(r"""(?i)<img(?![A-Za-z0-9_])[^>]*src\s*=\s*["']?(?:cid|data):""").alias("embedded_images"),
-        n(r"(?i)<a(?![A-Za-z0-9_])[^>]*href").alias("links"), n(r"(?i)<(?:script|iframe|object|embed|form|link|meta|base)(?![A-Za-z0-9_])").alias("removed"),
+        *key, n(r"""(?i)<img\b[^>]*src\s*=\s*["']?https?:""").alias("remote_images"), n(r"""(?i)<img\b[^>]*src\s*=\s*["']?(?:cid|data):""").alias("embedded_images"),
+        n(r"(?i)<a\b[^>]*href").alias("links"), n(r"(?i)<(?:script|iframe|object|embed|form|link|meta|base)\b").alias("removed"),
     )

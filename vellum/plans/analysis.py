@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import domains, text, urls
-from vellum.operators import auth, containers, content, identity, iocs, language, score, thread
+from vellum.operators import auth, containers, content, identity, iocs, language, pages, score, thread
 from vellum.sources import mail
 
 RISK_LISTS = "array<array<struct<type:string,level:string>>>"
@@ -26,9 +26,7 @@ def authentication(messages: DataFrame, core: DataFrame) -> DataFrame:
         F.size("parts").alias("n_parts"),
     )
     clauses = F.col("top.clauses")
-    resolved = top.withColumns({m: auth.resolve(clauses, m) for m in ("_spf", "_dkim", "_dmarc")} | {
-        "_spf": auth.resolve(clauses, "spf"), "_dkim": auth.resolve(clauses, "dkim"), "_dmarc": auth.resolve(clauses, "dmarc"),
-    })
+    resolved = top.withColumns({f"_{m}": auth.resolve(clauses, m) for m in ("spf", "dkim", "dmarc")})
     verified = F.filter(clauses, lambda c: (c["method"] == "dkim"))
     named = F.array_compact(F.transform(verified, lambda c: F.lower(F.coalesce(F.try_element_at(c["props"], F.lit("header.d")), F.regexp_extract(F.try_element_at(c["props"], F.lit("header.i")), "@(.*)", 1)))))
     base = resolved.withColumns({
@@ -58,7 +56,35 @@ def authentication(messages: DataFrame, core: DataFrame) -> DataFrame:
         F.coalesce("reply_elsewhere", F.lit(False)).alias("reply_elsewhere"),
         (F.coalesce("conflicts", zero) + F.coalesce("again", zero) + F.coalesce("broken", zero) + disagree).alias("warnings"),
         (F.col("n_results") > 0).alias("_has_results"), F.col("rspf").isNotNull().alias("_has_spf"),
-    ).withColumn("has_auth", F.col("_has_results") | F.col("_has_spf")).drop("_has_results", "_has_spf")
+    ).withColumns({
+        "has_auth": F.col("_has_results") | F.col("_has_spf"),
+        "auth_overall": auth.overall(F.col("spf"), F.col("dkim"), F.col("dmarc"), F.col("is_aligned"), F.col("reply_elsewhere"), F.col("warnings")),
+    }).drop("_has_results", "_has_spf")
+
+
+def page_destinations(good: DataFrame, core: DataFrame) -> DataFrame:
+    """message_id, value, ord, is_mismatch, source, sending of every URL that an HTML body, an HTML file or a page hidden in one loads or sends to."""
+    is_page = lambda p: p["is_file"] & (F.lower(p["mime"]).contains("html") | content.ending_of(p["filename"]).isin("htm", "html", "shtml", "svg"))
+    files = good.select("message_id", F.explode(F.transform(F.filter("parts", is_page), lambda p: F.decode(p["bytes"], "UTF-8"))).alias("page"))
+    every = core.select("message_id", F.col("body_html").alias("page")).where("page <> ''").unionByName(files)
+    hidden = pages.hidden(every, "message_id", "page").where("is_text").select(F.col("page_key").alias("message_id"), F.decode("content", "UTF-8").alias("page"))
+    found = content.destinations(every.unionByName(hidden), ["message_id"], "page")
+    return found.select(
+        "message_id", F.col("url").alias("value"), F.lit(3_000_000).cast("long").alias("ord"), F.lit(False).alias("is_mismatch"), F.concat(F.lit("page: "), "use").alias("source"),
+        F.col("use").isin(content.SENDING).alias("sending"),
+    )
+
+
+def hidden_risks(good: DataFrame, core: DataFrame) -> DataFrame:
+    """message_id, page_risks: files and login forms that pages of a message carry encoded."""
+    is_page = lambda p: p["is_file"] & (F.lower(p["mime"]).contains("html") | content.ending_of(p["filename"]).isin("htm", "html", "shtml", "svg"))
+    files = good.select("message_id", F.explode(F.transform(F.filter("parts", is_page), lambda p: F.decode(p["bytes"], "UTF-8"))).alias("page"))
+    forms = files.where(content.has_password_form(F.col("page"))).select("message_id", iocs.risk("login-form", "high").alias("risk"))
+    every = core.select("message_id", F.col("body_html").alias("page")).where("page <> ''").unionByName(files)
+    layers = pages.hidden(every, "message_id", "page").select(
+        F.col("page_key").alias("message_id"), F.when(~F.col("is_text"), iocs.risk("smuggled-file", "high")).when(F.col("password_form"), iocs.risk("login-form", "high")).alias("risk")
+    ).where("risk IS NOT NULL")
+    return forms.unionByName(layers).groupBy("message_id").agg(F.array_distinct(F.collect_list("risk")).alias("page_risks"))
 
 
 def links(core: DataFrame) -> DataFrame:
@@ -86,19 +112,23 @@ def analyse(messages: DataFrame, dictionary: DataFrame, own_domains: list[str] |
         F.array_join(F.collect_list("text"), "\n").alias("file_text"), F.flatten(F.collect_list("links")).alias("file_links"),
     )
     inner = file_facts.select("message_id", F.explode(F.array_distinct("file_links")).alias("value")).withColumns({"ord": F.lit(2_000_000).cast("long"), "is_mismatch": F.lit(False), "source": F.lit("file")})
-    every = links(core).unionByName(inner, allowMissingColumns=True)
-    risky = every.withColumn("risks", iocs.url_risks(F.col("value"), F.col("is_mismatch"), F.col("source"), own=own_domains))
+    listed = links(core).unionByName(inner, allowMissingColumns=True).unionByName(page_destinations(good, core), allowMissingColumns=True)
+    # a URL that a page also sends to is one indicator, flagged as such
+    rest = ["is_mismatch", "source", "unwrapped_from"]
+    once = listed.groupBy("message_id", "value").agg(F.min_by(F.struct(*rest), "ord").alias("_first"), F.bool_or(F.coalesce("sending", F.lit(False))).alias("sending"))
+    every = once.select("message_id", "value", "sending", "_first.*")
+    risky = every.withColumn("risks", iocs.url_risks(F.col("value"), F.col("is_mismatch"), F.col("source"), sending=F.col("sending"), own=own_domains))
     url_facts = risky.groupBy("message_id").agg(F.collect_list("risks").alias("url_risks"), F.count(F.lit(1)).cast("int").alias("n_urls"), F.collect_set(domains.host_of(F.col("value"))).alias("hosts"))
     hop = mail.hops(good)
     route = hop.groupBy("message_id").agg(F.max_by("ts", "hop").alias("delivered_s"), F.count(F.lit(1)).alias("n_hops"))
     sender = auth.sender_ip(hop, ["message_id"])
-    joined = core.join(auths, "message_id").join(route, "message_id", "left").join(sender, "message_id", "left").join(url_facts, "message_id", "left").join(file_facts, "message_id", "left").join(by_content, "message_id")
+    joined = core.join(auths, "message_id").join(route, "message_id", "left").join(sender, "message_id", "left").join(url_facts, "message_id", "left").join(file_facts, "message_id", "left").join(by_content, "message_id").join(hidden_risks(good, core), "message_id", "left")
     none, empty = F.array().cast(RISK_LISTS), F.array().cast("array<string>")
     words = F.concat_ws("\n", "read_text", F.nullif("file_text", F.lit("")))
     matched = language.match(joined.withColumn("_words", words), "_words", dictionary)
     lines = F.when(F.trim("body_html") != "", text.html_lines(F.col("body_html"))).otherwise(F.col("body_text"))
     scanned = thread.scan(matched.withColumn("_lines", lines), "_lines").withColumns({
-        "counts": language.summary(F.col("matches")), "url_risks": F.coalesce("url_risks", none), "file_risks": F.concat(F.coalesce("file_risks", none), F.coalesce("content_risks", none)),
+        "counts": language.summary(F.col("matches")), "url_risks": F.coalesce("url_risks", none), "file_risks": F.concat(F.coalesce("file_risks", none), F.coalesce("content_risks", none), F.when(F.col("page_risks").isNotNull(), F.array("page_risks")).otherwise(none)),
         "n_urls": F.coalesce("n_urls", F.lit(0)), "n_files": F.coalesce("n_files", F.lit(0)), "hosts": F.coalesce("hosts", empty),
         "anomalies": auth.anomalies(F.col("date_s"), F.col("delivered_s"), F.col("id_header"), F.col("from_domain"), F.col("has_reply_headers"), F.col("subject")),
     })
@@ -135,7 +165,7 @@ def verdict(judged: DataFrame) -> DataFrame:
     callback = F.exists("matches", lambda m: (m["category"] == "social") & (m["tier"] == "strong") & m["phrase"].rlike(r"\d[\d\s().-]{7,}\d"))
     total = parts.withColumn("score", score.floored(score.weighted(col("auth"), col("iocs"), col("language")), risks, col("counts"), col("findings"), col("password_form")))
     return total.select(
-        "message_id", "name", "subject", "sender", "spf", "dkim", "dmarc", "is_aligned", "public_ip", "auth", "iocs", "language", "score", score.tier(col("score")).alias("tier"),
+        "message_id", "name", "subject", "sender", "spf", "dkim", "dmarc", "is_aligned", "auth_overall", "public_ip", "auth", "iocs", "language", "score", score.tier(col("score")).alias("tier"),
         score.attack_types(col("counts"), col("url_risks"), col("file_risks"), col("n_urls"), col("n_files"), col("findings"), col("dmarc"), col("is_aligned"), col("password_form"), callback).alias("attack_types"),
         "findings", "anomalies", "counts", score.caveats(col("subject"), col("has_auth"), F.coalesce("n_hops", F.lit(0)) > 0, col("counts")).alias("caveats"),
     )

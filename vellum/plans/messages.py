@@ -90,6 +90,36 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql(name, SPARK).replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
+#: The message corpus as raw mail: every header and part follows from the relation messages by arithmetic.
+BOUNDARY = "=_part"
+RAW = r"""SELECT concat('/mail/', CAST(message_id AS STRING), '.eml') AS path, encode(concat_ws('\r\n',
+  concat('Received: from relay', CAST(message_id % 7 AS STRING), '.example.net ([', sender_ip, ']) by mx.contoso.com; ', at),
+  concat('Received: from desk (desk.local [10.0.0.', CAST(message_id % 200 AS STRING), ']) by relay.example.net; ', at),
+  concat('Authentication-Results: mx.contoso.com (a; comment)', coalesce(concat('; spf=', spf, ' smtp.mailfrom=', coalesce(return_path_domain, from_domain)), ''), coalesce(concat('; dkim=', dkim, ' header.d=', from_domain), ''), coalesce(concat('; dmarc=', dmarc, ' (p=none) header.from=', from_domain), '')),
+  CASE WHEN message_id % 4 = 0 THEN concat('Received-SPF: ', coalesce(spf, 'none'), ' (mx: ok) client-ip=', sender_ip, '; envelope-from=bounce@', from_domain, '; helo=desk') END,
+  CASE WHEN dkim IS NOT NULL THEN concat('DKIM-Signature: v=1; a=rsa-sha256;\r\n\td=', from_domain, '; s=s1; h=from:to') END,
+  concat('Return-Path: <bounce@', return_path_domain, '>'),
+  concat('From: ', coalesce(concat('"', display_name, '" '), ''), '<', local_part, '@', from_domain, '>'),
+  concat('Reply-To: <', local_part, '@', reply_to_domain, '>'),
+  concat('To: "Doe, Jane" <Jane@', to_domain, '>, bob@', to_domain),
+  concat('Subject: ', CASE WHEN message_id % 5 = 0 THEN concat('=?utf-8?B?', base64(encode(subject, 'utf-8')), '?=') ELSE subject END),
+  concat('Date: ', at), concat('Message-ID: <', CAST(message_id AS STRING), '@', from_domain, '>'),
+  CASE WHEN message_id % 3 = 0 THEN concat('X-Mailer: Mailer ', CAST(message_id % 5 AS STRING)) END,
+  CASE WHEN message_id % 5 = 1 THEN concat('X-Originating-IP: [', sender_ip, ']') END,
+  'MIME-Version: 1.0', 'Content-Type: multipart/mixed; boundary="{boundary}"', '',
+  '--{boundary}', 'Content-Type: text/plain; charset=utf-8', '', concat('Hello ', to_domain), 'See https://files.example.com/setup.exe now',
+  '--{boundary}', 'Content-Type: text/html; charset=utf-8', 'Content-Transfer-Encoding: quoted-printable', '', concat('<p>a=3Db <a href=3D"http://', from_domain, '/x">www.contoso.com</a></p>'),
+  CASE WHEN message_id % 3 = 0 THEN concat_ws('\r\n', '--{boundary}', 'Content-Type: application/octet-stream', 'Content-Transfer-Encoding: base64', concat('Content-Disposition: attachment; filename="file', CAST(message_id % 4 AS STRING), '.bin"'), '', base64(encode(repeat('MZ', CAST(message_id % 9 + 1 AS INT)), 'utf-8'))) END,
+  '--{boundary}--', ''), 'utf-8') AS content
+FROM (SELECT *, concat('14 Nov 2023 ', lpad(CAST(message_id % 24 AS STRING), 2, '0'), ':', lpad(CAST(message_id % 60 AS STRING), 2, '0'), ':00 +0000') AS at FROM {messages})"""
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content of the corpus as raw messages."""
+    messages = relation(spark, sf_dir, "messages")
+    return spark.sql(RAW.replace("{boundary}", BOUNDARY), messages=messages)
+
+
 def ctes(*names: str) -> str:
     """DuckDB WITH clauses of relations."""
     return "WITH " + ",\n".join(f"{n} AS ({sql(n, DUCK)})" for n in names)

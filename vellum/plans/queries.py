@@ -11,6 +11,7 @@ from vellum.functions import domains, fixed, ips, text, urls
 from vellum.operators import auth, content, correlate, export, identity, iocs, language, pages, score, summary
 from vellum.plans import messages as mail
 from vellum.plans.messages import ctes
+from vellum.sources import mail as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -341,14 +342,17 @@ _TLD = "split_part(host, '.', -1)"
 _URL_SQL = ctes("urls") + rf""", u0 AS (SELECT *, lower(regexp_extract(value, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_extract(value, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1) AS auth FROM urls),
 u1 AS (SELECT *, regexp_replace(regexp_replace(lower(auth), '^.*@', ''), ':[0-9]*$', '') AS host, regexp_extract(auth, ':([0-9]+)$', 1) AS port,
   lower(regexp_extract(regexp_extract(value, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '\.([A-Za-z0-9]+)$', 1)) AS ending FROM u0),
-brand AS (SELECT * FROM (VALUES {BRAND_ROWS}) v(i, name, domains)),
+u_hosts AS (SELECT DISTINCT host AS h FROM u1 WHERE host <> ''), u_brand AS (SELECT * FROM (VALUES {BRAND_ROWS}) v(i, name, domains)),
+u_x AS (SELECT h, {sql_org('h')} AS org FROM u_hosts), u_y AS (SELECT *, split_part(org, '.', 1) AS n FROM u_x), u_z AS (SELECT *, {sql_skeleton('n')} AS s, {sql_skeleton("regexp_replace(h, '[.][a-z.]+$', '')")} AS flat FROM u_y WHERE org NOT IN {GENUINE} AND NOT regexp_full_match(h, '[0-9.]+')),
+u_look AS (SELECT DISTINCT h FROM u_z, u_brand WHERE (s = name AND n <> name) OR (length(name) >= 5 AND levenshtein(s, name) BETWEEN 1 AND CASE WHEN length(name) >= 8 THEN 2 ELSE 1 END)
+  OR (length(name) >= 4 AND flat <> name AND list_contains(list_transform(regexp_split_to_array(h, '[._-]'), lambda w: {sql_skeleton('w')}), name))),
 risks AS (SELECT message_id, ord, is_mismatch, 'script-url' AS type, 'high' AS level FROM u1 WHERE scheme IN ('javascript', 'vbscript', 'data')
  UNION ALL SELECT message_id, ord, is_mismatch, 'credentials-url', 'high' FROM u1 WHERE contains(auth, '@')
  UNION ALL SELECT message_id, ord, is_mismatch, 'odd-port', 'medium' FROM u1 WHERE port NOT IN ('', '80', '443')
  UNION ALL SELECT message_id, ord, is_mismatch, 'direct-download', 'high' FROM u1 WHERE auth <> '' AND ending IN {in_list(fixed.PROGRAM_URLS)}
  UNION ALL SELECT message_id, ord, is_mismatch, 'direct-download', 'medium' FROM u1 WHERE auth <> '' AND ending IN {in_list(fixed.ARCHIVE_URLS)}
  UNION ALL SELECT message_id, ord, is_mismatch, 'risky-tld', 'medium' FROM u1 WHERE auth <> '' AND {_TLD} IN {in_list(fixed.RISKY_TLDS)}
- UNION ALL SELECT message_id, ord, is_mismatch, 'brand-lookalike', 'high' FROM u1 WHERE host IN ('paypa1.com', 'login-paypal.net')
+ UNION ALL SELECT message_id, ord, is_mismatch, 'brand-lookalike', 'high' FROM u1 WHERE host IN (SELECT h FROM u_look)
  UNION ALL SELECT message_id, ord, is_mismatch, 'url-shortener', 'medium' FROM u1 WHERE host IN {in_list(fixed.SHORTENERS)}
  UNION ALL SELECT message_id, ord, is_mismatch, 'punycode', 'high' FROM u1 WHERE contains(host, 'xn--')
  UNION ALL SELECT message_id, ord, is_mismatch, 'ip-url', 'high' FROM u1 WHERE regexp_full_match(host, '[0-9.]+') AND auth <> ''
@@ -620,3 +624,145 @@ def msg_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
  CAST(len(regexp_extract_all(html, '(?i)<a\b[^>]*href')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '(?i)<(?:script|iframe|object|embed|form|link|meta|base)\b')) AS BIGINT) AS removed FROM pages""")
 def page_preview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.preview_counts(read(spark, sf_dir, "pages", "page_id", "html"), ["page_id"], "html")
+
+
+@query("msg_auth_overall", A_SQL + f""", i AS (SELECT *, CAST(spf = 'fail' AS INT) + CAST(dkim = 'fail' AS INT) + CAST(dmarc = 'fail' AS INT) + CAST(NOT is_aligned AS INT) AS failures,
+  CAST(spf IN {in_list(auth.SOFT['spf'])} AS INT) + CAST(dkim IN {in_list(auth.SOFT['dkim'])} AS INT) + CAST(dmarc IN {in_list(auth.SOFT['dmarc'])} AS INT) + CAST(reply_elsewhere AS INT) AS soft FROM a)
+SELECT CASE WHEN failures >= 2 THEN 'fail' WHEN failures + soft > 0 THEN 'suspicious' ELSE 'pass' END AS level, CAST(failures AS BIGINT) AS failures, CAST(failures + soft AS BIGINT) AS issues, count(*) AS n FROM i GROUP BY ALL""")
+def msg_auth_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = auth.overall(F.col("spf"), F.col("dkim"), F.col("dmarc"), F.col("is_aligned"), F.col("reply_elsewhere"), F.lit(0))
+    return _aligned(spark, sf_dir).select(level.alias("o")).groupBy("o.level", "o.failures", "o.issues").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- raw messages ---------------------------------------------------------------------------------
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.read_messages(mail.raw(spark, sf_dir))
+
+
+_RAW_SQL = ctes("messages") + """, r AS (SELECT *, concat('/mail/', message_id, '.eml#0') AS id, 1699920000 + (message_id % 24) * 3600 + (message_id % 60) * 60 AS ts FROM messages)"""
+
+
+@query("raw_core", _RAW_SQL + """ SELECT id AS message_id, subject, CASE WHEN lower(display_name) <> concat(local_part, '@', from_domain) THEN display_name END AS sender_name, concat(local_part, '@', from_domain) AS sender,
+ local_part || '@' || reply_to_domain AS reply_to, 'bounce@' || return_path_domain AS return_path, concat('jane@', to_domain, ' bob@', to_domain) AS recipients, ts AS date_s,
+ concat('<', message_id, '@', from_domain, '>') AS id_header, CASE WHEN message_id % 3 = 0 THEN concat('Mailer ', message_id % 5) END AS mailer,
+ CASE WHEN message_id % 5 = 1 THEN concat('[', sender_ip, ']') END AS originating, concat('Hello ', to_domain, chr(10), 'See https://files.example.com/setup.exe now') AS body FROM r""")
+def raw_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers, encoded words, addresses, dates and bodies of raw messages."""
+    c = source.core(_raw(spark, sf_dir))
+    body = F.rtrim(F.regexp_replace(F.replace(F.col("body_text"), F.lit("\r"), F.lit("")), r"\n\z", ""))
+    return c.select(
+        "message_id", "subject", F.col("sender.name").alias("sender_name"), F.col("sender.email").alias("sender"), F.col("reply_to.email").alias("reply_to"), F.col("return_path.email").alias("return_path"),
+        F.array_join("to", " ").alias("recipients"), "date_s", "id_header", "mailer", "originating", body.alias("body"),
+    )
+
+
+@query("raw_headers", _RAW_SQL + """, h AS (SELECT unnest(list_filter(['received', 'received', 'authentication-results', CASE WHEN message_id % 4 = 0 THEN 'received-spf' END, CASE WHEN dkim IS NOT NULL THEN 'dkim-signature' END,
+ CASE WHEN return_path_domain IS NOT NULL THEN 'return-path' END, 'from', CASE WHEN reply_to_domain IS NOT NULL THEN 'reply-to' END, 'to', 'subject', 'date', 'message-id', CASE WHEN message_id % 3 = 0 THEN 'x-mailer' END,
+ CASE WHEN message_id % 5 = 1 THEN 'x-originating-ip' END, 'mime-version', 'content-type'], lambda x: x IS NOT NULL)) AS name_lc FROM r) SELECT name_lc, count(*) AS n FROM h GROUP BY 1""")
+def raw_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.headers(_raw(spark, sf_dir)).groupBy("name_lc").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("raw_x_headers", _RAW_SQL + """ SELECT id AS message_id, 'x-mailer' AS name_lc, concat('Mailer ', message_id % 5) AS value FROM r WHERE message_id % 3 = 0
+ UNION ALL SELECT id, 'x-originating-ip', concat('[', sender_ip, ']') FROM r WHERE message_id % 5 = 1""")
+def raw_x_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.x_headers(_raw(spark, sf_dir)).select("message_id", "name_lc", "value")
+
+
+@query("raw_parts", _RAW_SQL + """, p AS (SELECT 0 AS place, 'text/plain' AS mime, 'utf-8' AS charset, NULL AS disposition, NULL AS filename, FALSE AS is_file FROM r
+ UNION ALL SELECT 1, 'text/html', 'utf-8', NULL, NULL, FALSE FROM r
+ UNION ALL SELECT 2, 'application/octet-stream', NULL, 'attachment', concat('file', message_id % 4, '.bin'), TRUE FROM r WHERE message_id % 3 = 0)
+SELECT CAST(place AS BIGINT) AS place, mime, charset, disposition, filename, is_file, count(*) AS n FROM p GROUP BY ALL""")
+def raw_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = source.parts(_raw(spark, sf_dir)).withColumn("place", F.get("path", F.lit(0)).cast("long"))
+    return p.groupBy("place", "mime", "charset", "disposition", "filename", "is_file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("raw_files", _RAW_SQL + """, f AS (SELECT id AS message_id, concat('file', message_id % 4, '.bin') AS name, repeat('MZ', CAST(message_id % 9 + 1 AS INT)) AS body FROM r WHERE message_id % 3 = 0)
+SELECT message_id, name, CAST(length(body) AS BIGINT) AS size, sha256(body) AS sha256, 'Windows executable (PE)' AS kind FROM f""")
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments by content: their names, sizes, hashes and types."""
+    p = source.parts(_raw(spark, sf_dir)).where("is_file")
+    return p.select("message_id", F.col("filename").alias("name"), "size", content.hashes(F.col("bytes"))["sha256"].alias("sha256"), content.sniff(F.col("bytes"))["label"].alias("kind"))
+
+
+@query("raw_hops", _RAW_SQL + """ SELECT id AS message_id, CAST(2 AS BIGINT) AS hop, concat('relay', message_id % 7, '.example.net') AS from_host, 'mx.contoso.com' AS by_host, sender_ip AS ip, ts FROM r
+ UNION ALL SELECT id, 1, 'desk', 'relay.example.net', concat('10.0.0.', message_id % 200), ts FROM r""")
+def raw_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.hops(_raw(spark, sf_dir)).select("message_id", "hop", "from_host", "by_host", "ip", "ts")
+
+
+@query("raw_auth_clauses", _RAW_SQL + """, c AS (SELECT 'spf' AS method, spf AS result, coalesce(return_path_domain, from_domain) AS domain FROM r WHERE spf IS NOT NULL
+ UNION ALL SELECT 'dkim', dkim, from_domain FROM r WHERE dkim IS NOT NULL UNION ALL SELECT 'dmarc', dmarc, from_domain FROM r WHERE dmarc IS NOT NULL)
+SELECT 'mx.contoso.com' AS server, method, result, domain, count(*) AS n FROM c GROUP BY ALL""")
+def raw_auth_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of Authentication-Results, semicolons in comments included."""
+    a = _raw(spark, sf_dir).select(source.auth_clauses(source.value_of("authentication-results")).alias("a")).select("a.server", F.inline("a.clauses"))
+    domain = F.coalesce(F.try_element_at("props", F.lit("smtp.mailfrom")), F.try_element_at("props", F.lit("header.d")), F.try_element_at("props", F.lit("header.from")))
+    return a.groupBy("server", "method", "result", domain.alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("raw_received_spf", _RAW_SQL + f""" SELECT id AS message_id, coalesce(spf, 'none') AS result, sender_ip AS client_ip, concat('bounce@', from_domain) AS envelope_from, 'desk' AS helo FROM r WHERE message_id % 4 = 0""")
+def raw_received_spf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir).select("message_id", source.received_spf(source.value_of("received-spf")).alias("s")).where("s IS NOT NULL").select("message_id", "s.*")
+
+
+@query("raw_dkim_tags", _RAW_SQL + """ SELECT id AS message_id, from_domain AS d, 's1' AS s, 'rsa-sha256' AS a FROM r WHERE dkim IS NOT NULL""")
+def raw_dkim_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = _raw(spark, sf_dir).select("message_id", source.value_of("dkim-signature").alias("v")).where("v IS NOT NULL")
+    return signed.select("message_id", *[source.dkim_tag(F.col("v"), t).alias(t) for t in ("d", "s", "a")])
+
+
+@query("raw_header_domains", _RAW_SQL + """, d AS (SELECT 'From' AS source, from_domain AS domain FROM r UNION ALL SELECT 'Reply-To', reply_to_domain FROM r UNION ALL SELECT 'Return-Path', return_path_domain FROM r
+ UNION ALL SELECT 'DKIM', from_domain FROM r WHERE dkim IS NOT NULL) SELECT source, domain, count(*) AS n FROM d WHERE domain IS NOT NULL GROUP BY ALL""")
+def raw_header_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.header_domains(_raw(spark, sf_dir)).groupBy("source", "domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("raw_links", _RAW_SQL + f""" SELECT id AS message_id, concat('http://', from_domain, '/x') AS href, 'www.contoso.com' AS shown, {sql_org('from_domain')} <> 'contoso.com' AS deceptive FROM r""")
+def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of HTML bodies with the texts that they show."""
+    found = iocs.html_links(source.core(_raw(spark, sf_dir)), ["message_id"], "body_html")
+    return found.select("message_id", "href", F.col("text").alias("shown"), iocs.is_deceptive(F.col("text"), F.col("href")).alias("deceptive"))
+
+
+# --- pages and documents, whole -------------------------------------------------------------------
+
+_SQL_USES = " UNION ALL ".join(
+    f"SELECT page_id, {k} AS rank, '{use}' AS use, unnest(regexp_extract_all(html, '{pattern.replace(chr(39), chr(39) * 2)}', 1)) AS u FROM pages" for k, (use, pattern) in enumerate(content.USES)
+)
+
+
+@query("page_destinations", f"""WITH d AS ({_SQL_USES}), c AS (SELECT page_id, rank, use, replace(trim(u), '&amp;', '&') AS u FROM d),
+w AS (SELECT page_id, rank, use, CASE WHEN u LIKE '//%' THEN concat('https:', u) ELSE u END AS url FROM c WHERE regexp_matches(u, '(?i)^((https?:)?//|wss?://)'))
+SELECT page_id, url, arg_min(use, rank) AS use FROM w GROUP BY ALL""")
+def page_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL that a page loads or sends to, with its most specific use."""
+    return content.destinations(read(spark, sf_dir, "pages", "page_id", "html"), ["page_id"], "html").drop("exfil")
+
+
+_MARKS = [r"(?i)new\s+Blob\s*\(|msSaveOrOpenBlob|createObjectURL", r"(?i)download\s*=|\.click\s*\(\)", r"(?i)base64,[A-Za-z0-9+/=]{500,}|atob\s*\("]
+
+
+@query("page_smuggling", "SELECT page_id, CAST(" + " + ".join(f"CAST(regexp_matches(substr(html, 1, {content.SMUGGLING_CHARS}), '{m}') AS INT)" for m in _MARKS) + " AS BIGINT) AS marks FROM pages WHERE html IS NOT NULL")
+def page_smuggling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages", "page_id", "html").where("html IS NOT NULL").select("page_id", F.size(content.smuggling(F.col("html"))).cast("long").alias("marks"))
+
+
+@query("page_resources", r"""SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:img|script|iframe|embed|source|input|body|table|td)\b[^>]*?\b(?:src|background)\s*=\s*["''](https?://[^"'']+)["'']', 1)) AS u FROM pages) GROUP BY page_id""")
+def page_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = iocs.html_links(read(spark, sf_dir, "pages", "page_id", "html"), ["page_id"], "html")
+    return found.where("is_resource").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("doc_text_links", r"""WITH u AS (SELECT doc_id, regexp_extract_all(text, '(?i)https?://[^\s<>"]+') AS us FROM documents) SELECT doc_id, CAST(i - 1 AS BIGINT) AS ord, us[i] AS href FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS i FROM u)""")
+def doc_text_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iocs.text_links(read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], "text")
+
+
+@query("doc_ioc_kinds", f"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '(?i)https?://[^\\s<>"]+')) AS us, list_distinct(list_transform(regexp_extract_all(text, '{SQL_EMAIL}'), lambda x: lower(x))) AS es, list_distinct({sql_quads('text')}) AS ips FROM documents WHERE text IS NOT NULL)
+SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'url' AS kind, len(us) AS n FROM t UNION ALL SELECT 'email', len(es) FROM t UNION ALL SELECT 'ip', len(ips) FROM t) GROUP BY kind HAVING sum(n) > 0""")
+def doc_ioc_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iocs.from_text(read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], "text").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -25,10 +25,12 @@ from vellum.sources import archives
 KNOWN = ["from", "to", "subject", "date", "received", "message-id", "return-path", "reply-to", "authentication-results", "dkim-signature", "received-spf", "mime-version", "content-type"]
 SINGLE = ["from", "to", "subject", "date", "message-id", "reply-to", "return-path", "sender"]
 DEPTH = 60
+#: Messages and bytes of their parts that go back to Spark together.
+HELD_ROWS, HELD_BYTES = 512, 8 << 20
 
 HEADER = "pos:int,name:string,value:string"
 PART = "path:array<int>,mime:string,charset:string,disposition:string,filename:string,content_id:string,is_file:boolean,size:bigint,text:string,bytes:binary"
-PARSED = f"name string, archive string, error string, headers array<struct<{HEADER}>>, parts array<struct<{PART}>>"
+PARSED = f"name string, archive string, error string, headers array<struct<{HEADER}>>, parts array<struct<{PART}>>, message_id string"
 CLAUSE = "array<struct<method:string,result:string,props:map<string,string>,raw:string>>"
 
 
@@ -95,24 +97,34 @@ def parse(raw: bytes) -> tuple[list[tuple], list[tuple]]:
 def read_messages(files: DataFrame, passwords: list[str] | None = None) -> DataFrame:
     """One row per message of files (path, content): archives are opened, each failure is a row with its error.
 
-    message_id numbers the rows; what a file holds stays together in one task.
+    message_id is the file's path and the message's number in it, the same at every run; what a file holds stays together in one task.
     """
     tried = [None, "infected", *(passwords or [])]
     h, p = [c.split(":")[0] for c in HEADER.split(",")], [c.split(":")[0] for c in re.split(r",(?![^<]*>)", PART)]
 
+    def rows(path: str, content: bytes | None) -> Iterator[dict]:
+        for number, (name, archive, raw, error) in enumerate(archives.messages(path.rsplit("/", 1)[-1], content or b"", tried)):
+            headers, parts = ([], []) if error else parse(raw)
+            known = any(x[1].lower() in KNOWN for x in headers)
+            yield {
+                "name": name, "archive": archive, "error": error or (None if known else "no known header"),
+                "headers": [dict(zip(h, x)) for x in headers], "parts": [dict(zip(p, x)) for x in parts], "message_id": f"{path}#{number}",
+            }
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                for name, archive, raw, error in archives.messages(path.rsplit("/", 1)[-1], content or b"", tried):
-                    headers, parts = ([], []) if error else parse(raw)
-                    known = any(x[1].lower() in KNOWN for x in headers)
-                    yield pd.DataFrame([{
-                        "name": name, "archive": archive, "error": error or (None if known else "no known header"),
-                        "headers": [dict(zip(h, x)) for x in headers], "parts": [dict(zip(p, x)) for x in parts],
-                    }])
+                for row in rows(path, content):
+                    held.append(row)
+                    size += sum(x["size"] for x in row["parts"])
+                    if size > HELD_BYTES or len(held) >= HELD_ROWS:
+                        yield pd.DataFrame(held)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held)
 
-    parsed = files.select("path", "content").mapInPandas(run, PARSED)
-    return parsed.withColumn("message_id", F.monotonically_increasing_id())
+    return files.select("path", "content").mapInPandas(run, PARSED)
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -141,6 +153,11 @@ def value_of(name: str, column: str = "headers") -> Column:
     return F.get(F.filter(values_of(name, column), lambda v: v != ""), F.lit(0))
 
 
+def x_headers(messages: DataFrame) -> DataFrame:
+    """message_id, pos, name, name_lc, value of the headers that begin with X-."""
+    return headers(messages).where(F.col("name_lc").startswith("x-"))
+
+
 def duplicated(messages: DataFrame) -> DataFrame:
     """message_id, name, n of headers that a message has more than once but should not."""
     return headers(messages).where(F.col("name_lc").isin(SINGLE)).groupBy("message_id", F.col("name_lc").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
