@@ -64,15 +64,26 @@ SYLLABLES = {
 }
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-EVERY_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-EVERY_KNOWN = "|".join(g for gs in KNOWN.values() for g in gs)
+
+
+def _by_letter(words: list[str]) -> str:
+    """An alternation that looks at a word's first letter once: most places of a text are left at it."""
+    ends: dict[str, list[str]] = {}
+    for w in words:
+        ends.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in ends.items())
+
+
+EVERY_TITLE = _by_letter([t for ts in TITLES.values() for t in ts])
+EVERY_KNOWN = _by_letter([g for gs in KNOWN.values() for g in gs])
+CAPITAL = r"(?=[A-ZÀ-ÞΑ-ΩА-Я])"
 PART = r"\p{Lu}[\p{L}’'-]{1,40}"
 HEX = r"[0-9A-Fa-f]{1,4}"
 #: Calling codes of one and two digits; all others have three.
 CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{EVERY_TITLE})\.? {PART}(?: {PART})?|(?:{EVERY_KNOWN}) {PART})",
+    "name": rf"{CAPITAL}(?<![\p{{L}}\p{{N}}])(?:(?:{EVERY_TITLE})\.? {PART}(?: {PART})?|(?:{EVERY_KNOWN}) {PART})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
@@ -82,7 +93,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds: a cheap test before the patterns.
-HINT = rf"[0-9@]|{EVERY_TITLE}|{EVERY_KNOWN}"
+HINT = rf"[0-9@]|{CAPITAL}(?:(?:{EVERY_TITLE}|{EVERY_KNOWN})\.? \p{{Lu}})"
 TITLED = rf"^(?:{EVERY_TITLE})\.? "
 
 
