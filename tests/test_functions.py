@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.functions import domains, ips, text, urls
-from vellum.operators import content, export, iocs, score
+from vellum.functions import domains, ips, pasted, text, urls
+from vellum.operators import auth, content, export, iocs, score, summary
+from vellum.sources import mail
 
 
 def value(spark, column, **inputs):
@@ -169,3 +170,42 @@ def test_hidden_layers(spark):
     got = spark.createDataFrame([(1, page), (2, "<p>plain</p>"), (3, None)], "id long, html string")
     rows = pages.hidden(got, "id", "html").orderBy("ord").collect()
     assert [(r["is_text"], r["password_form"], r["name"]) for r in rows] == [(True, True, None), (False, False, "inv.zip")]
+
+
+def test_typed_domains():
+    good, bad = domains.typed_domains("https://www.Contoso.com/a, jane@example.co.uk; not a domain\na.test b.test\n,contoso.com.")
+    assert good == ["contoso.com", "example.co.uk", "a.test", "b.test"] and bad == ["not a domain"]
+    assert domains.typed_domains(None) == ([], [])
+
+
+def test_address_lists(spark):
+    rows = [('"Doe, Jane" <J@x.test>, bob@y.test, "Other" <j@x.test>',), ("undisclosed-recipients:;",), ('"open, a@b.test',), ("<a,b@c.test>, d@e.test",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(mail.addresses(F.array("v"))).collect()]
+    assert [[tuple(a) for a in x] for x in got] == [[("Doe, Jane", "j@x.test"), (None, "bob@y.test")], [], [("open, a@b.test", "a@b.test")], [(None, "a,b@c.test"), (None, "d@e.test")], []]
+    long = spark.createDataFrame([('"a" ' * 50_000 + "<z@x.test>",)], "v string").select(mail.addresses(F.array("v"))).first()[0]
+    assert [a["email"] for a in long] == ["z@x.test"]
+
+
+def test_whole_messages(spark):
+    rows = [("From: a\r\n\r\nhello",), ("From: a\nTo: b",), ("x" * 60,), ("From: a\n" + " " + "y" * 60,), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(pasted.has_body(F.col("t"))).collect()]
+    assert got == [True, False, True, False, False, False]
+
+
+def test_spf_of_both_headers(spark):
+    row = spark.range(1).select(
+        F.struct(F.lit("pass").alias("status"), F.create_map(F.lit("smtp.mailfrom"), F.lit("x.test")).alias("props"), F.lit("spf=pass (designates 203.0.113.9 as permitted sender)").alias("raw")).alias("c"),
+        F.struct(F.lit("Pass").alias("result"), F.lit("198.51.100.1").alias("client_ip")).alias("r"),
+    )
+    got = row.select(auth.spf_sources(F.col("c"), F.col("r"), F.lit("")).alias("s")).first()["s"]
+    assert (got["ip"], got["results_agree"], got["ips_agree"]) == ("203.0.113.9", True, False)
+
+
+def test_summary_of_origin_and_files(spark):
+    row = spark.range(1).select(
+        summary.origin_ip(F.lit(None).cast("string"), F.array(F.lit("from a ([10.0.0.1])"), F.lit("by x (203.0.113.5)"))).alias("origin"),
+        summary.is_forwarded(F.lit("note.EML"), F.lit(None).cast("string")).alias("eml"), summary.is_forwarded(F.lit("a.pdf"), F.lit("application/pdf")).alias("pdf"),
+        summary.vendor_url("reputation", F.lit("attachment"), F.lit("a b.pdf"), F.lit("ab12")).alias("hash"), summary.vendor_url("reputation", F.lit("attachment"), F.lit("a b.pdf"), F.lit("")).alias("name"),
+    ).first()
+    assert (row["origin"], row["eml"], row["pdf"]) == ("203.0.113.5", True, False)
+    assert row["hash"].endswith("/file/ab12") and row["name"].endswith("/search/a%20b.pdf")

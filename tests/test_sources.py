@@ -144,7 +144,8 @@ def test_verdicts(spark):
     assert got["Lunch"]["tier"] == "Low Risk" and got["Lunch"]["findings"] == []
     bad = got["Account suspended"]
     assert bad["tier"] == "High Risk" and "Impersonation" in bad["attack_types"] and "Malware delivery" in bad["attack_types"] and "Sender spoofing" in bad["attack_types"]
-    assert bad["public_ip"] == "203.0.113.7"
+    assert bad["public_ip"] == "203.0.113.7" and bad["origin_ip"] == "203.0.113.7"
+    assert got["Lunch"]["reasons"] != bad["reasons"] and {"dmarc-fail", "misaligned"} <= set(bad["reasons"]) and len(set(bad["reasons"])) == len(bad["reasons"])
 
 
 def test_containers(spark):

@@ -158,3 +158,24 @@ def under(host: Column, domains: list[str]) -> Column:
     """The host is one of the domains or below one."""
     h = F.regexp_replace(F.lower(host), r"\.\z", "")
     return F.coalesce(h.rlike(r"(?:\A|\.)(?:" + "|".join(d.replace(".", r"\.") for d in domains) + r")\z"), F.lit(False))
+
+
+#: A domain as people type it: labels and a top level of letters, or of xn--.
+TYPED = r"(?=.{1,253}$)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:[a-z]{2,63}|xn--[a-z0-9-]{1,59})"
+
+
+def typed_domains(typed: str | None) -> tuple[list[str], list[str]]:
+    """(domains, entries that are none) of a list as people type it, each once: commas, semicolons and lines divide it.
+
+    Blanks divide an entry only where every piece looks like a domain. Schemes, mailboxes, paths, www. and a dot at the end go.
+    """
+    entries = []
+    for chunk in re.split(r"[\n,;]+", typed or ""):
+        words = chunk.split()
+        entries += words if all(re.search(r"\.[A-Za-z]{2}", w) for w in words) else [chunk.strip()]
+    good, bad = [], []
+    for entry in entries:
+        host = re.split(r"[/?#]", re.sub(r"^[a-z]+://", "", entry.lower()))[0].rpartition("@")[2]
+        host = host.removeprefix("www.").removesuffix(".")
+        (good if re.fullmatch(TYPED, host) else bad).append(host if re.fullmatch(TYPED, host) else entry)
+    return list(dict.fromkeys(good)), bad

@@ -32,3 +32,12 @@ def to_bytes(c: Column) -> Column:
     )
     raw = F.when((mode == "hex") & (F.length(digits) % 2 == 0), F.unhex(digits)).when(mode == "base64", F.try_to_binary(b64, F.lit("base64")))
     return F.struct(raw.alias("bytes"), F.when(error.isNull(), mode).alias("mode"), error.alias("error"))
+
+
+def has_body(c: Column) -> Column:
+    """Whether pasted text is a whole message: it has an empty line, or more long lines of prose than header lines."""
+    lines = F.split(c, r"\r?\n")
+    is_header = lambda x: x.rlike(r"\A[A-Za-z0-9_-]+:")
+    heads = F.size(F.filter(lines, is_header))
+    prose = F.size(F.filter(lines, lambda x: ~is_header(x) & (F.length(x) > 50) & ~x.rlike(r"\A\s")))
+    return F.coalesce(c.contains("\r\n\r\n") | c.contains("\n\n") | (prose > heads), F.lit(False))

@@ -111,6 +111,22 @@ def spf_disagreement(first: Column, second: Column) -> Column:
     return F.coalesce(text.normal_status(first) != text.normal_status(second), F.lit(False)) & first.isNotNull() & second.isNotNull()
 
 
+def evaluated_ip(props: Column, raw: Column) -> Column:
+    """The address that an SPF clause was evaluated for: its property where that is an address, else the first in the clause or its comment."""
+    named = [F.try_element_at(props, F.lit(k)) for k in ("smtp.remote-ip", "smtp.client-ip")]
+    return F.coalesce(*[F.when(ips.is_ip(c), c) for c in named], F.get(ips.ips_in(raw), F.lit(0)))
+
+
+def spf_sources(clause: Column, received: Column, received_raw: Column) -> Column:
+    """struct(ip, results_agree, ips_agree) of both SPF headers; agreement is null unless both tell.
+
+    clause: struct of resolve; received: struct of the Received-SPF header, received_raw its text.
+    """
+    first = F.when(clause.isNotNull(), evaluated_ip(clause["props"], clause["raw"]))
+    second = F.when(received.isNotNull(), F.coalesce(F.when(ips.is_ip(received["client_ip"]), received["client_ip"]), F.get(ips.ips_in(received_raw), F.lit(0))))
+    return F.struct(F.coalesce(first, second).alias("ip"), (clause["status"] == text.normal_status(received["result"])).alias("results_agree"), (first == second).alias("ips_agree"))
+
+
 def auth_points(spf: Column, dkim: Column, dmarc: Column, aligned: Column, reply_elsewhere: Column, warnings: Column, anomaly: Column, findings: Column) -> Column:
     """Points for authentication, never under 0. anomaly and findings are points already added up."""
     total = (

@@ -100,3 +100,26 @@ def ioc_text(iocs: DataFrame, key: list[str]) -> DataFrame:
     """key, text: a message's indicators, a line each, in order."""
     lines = F.array_sort(F.collect_list(F.struct("ord", "value")))
     return iocs.groupBy(*key).agg(F.array_join(F.transform(lines, lambda s: s["value"]), "\n").alias("text"))
+
+
+def comparison_csv(compared: DataFrame, shared: DataFrame, messages: list, names: dict) -> DataFrame:
+    """place, line of a comparison: its header, a line per property, an empty line, and the indicators that the messages share.
+
+    compared: field, m<id>; shared: type, value (made harmless already), members (ids). names: the name of each message.
+    """
+    spark = compared.sparkSession
+    row = lambda place, cells: spark.range(1).select(F.lit(place).alias("place"), csv_line([F.lit(c) for c in cells]).alias("line"))
+    named = F.create_map(*[x for m in messages for x in (F.lit(str(m)), F.lit(names[m]))])
+    seen = F.array_join(F.transform("members", lambda m: F.try_element_at(named, m.cast("string"))), "; ")
+    return (
+        row(0, ["property", *[names[m] for m in messages]])
+        .unionByName(compared.select(F.lit(1).alias("place"), csv_line([F.col("field"), *[F.col(f"m{m}") for m in messages]]).alias("line")))
+        .unionByName(row(2, [""])).unionByName(row(3, ["shared indicator", "type", "seen in"]))
+        .unionByName(shared.select(F.lit(4).alias("place"), csv_line([F.col("value"), F.col("type"), seen]).alias("line")))
+    )
+
+
+def comparison_json(rows: DataFrame, key: str, fields: list[str], messages: list) -> DataFrame:
+    """key, json: a compared message's properties, nulls kept."""
+    body = F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in fields]), {"ignoreNullFields": "false"})
+    return rows.where(F.col(key).isin(messages)).select(key, body.alias("json"))

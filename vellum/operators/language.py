@@ -177,6 +177,23 @@ def summary(matched: Column) -> Column:
     return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(own, lambda m: m["category"] == k))))
 
 
+#: Categories whose strong phrases make the wording a high risk by themselves.
+BAD = ["credential", "financial", "bec", "extortion", "advancefee"]
+
+
+def groups(matched: Column) -> Column:
+    """array of struct(category, strong, broad): most strong phrases first, then most broad ones, then by name."""
+    kinds = F.array_distinct(F.transform(matched, lambda m: m["category"]))
+    n = lambda k, tier: F.size(F.filter(matched, lambda m: (m["category"] == k) & (m["tier"] == tier)))
+    ranked = F.array_sort(F.transform(kinds, lambda k: F.struct((-n(k, "strong")).alias("a"), (-n(k, "broad")).alias("b"), k.alias("k"))))
+    return F.transform(ranked, lambda r: F.struct(r["k"].alias("category"), (-r["a"]).cast("long").alias("strong"), (-r["b"]).cast("long").alias("broad")))
+
+
+def groups_risk(grouped: Column) -> Column:
+    bad = F.exists(grouped, lambda g: (g["strong"] > 0) & g["category"].isin(BAD))
+    return F.when(bad, "high").when(F.exists(grouped, lambda g: g["strong"] > 0), "medium").otherwise("low")
+
+
 def category_scores(counts: Column) -> Column:
     """Map of category to score from a map of strong phrases."""
     def score(k: Column, v: Column) -> Column:

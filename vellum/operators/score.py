@@ -130,6 +130,13 @@ def status_reasons(spf: Column, dkim: Column, dmarc: Column, aligned: Column, re
     ))
 
 
+def decisive(types: Column, counts: Column) -> Column:
+    """Codes that alone raise the tier: those that make it high first."""
+    named = lambda codes: F.filter(F.array(*[F.lit(c) for c in codes]), lambda c: F.array_contains(types, c))
+    phrases = F.array_compact(F.array(*[F.when(strong(counts, k) >= n, f"wording-{k}") for k, n in FLOOR_PHRASES.items()]))
+    return F.concat(named(HIGH_FLOOR), named(SUSPICIOUS_FLOOR), phrases)
+
+
 def reasons(*lists: Column) -> Column:
     """Reason codes of all parts, each once, in order of first appearance."""
     return F.array_distinct(F.flatten(F.array(*lists)))

@@ -17,6 +17,45 @@ def authenticity(dmarc: Column, aligned: Column) -> Column:
     return F.when((dmarc == "fail") | F.coalesce(~aligned, F.lit(False)), "not verified").when((dmarc == "pass") & aligned, "verified").otherwise("could not be verified")
 
 
+def replies_elsewhere(reply_to: Column, sender: Column) -> Column:
+    """Replies go to another domain than From's, organisations not considered; false without Reply-To."""
+    return F.coalesce(~domains.domain_of(reply_to).eqNullSafe(domains.domain_of(sender)) & reply_to.isNotNull(), F.lit(False))
+
+
+def origin_ip(public: Column, received: Column) -> Column:
+    """The public address, or else the first address of the oldest Received header where it is routable. received: values, newest first."""
+    oldest = F.get(ips.ips_in(F.try_element_at(received, F.lit(-1))), F.lit(0))
+    return F.coalesce(public, F.when(ips.is_routable(oldest), oldest))
+
+
+def is_forwarded(name: Column, mime: Column) -> Column:
+    """An attachment is a message that was passed on."""
+    return F.coalesce(F.lower(mime).contains("message/rfc822"), F.lit(False)) | F.coalesce(F.lower(name).endswith(".eml"), F.lit(False))
+
+
+def component(c: Column) -> Column:
+    """A text as a part of a URL: letters, digits and -_.!~*'() stay."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, sign in (("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
+#: Pages of public reputation services.
+ABUSE_PAGE, REPUTATION_PAGE = "https://www.abuseipdb.com/check/", "https://www.virustotal.com/gui/"
+
+
+def vendor_url(service: str, kind: Column, value: Column, sha256: Column) -> Column:
+    """The page of a service (abuse or reputation) on an indicator; a file is found by its hash where it has one."""
+    if service == "abuse":
+        return F.concat(F.lit(ABUSE_PAGE), component(value))
+    part = (
+        F.when(kind == "ip", F.concat(F.lit("ip-address/"), component(value))).when(kind == "domain", F.concat(F.lit("domain/"), component(value)))
+        .when((kind == "attachment") & (sha256 != ""), F.concat(F.lit("file/"), component(sha256))).otherwise(F.concat(F.lit("search/"), component(value)))
+    )
+    return F.concat(F.lit(REPUTATION_PAGE), part)
+
+
 def suspicious_domain(domain: Column) -> Column:
     return F.coalesce(domain.rlike(r"\A(?:xn--|[0-9])"), F.lit(False))
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions import domains, text, urls
-from vellum.operators import auth, containers, content, identity, iocs, language, pages, score, thread
+from vellum.functions import domains, ips, text, urls
+from vellum.operators import auth, containers, content, identity, iocs, language, pages, score, summary, thread
 from vellum.sources import mail
 
 RISK_LISTS = "array<array<struct<type:string,level:string>>>"
@@ -21,7 +21,7 @@ def authentication(messages: DataFrame, core: DataFrame) -> DataFrame:
     results = mail.values_of("authentication-results")
     top = messages.select(
         "message_id", mail.auth_clauses(F.get(results, F.lit(0))).alias("top"), F.size(results).alias("n_results"),
-        F.transform(results, lambda v: v).alias("results"), mail.received_spf(mail.value_of("received-spf")).alias("rspf"),
+        F.transform(results, lambda v: v).alias("results"), mail.received_spf(mail.value_of("received-spf")).alias("rspf"), mail.value_of("received-spf").alias("rspf_raw"),
         F.transform(mail.values_of("dkim-signature"), lambda v: F.lower(mail.dkim_tag(v, "d"))).alias("signed"),
         F.size("parts").alias("n_parts"),
     )
@@ -48,14 +48,15 @@ def authentication(messages: DataFrame, core: DataFrame) -> DataFrame:
     conflicts = auth.trust_conflicts(claims, ["message_id"]).groupBy("message_id").agg(F.sum("lower_passes").alias("conflicts"))
     again = mail.duplicated(messages).groupBy("message_id").agg(F.count(F.lit(1)).alias("again"))
     arc = mail.arc(messages).select("message_id", F.coalesce(~F.col("chain_valid"), F.lit(False)).cast("long").alias("broken"))
-    out = joined.join(by, "message_id", "left").join(conflicts, "message_id", "left").join(again, "message_id", "left").join(arc, "message_id", "left")
+    base_spf = auth.spf_sources(F.col("_spf"), F.col("rspf"), F.col("rspf_raw"))
+    out = joined.withColumn("spf_sources", base_spf).join(by, "message_id", "left").join(conflicts, "message_id", "left").join(again, "message_id", "left").join(arc, "message_id", "left")
     zero = F.lit(0)
-    disagree = auth.spf_disagreement(F.col("_spf.status"), F.col("rspf.result")).cast("long")
+    disagree = auth.spf_disagreement(F.col("_spf.status"), F.col("rspf.result")).cast("long") + F.coalesce(~F.col("spf_sources.ips_agree"), F.lit(False)).cast("long")
     return out.select(
         "message_id", "spf", "dkim", "dmarc", "from_domain", auth.dmarc_aligned(F.coalesce("entries", F.array().cast("array<struct<mode:string,relevant:boolean,passed:boolean>>"))).alias("is_aligned"),
         F.coalesce("reply_elsewhere", F.lit(False)).alias("reply_elsewhere"),
         (F.coalesce("conflicts", zero) + F.coalesce("again", zero) + F.coalesce("broken", zero) + disagree).alias("warnings"),
-        (F.col("n_results") > 0).alias("_has_results"), F.col("rspf").isNotNull().alias("_has_spf"),
+        "spf_sources", (F.col("n_results") > 0).alias("_has_results"), F.col("rspf").isNotNull().alias("_has_spf"),
     ).withColumns({
         "has_auth": F.col("_has_results") | F.col("_has_spf"),
         "auth_overall": auth.overall(F.col("spf"), F.col("dkim"), F.col("dmarc"), F.col("is_aligned"), F.col("reply_elsewhere"), F.col("warnings")),
@@ -98,6 +99,39 @@ def links(core: DataFrame) -> DataFrame:
     return iocs.unwrapped(once, ["message_id"], unwrap)
 
 
+#: Links stand behind what the headers name.
+AFTER_HEADERS = 1_000_000_000
+
+
+def indicators(messages: DataFrame, core: DataFrame) -> DataFrame:
+    """message_id, kind, value, ord, times, source, risks of every URL, address, IP and domain of a message, each once.
+
+    The first place wins: X-Originating-IP before Received before the body. Domains are those of Message-ID, URLs and addresses.
+    """
+    none = F.array().cast("array<string>")
+    named = lambda kind, source, values: F.transform(F.coalesce(values, none), lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), v.alias("value")))
+    relays = F.flatten(F.transform(mail.values_of("received"), ips.sending_ips))
+    issuer = F.lower(F.regexp_extract("id_header", r"@([^>\s]+)", 1))
+    found = F.concat(
+        named("email", "From", F.array("sender.email")), named("email", "Reply-To", F.array("reply_to.email")), named("email", "Return-Path", F.array("return_path.email")),
+        named("email", "body", iocs.emails_in(F.col("read_text"))), named("ip", "X-Originating-IP", ips.ips_in(F.col("originating"))), named("ip", "Received", relays),
+        named("ip", "body", ips.ips_in(F.col("read_text"))), named("domain", "Message-ID", F.array(issuer)),
+    )
+    listed = core.select("message_id", F.posexplode(found).alias("ord", "i")).select("message_id", "i.*", F.col("ord").cast("long").alias("ord"), F.lit(False).alias("is_mismatch"))
+    pages_to = page_destinations(messages, core).drop("sending")
+    urls_of = links(core).drop("unwrapped_from").withColumn("source", F.coalesce("source", F.lit("unwrapped"))).unionByName(pages_to)
+    web = urls_of.select("message_id", F.lit("url").alias("kind"), "source", "value", (F.col("ord") + AFTER_HEADERS).alias("ord"), F.coalesce("is_mismatch", F.lit(False)).alias("is_mismatch"))
+    every = listed.unionByName(web).where("value <> ''")
+    hosts = iocs.collect_domains(every.where(F.col("kind") != "domain"), ["message_id"]).select("message_id", F.lit("domain").alias("kind"), "source", "value", "ord", F.lit(False).alias("is_mismatch"))
+    once = iocs.first_wins(every.unionByName(hosts), ["message_id", "kind"])
+    value, kind = F.col("value"), F.col("kind")
+    risks = (
+        F.when(kind == "url", iocs.url_risks(value, F.col("is_mismatch"), F.col("source"))).when(kind == "email", iocs.email_risks(value))
+        .when(kind == "ip", iocs.ip_risks(value, F.col("source"))).otherwise(iocs.domain_risks(value))
+    )
+    return once.select("message_id", "kind", "value", "ord", "times", "source", risks.alias("risks"))
+
+
 def analyse(messages: DataFrame, dictionary: DataFrame, own_domains: list[str] | None = None) -> DataFrame:
     """One verdict per readable message: scores, tier, attack types, findings, caveats."""
     core = mail.core(messages.where("error IS NULL"))
@@ -164,8 +198,13 @@ def verdict(judged: DataFrame) -> DataFrame:
     risks = F.flatten(F.concat("url_risks", "file_risks"))
     callback = F.exists("matches", lambda m: (m["category"] == "social") & (m["tier"] == "strong") & m["phrase"].rlike(r"\d[\d\s().-]{7,}\d"))
     total = parts.withColumn("score", score.floored(score.weighted(col("auth"), col("iocs"), col("language")), risks, col("counts"), col("findings"), col("password_form")))
+    types = F.array_distinct(F.transform(risks, lambda r: r["type"]))
+    wording = F.transform(F.map_keys("counts"), lambda k: F.concat(F.lit("wording-"), k))
+    ids = lambda c: F.transform(c, lambda x: x["id"])
+    why = score.reasons(score.decisive(types, col("counts")), score.status_reasons(col("spf"), col("dkim"), col("dmarc"), col("is_aligned"), col("reply_elsewhere")), ids("anomalies"), ids("findings"), types, wording)
     return total.select(
-        "message_id", "name", "subject", "sender", "spf", "dkim", "dmarc", "is_aligned", "auth_overall", "public_ip", "auth", "iocs", "language", "score", score.tier(col("score")).alias("tier"),
+        "message_id", "name", "subject", "sender", "spf", "dkim", "dmarc", "is_aligned", "auth_overall", "public_ip", col("spf_sources.ip").alias("spf_ip"),
+        (col("spf_sources.ip") == col("public_ip")).alias("spf_matches_sender"), why.alias("reasons"), summary.origin_ip(col("public_ip"), mail.values_of("received")).alias("origin_ip"), "auth", "iocs", "language", "score", score.tier(col("score")).alias("tier"),
         score.attack_types(col("counts"), col("url_risks"), col("file_risks"), col("n_urls"), col("n_files"), col("findings"), col("dmarc"), col("is_aligned"), col("password_form"), callback).alias("attack_types"),
         "findings", "anomalies", "counts", score.caveats(col("subject"), col("has_auth"), F.coalesce("n_hops", F.lit(0)) > 0, col("counts")).alias("caveats"),
     )

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.functions import domains, fixed, ips, text, urls
+from vellum.functions import domains, fixed, ips, pasted, text, urls
 from vellum.operators import auth, content, correlate, export, identity, iocs, language, pages, score, summary
+from vellum.plans import analysis
 from vellum.plans import messages as mail
 from vellum.plans.messages import ctes
 from vellum.sources import mail as source
@@ -728,6 +729,105 @@ def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("message_id", "href", F.col("text").alias("shown"), iocs.is_deceptive(F.col("text"), F.col("href")).alias("deceptive"))
 
 
+@query("raw_header_view", _RAW_SQL + f""", h AS (SELECT id, unnest(list_filter(['received:2', 'received:1', 'authentication-results', CASE WHEN message_id % 4 = 0 THEN 'received-spf' END, CASE WHEN dkim IS NOT NULL THEN 'dkim-signature' END,
+ CASE WHEN return_path_domain IS NOT NULL THEN 'return-path' END, 'from', CASE WHEN reply_to_domain IS NOT NULL THEN 'reply-to' END, 'to', 'subject', 'date', 'message-id', CASE WHEN message_id % 3 = 0 THEN 'x-mailer' END,
+ CASE WHEN message_id % 5 = 1 THEN 'x-originating-ip' END, 'mime-version', 'content-type'], lambda x: x IS NOT NULL)) AS t FROM r), v AS (SELECT split_part(t, ':', 1) AS name_lc, coalesce(TRY_CAST(split_part(t, ':', 2) AS BIGINT), 0) AS hop FROM h)
+SELECT name_lc, hop, CAST(coalesce(list_position({source.KEY_HEADERS}, name_lc), {len(source.KEY_HEADERS) + 1}) AS BIGINT) AS rank, CASE WHEN name_lc = 'received' THEN 'received' WHEN name_lc IN ('authentication-results', 'received-spf', 'dkim-signature') THEN 'auth' END AS kind, count(*) AS n FROM v GROUP BY ALL""")
+def raw_header_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers by how much they matter, Received ones with their hops."""
+    return source.header_view(_raw(spark, sf_dir)).groupBy("name_lc", F.coalesce("hop", F.lit(0)).alias("hop"), "rank", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("raw_recipients", _RAW_SQL + """ SELECT id AS message_id, 'Doe, Jane' AS name, concat('jane@', to_domain) AS email FROM r UNION ALL SELECT id, NULL, concat('bob@', to_domain) FROM r""")
+def raw_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address lists with names; commas in quotes divide nothing."""
+    return _raw(spark, sf_dir).select("message_id", F.inline(source.addresses(source.values_of("to"))))
+
+
+@query("raw_spf_sources", _RAW_SQL + """ SELECT id AS message_id, CASE WHEN message_id % 4 = 0 THEN sender_ip END AS ip, CASE WHEN spf IS NOT NULL AND message_id % 4 = 0 THEN 'true' ELSE 'unknown' END AS results_agree, 'unknown' AS ips_agree FROM r""")
+def raw_spf_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both SPF headers say of one message."""
+    raw = source.value_of("received-spf")
+    top = _raw(spark, sf_dir).select("message_id", source.auth_clauses(source.value_of("authentication-results")).alias("top"), source.received_spf(raw).alias("rspf"), raw.alias("raw"))
+    named = top.withColumn("spf", auth.resolve(F.col("top.clauses"), "spf"))
+    return named.select("message_id", auth.spf_sources(F.col("spf"), F.col("rspf"), F.col("raw")).alias("s")).select("message_id", "s.ip", *[F.coalesce(F.col(f"s.{c}").cast("string"), F.lit("unknown")).alias(c) for c in ("results_agree", "ips_agree")])
+
+
+@query("raw_indicators", _RAW_SQL + f""", x AS (SELECT id, 'email' AS kind, 'From' AS source, 0 AS rank, concat(local_part, '@', from_domain) AS value FROM r
+ UNION ALL SELECT id, 'email', 'Reply-To', 1, local_part || '@' || reply_to_domain FROM r UNION ALL SELECT id, 'email', 'Return-Path', 2, 'bounce@' || return_path_domain FROM r
+ UNION ALL SELECT id, 'ip', 'X-Originating-IP', 0, sender_ip FROM r WHERE message_id % 5 = 1 UNION ALL SELECT id, 'ip', 'Received', 1, sender_ip FROM r UNION ALL SELECT id, 'ip', 'Received', 1, concat('10.0.0.', message_id % 200) FROM r
+ UNION ALL SELECT id, 'url', 'body', 0, 'https://files.example.com/setup.exe' FROM r UNION ALL SELECT id, 'url', 'body', 0, concat('http://', from_domain, '/x') FROM r
+ UNION ALL SELECT id, 'domain', 'Message-ID', 9, from_domain FROM r UNION ALL SELECT id, 'domain', 'From', 0, from_domain FROM r UNION ALL SELECT id, 'domain', 'Reply-To', 1, reply_to_domain FROM r
+ UNION ALL SELECT id, 'domain', 'Return-Path', 2, return_path_domain FROM r UNION ALL SELECT id, 'domain', 'body', 10, 'files.example.com' FROM r)
+SELECT id AS message_id, kind, value, arg_min(source, rank) AS source, CASE WHEN kind = 'url' AND value LIKE '%.exe' THEN 'direct-download' WHEN kind = 'ip' AND arg_min(source, rank) LIKE 'X-%' THEN 'x-originating' END AS risk FROM x WHERE value IS NOT NULL GROUP BY id, kind, value""")
+def raw_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every indicator of raw messages with where it stands first; of its risks, downloads and X-Originating-IP."""
+    messages = _raw(spark, sf_dir)
+    found = analysis.indicators(messages, source.core(messages))
+    shown = F.array_intersect(F.transform("risks", lambda r: r["type"]), F.array(F.lit("direct-download"), F.lit("x-originating")))
+    return found.select("message_id", "kind", "value", "source", F.get(shown, F.lit(0)).alias("risk"))
+
+
+@query("raw_has_body", ctes("messages") + """ SELECT message_id, message_id % 2 = 0 AS has_body FROM messages""")
+def raw_has_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole messages against headers alone: of odd ones, only the headers are looked at."""
+    text_of = F.decode("content", "UTF-8")
+    m = mail.raw(spark, sf_dir).withColumn("message_id", F.regexp_extract("path", r"(\d+)\.eml", 1).cast("long"))
+    pasted_text = F.when(F.col("message_id") % 2 == 0, text_of).otherwise(F.substring_index(text_of, "\r\n\r\n", 1))
+    return m.select("message_id", pasted.has_body(pasted_text).alias("has_body"))
+
+
+@query("msg_reply_elsewhere", ctes("messages") + " SELECT message_id, coalesce(reply_to_domain <> from_domain, FALSE) AS elsewhere FROM messages")
+def msg_reply_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda c: F.concat(F.lit("x@"), c)
+    return mail.relation(spark, sf_dir, "messages").select("message_id", summary.replies_elsewhere(at(F.col("reply_to_domain")), at(F.col("from_domain"))).alias("elsewhere"))
+
+
+@query("msg_lang_groups", ctes("bodies") + f""", c AS ({_LANG_ROWS}), g AS (SELECT message_id, category, strong, row_number() OVER (PARTITION BY message_id ORDER BY strong DESC, category) AS place, bool_or(category IN {in_list(language.BAD)}) OVER (PARTITION BY message_id) AS bad FROM c WHERE strong > 0)
+SELECT message_id, CAST(place AS BIGINT) AS place, category, strong, CASE WHEN bad THEN 'high' ELSE 'medium' END AS risk FROM g""")
+def msg_lang_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wording by category, the strongest first, with the risk of the whole."""
+    matched = language.match(mail.relation(spark, sf_dir, "bodies"), "text", language.default_dictionary(spark), [])
+    grouped = matched.select("message_id", language.groups(F.col("matches")).alias("g"))
+    each = grouped.select("message_id", language.groups_risk(F.col("g")).alias("risk"), F.posexplode("g").alias("at", "c"))
+    return each.select("message_id", (F.col("at") + 1).cast("long").alias("place"), "c.category", "c.strong", "risk")
+
+
+_COMPONENT = "replace(replace(replace(replace(replace(url_encode({0}), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*')"
+
+
+@query("msg_vendor_links", ctes("messages", "urls") + f""", x AS (SELECT DISTINCT 'url' AS kind, value FROM urls UNION SELECT 'ip', sender_ip FROM messages UNION SELECT 'domain', from_domain FROM messages)
+SELECT kind, value, concat('{summary.REPUTATION_PAGE}', CASE kind WHEN 'ip' THEN 'ip-address/' WHEN 'domain' THEN 'domain/' ELSE 'search/' END, {_COMPONENT.format('value')}) AS reputation, concat('{summary.ABUSE_PAGE}', {_COMPONENT.format('value')}) AS abuse FROM x""")
+def msg_vendor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mail.relation(spark, sf_dir, "messages").select(F.inline(F.array(F.struct(F.lit("ip").alias("kind"), F.col("sender_ip").alias("value")), F.struct(F.lit("domain").alias("kind"), F.col("from_domain").alias("value")))))
+    every = m.unionByName(mail.relation(spark, sf_dir, "urls").select(F.lit("url").alias("kind"), "value")).distinct()
+    kind, value, none = F.col("kind"), F.col("value"), F.lit(None).cast("string")
+    return every.select(kind, value, summary.vendor_url("reputation", kind, value, none).alias("reputation"), summary.vendor_url("abuse", kind, value, none).alias("abuse"))
+
+
+_COMPARED = ["from_domain", "display_name", "spf", "to_domain", "sender_ip"]
+_CELL = "CASE WHEN regexp_matches({0}, '[\",\\r\\n]') THEN concat('\"', replace({0}, '\"', '\"\"'), '\"') ELSE coalesce({0}, '') END"
+
+
+@query("msg_compare_csv", _IND_SQL + f""", t AS (SELECT message_id, unnest({_COMPARED}) AS field, unnest([{', '.join(_COMPARED)}]) AS value FROM messages WHERE message_id IN (1, 2, 3)),
+w AS (SELECT field, max(value) FILTER (message_id = 1) AS m1, max(value) FILTER (message_id = 2) AS m2, max(value) FILTER (message_id = 3) AS m3 FROM t GROUP BY field),
+s AS (SELECT type, value, string_agg(concat('message ', message_id), '; ' ORDER BY message_id) AS seen FROM ind WHERE message_id IN (1, 2, 3) AND type IN ('domain', 'ip') GROUP BY ALL HAVING count(*) > 1)
+SELECT 0 AS place, 'property,message 1,message 2,message 3' AS line UNION ALL SELECT 1, concat(field, ',', {_CELL.format('m1')}, ',', {_CELL.format('m2')}, ',', {_CELL.format('m3')}) FROM w
+UNION ALL SELECT 2, '' UNION ALL SELECT 3, 'shared indicator,type,seen in' UNION ALL SELECT 4, concat(replace(value, '.', '[.]'), ',', type, ',', seen) FROM s""")
+def msg_compare_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three messages side by side as CSV, with the domains and IPs that they share."""
+    ids = [1, 2, 3]
+    compared = correlate.comparison(mail.relation(spark, sf_dir, "messages"), "message_id", _COMPARED, ids)
+    found = _indicators(spark, sf_dir).where(F.col("message_id").isin(ids) & F.col("type").isin("domain", "ip"))
+    common = correlate.shared(found, "message_id", len(ids)).withColumn("value", text.defang_domain(F.col("value")))
+    return export.comparison_csv(compared, common, ids, {i: f"message {i}" for i in ids})
+
+
+@query("msg_compare_json", ctes("messages") + f""" SELECT message_id, CAST(json_object({', '.join(f"'{f}', {f}" for f in _COMPARED)}) AS VARCHAR) AS json FROM messages WHERE message_id IN (1, 2, 3)""")
+def msg_compare_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.comparison_json(mail.relation(spark, sf_dir, "messages"), "message_id", _COMPARED, [1, 2, 3])
+
+
 # --- pages and documents, whole -------------------------------------------------------------------
 
 _SQL_USES = " UNION ALL ".join(

@@ -24,6 +24,8 @@ from vellum.sources import archives
 #: Headers of which one makes a text a message, and those that a message has once.
 KNOWN = ["from", "to", "subject", "date", "received", "message-id", "return-path", "reply-to", "authentication-results", "dkim-signature", "received-spf", "mime-version", "content-type"]
 SINGLE = ["from", "to", "subject", "date", "message-id", "reply-to", "return-path", "sender"]
+#: Headers that a reader wants first, in order.
+KEY_HEADERS = ["from", "reply-to", "return-path", "to", "subject", "date", "message-id", "authentication-results", "received-spf", "dkim-signature", "content-type", "x-mailer", "x-originating-ip"]
 DEPTH = 60
 #: Messages and bytes of their parts that go back to Spark together.
 HELD_ROWS, HELD_BYTES = 512, 8 << 20
@@ -185,9 +187,23 @@ def address(c: Column) -> Column:
     return F.struct(F.when((name != "") & (F.lower(name) != found), name).alias("name"), F.when(found != "", found).alias("email"))
 
 
-def address_list(c: Column) -> Column:
-    """Distinct addresses of a list, in order."""
-    return F.coalesce(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(ADDRESS), F.lit(0)), F.lower)), F.array().cast("array<string>"))
+#: One entry of an address list: commas inside quotes and angle brackets divide nothing. Possessive, so that long values need no stack.
+ENTRY = r'(?:"[^"]*+(?:"|\z)|<(?:"[^"]*+(?:"|\z)|[^>"]++)*+(?:>|\z)|[^,"<]++)++'
+
+
+def addresses(values: Column) -> Column:
+    """array of struct(name, email) of a header's values: each address once, in order, with the name that came first.
+
+    Groups without members ("undisclosed-recipients:;") give nothing.
+    """
+    entries = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(ENTRY), F.lit(0))))
+    found = F.filter(F.transform(entries, lambda e: address(F.trim(e))), lambda a: a["email"].isNotNull())
+    return F.coalesce(F.filter(found, lambda a, i: F.array_position(found["email"], a["email"]) == i + 1), F.array().cast("array<struct<name:string,email:string>>"))
+
+
+def address_list(values: Column) -> Column:
+    """The addresses of a header's values, without names."""
+    return addresses(values)["email"]
 
 
 def core(messages: DataFrame) -> DataFrame:
@@ -196,8 +212,8 @@ def core(messages: DataFrame) -> DataFrame:
     body = lambda mime: F.array_join(F.transform(F.filter("texts", lambda p: p["mime"] == mime), lambda p: p["text"]), "\n")
     with_fields = m.withColumns({
         "sender": address(decoded(value_of("from"))), "reply_to": address(value_of("reply-to")), "return_path": address(value_of("return-path")),
-        "to": address_list(F.array_join(values_of("to"), ",")), "cc": address_list(F.array_join(values_of("cc"), ",")),
-        "delivered_to": F.get(address_list(value_of("delivered-to")), F.lit(0)), "subject": decoded(value_of("subject")),
+        "to": address_list(values_of("to")), "cc": address_list(values_of("cc")),
+        "delivered_to": F.get(address_list(values_of("delivered-to")), F.lit(0)), "subject": decoded(value_of("subject")),
         "date_s": date_seconds(value_of("date")), "id_header": value_of("message-id"), "mailer": value_of("x-mailer"), "originating": value_of("x-originating-ip"),
         "has_reply_headers": value_of("in-reply-to").isNotNull() | value_of("references").isNotNull(),
         "body_text": body("text/plain"), "body_html": body("text/html"),
@@ -307,6 +323,23 @@ def arc(messages: DataFrame) -> DataFrame:
     )
 
 
+def header_view(messages: DataFrame) -> DataFrame:
+    """message_id, pos, name, name_lc, value, rank, hop, kind: headers as a reader wants them.
+
+    By rank and pos the headers that matter come first; by pos alone they stand as the message has them. hop numbers the
+    Received headers from the origin, 1; kind is received, auth or null.
+    """
+    path = F.transform(F.filter("headers", lambda h: F.lower(h["name"]) == "received"), lambda h: h["pos"])
+    known = F.array(*[F.lit(n) for n in KEY_HEADERS])
+    each = messages.select("message_id", path.alias("_path"), F.inline("headers")).withColumn("name_lc", F.lower("name"))
+    place = F.nullif(F.array_position(known, F.col("name_lc")), F.lit(0).cast("long"))
+    return each.withColumns({
+        "rank": F.coalesce(place, F.lit(len(KEY_HEADERS) + 1).cast("long")),
+        "hop": F.when(F.col("name_lc") == "received", F.size("_path") - F.array_position("_path", F.col("pos")) + 1).cast("long"),
+        "kind": F.when(F.col("name_lc") == "received", "received").when(F.col("name_lc").rlike(r"\A(?:authentication-results|received-spf|dkim-signature|arc-)"), "auth"),
+    }).drop("_path")
+
+
 def header_domains(messages: DataFrame) -> DataFrame:
     """message_id, source, domain from From, Reply-To, Return-Path and DKIM signatures."""
     of = lambda source, a: F.struct(F.lit(source).alias("source"), domains.domain_of(a["email"]).alias("domain"))
