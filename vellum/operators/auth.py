@@ -124,7 +124,7 @@ def spf_sources(clause: Column, received: Column, received_raw: Column) -> Colum
     """
     first = F.when(clause.isNotNull(), evaluated_ip(clause["props"], clause["raw"]))
     second = F.when(received.isNotNull(), F.coalesce(F.when(ips.is_ip(received["client_ip"]), received["client_ip"]), F.get(ips.ips_in(received_raw), F.lit(0))))
-    return F.struct(F.coalesce(first, second).alias("ip"), (clause["status"] == text.normal_status(received["result"])).alias("results_agree"), (first == second).alias("ips_agree"))
+    return F.struct(F.coalesce(first, second).alias("ip"), F.when(clause.isNotNull() & received.isNotNull(), clause["status"] == text.normal_status(received["result"])).alias("results_agree"), (first == second).alias("ips_agree"))
 
 
 def auth_points(spf: Column, dkim: Column, dmarc: Column, aligned: Column, reply_elsewhere: Column, warnings: Column, anomaly: Column, findings: Column) -> Column:
