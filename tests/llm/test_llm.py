@@ -623,3 +623,36 @@ def test_pipeline_stages(spark):
                 assert after.count() == len(plain_groups([(r["doc_id"], r["text"]) for r in now.collect()]))
             now = after
     assert {r["doc_id"] for r in after.select("doc_id").collect()} == {r["doc_id"] for r in now.select("doc_id").collect()}
+
+
+def run_stages(spark, docs, sf_dir):
+    """The rows after each stage, each written and read again, as run() does."""
+    out = [docs]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, out[-1], sf_dir)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert after.columns == docs.columns, name
+        path = f"{common.scratch_path(spark, f'odd-{name}')}"
+        after.write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Null, empty, very long and repeated rows among ordinary ones, null ids, and columns whose names clash: every stage keeps or drops whole rows."""
+    every = documents(spark).unionByName(odd_docs(spark), allowMissingColumns=True)
+    every.write.parquet(f"{tmp_path}/documents")
+    quality_kept, exact, near, mixed, packed = run_stages(spark, spark.read.parquet(f"{tmp_path}/documents"), str(DATA))[1:]
+    row = lambda d: Counter((r["doc_id"], r["text"], r["_id"], r["n"]) for r in d.collect())
+    before, kept = row(every), row(quality_kept)
+    assert not kept - before and not row(exact) - kept and not row(near) - row(exact) and not row(mixed) - row(near)
+    assert sum(row(exact).values()) == len(plain_groups([(r["doc_id"], r["text"]) for r in quality_kept.collect()]))
+    assert mixed.count() > 0 and {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in mixed.select("doc_id").collect()}
+    held = Counter()
+    for r in packed.collect():
+        held[r["sequence_id"]] += r["length"]
+    assert max(held.values()) <= packing.CAPACITY
+
+
+def test_pipeline_empty(spark):
+    assert [d.count() for d in run_stages(spark, empty_docs(spark), str(DATA))] == [0] * 6
