@@ -215,3 +215,38 @@ def test_streaming(spark, tmp_path):
     stream = campaigns.streaming_campaigns(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     campaigns.write(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     assert [(r["value"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("1.2.3.4", 2)]
+
+
+def test_wording_patterns(spark):
+    from vellum.functions import fixed
+    from vellum.operators import language
+
+    m = language.Matcher([], fixed.LANGUAGE_PATTERNS)
+    cases = {
+        "Pay $1,200.50 now": [("financial", "broad", "$1,200.50")],
+        "12,000 EUR, € 3 million": [("financial", "broad", "12,000 EUR"), ("financial", "broad", "€ 3 m")],
+        "to DE89 3704 0044 0532 0130 00 please": [("financial", "strong", "DE89 3704 0044 0532 0130 00")],
+        "0x" + "aB" * 20: [("financial", "strong", "0x" + "aB" * 20)],
+        "Please process the urgent wire\u00a0transfer": [("bec", "strong", "process the urgent wire\u00a0transfer")],
+        "I\u2019m in a meeting, can\u2019t talk": [("bec", "strong", "I\u2019m in a meeting"), ("bec", "strong", "can\u2019t talk")],
+        "Routing number: 021": [("bec", "strong", "Routing number:")],
+        "call us at +1 (555) 010-2030": [("social", "strong", "call us at +1 (555) 010-2030")],
+        "We meet for lunch at noon": [],
+    }
+    for text, want in cases.items():
+        assert [(c, t, p) for c, t, _, _, p in m.matches(text)] == want, text
+
+
+def test_wording_sentence(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.operators import language
+
+    words = spark.createDataFrame([("urgency", "strong", "act now"), ("bec", "strong", "wire transfer"), ("financial", "broad", "invoice")], "category string, tier string, phrase string")
+    rows = spark.createDataFrame([(1, "Act now: wire transfer, wire transfers, one invoice."), (2, "two invoices, invoice"), (3, None)], "id long, t string")
+    got = language.match(rows, "t", words, []).select("id", language.sentence(F.col("matches")).alias("s"), language.total(language.summary(F.col("matches"))).alias("n"))
+    also = " Also noted: {} broader money, pressure or persuasion term{}."
+    assert {r["id"]: (r["s"], r["n"]) for r in got.collect()} == {
+        1: ("Detected: 1 urgency / pressure phrase, 2 bec / payment fraud phrases." + also.format(1, ""), 38),
+        2: ("No suspicious phrases detected." + also.format(2, "s"), 0), 3: ("No suspicious phrases detected.", 0),
+    }

@@ -120,3 +120,30 @@ STOP_WORDS = {
     "de": ("der die und in den von zu das mit sich des auf für ist im dem nicht ein eine".split(), 0.25),
 }
 FEWEST_WORDS = 10
+
+#: Patterns of wording: category, tier and expression. \b, \d and \w are ASCII; white space is any.
+LANGUAGE_PATTERNS = [
+    ("financial", "broad", r"[$€£¥₹₽₩₺₦₱]\s?\d[\d,.]*(?:\s?(?:k|m|million|billion))?"),
+    ("financial", "broad", r"(?i)\b\d[\d,.]*\s?(?:usd|eur|gbp|aed|sar|inr|cad|aud|chf|jpy|cny|ngn|btc|eth|usdt)\b"),
+    ("financial", "strong", r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}(?:\s?[A-Z0-9]{1,4})?\b"),
+    ("financial", "strong", r"\b(?:bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"),
+    ("financial", "strong", r"\b0x[a-fA-F0-9]{40}\b"),
+    ("bec", "strong", r"(?i)\b(?:process|approve|release|initiate|arrange|complete|action)\s+(?:a|the|this)?\s*(?:urgent\s+|same[-\s]day\s+)?(?:bank\s+|wire\s+)?(?:transfer|payment|remittance|invoice)\b"),
+    ("bec", "strong", r"(?i)\bwire\s+(?:the\s+)?(?:funds|money|amount|total|\$[\d,.]+)\b"),
+    ("bec", "strong", r"(?i)\btransfer\s+(?:the\s+)?(?:funds|money|amount|\$[\d,.]+)\b"),
+    ("bec", "strong", r"(?i)\b(?:i\s*am|i'm)\s+(?:currently\s+)?(?:in|on)\s+(?:a\s+)?(?:meeting|call|conference)\b"),
+    ("bec", "strong", r"(?i)\b(?:cannot|can't|can\s+not|won't|will\s+not|unable\s+to)\s+(?:be\s+reached|be\s+contacted|talk|speak|discuss|call)\b"),
+    ("bec", "strong", r"(?i)\b(?:i\s+will\s+be|i'll\s+be|i\s+am)\s+unreachable\b"),
+    ("bec", "strong", r"(?i)\b(?:account|routing|swift|iban|sort\s*code|bic)\s*(?:number|code|no\.?)?\s*[:#](?=\s*[A-Z0-9])"),
+    ("bec", "strong", r"(?i)\bdo\s+not\s+(?:delay|discuss|tell|mention|share|inform)\b"),
+    ("bec", "strong", r"(?i)\bjust\s+handle\s+it\b"),
+    ("bec", "strong", r"(?i)\bsend\s+me\s+the\s+(?:confirmation|receipt|proof)\b"),
+    ("social", "strong", r"(?i)\b(?:call|contact|dial|phone|reach)\b[^.\n]{0,40}?\+?\d[\d\s().-]{7,}\d"),
+]
+
+#: Names of the categories of wording, in order.
+LANGUAGE_LABELS = {
+    "urgency": "Urgency / Pressure", "authority": "Authority / Fear / Threat", "financial": "Money / Financial", "credential": "Credential Harvesting",
+    "bec": "BEC / Payment Fraud", "lure": "Lure / Reward / Seduction", "advancefee": "Advance-Fee / 419 Scam", "social": "Social Engineering",
+    "extortion": "Extortion / Sextortion",
+}

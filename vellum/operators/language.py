@@ -19,6 +19,8 @@ from vellum.functions import fixed
 MOST_PHRASES = 200_000
 WORD = re.compile(r"[^\W_]+(?:'[^\W\d_]+)*")
 QUOTES = str.maketrans({"’": "'", "‘": "'", "`": "'"})
+#: Patterns read texts with plain quotes and blanks, at the same places.
+PLAIN = QUOTES | dict.fromkeys([0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF], " ")
 MATCH = "array<struct<category:string,tier:string,start:int,length:int,phrase:string>>"
 
 #: A starting dictionary; deployments pass their own table.
@@ -33,12 +35,7 @@ PHRASES = {
     "social": ["click the link below", "call this number", "remote session", "do not ignore"],
     "extortion": ["recorded you", "your webcam", "send bitcoin", "pay the ransom", "your secret"],
 }
-PATTERNS = [
-    ("financial", "strong", r"(?:[$€£]|USD|EUR|GBP)\s?[0-9]{1,3}(?:[,.][0-9]{3})+(?:\.[0-9]{2})?"),
-    ("extortion", "strong", r"(?<![A-Za-z0-9])(?:bc1[a-z0-9]{25,60}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})(?![A-Za-z0-9])"),
-    ("social", "strong", r"call\s+\+?[0-9][0-9\s().-]{7,}[0-9]"),
-]
-
+PATTERNS = fixed.LANGUAGE_PATTERNS
 
 #: Words a worker remembers as beginnings of phrases or none.
 REMEMBERED = 200_000
@@ -80,7 +77,7 @@ class Matcher:
                 for w in tokens:
                     node = node.setdefault(w, {})
                 node.setdefault(None, set()).add((category, tier))
-        self.patterns = [(c, t, re.compile(p)) for c, t, p in patterns]
+        self.patterns = [(c, t, re.compile(p, re.ASCII)) for c, t, p in patterns]
         self.begins: dict[str, bool] = {}
 
     def may_begin(self, token: str) -> bool:
@@ -119,8 +116,9 @@ class Matcher:
                 if free.get(category, 0) <= i:
                     by.setdefault(category, []).append(("strong" if strong else "broad", found[i][1], length))
                     free[category] = i + n
+        plain = text.translate(PLAIN) if self.patterns else text
         for category, tier, pattern in self.patterns:
-            for m in pattern.finditer(text):
+            for m in pattern.finditer(plain):
                 phrase = m[0].strip()
                 if phrase:
                     by.setdefault(category, []).append((tier, m.start() + m[0].index(phrase), len(phrase)))
@@ -205,6 +203,23 @@ def category_scores(counts: Column) -> Column:
     return F.transform_values(counts, score)
 
 
+def total(counts: Column) -> Column:
+    """Sum of the categories' scores, 100 at most, from a map of strong phrases."""
+    return F.least(F.aggregate(F.map_values(category_scores(counts)), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(100).cast("long"))
+
+
+def sentence(matched: Column) -> Column:
+    """What was found, in words: strong phrases by category, in the categories' order, then the number of broad terms."""
+    n = lambda test: F.size(F.filter(matched, test))
+    plural = lambda c, word: F.concat(c.cast("string"), F.lit(f" {word}"), F.when(c == 1, "").otherwise("s"))
+    strong = lambda k: n(lambda m: (m["category"] == k) & (m["tier"] == "strong"))
+    parts = [(strong(k), f"{label.lower()} phrase") for k, label in fixed.LANGUAGE_LABELS.items()]
+    named = F.array_compact(F.array(*[F.when(c > 0, plural(c, word)) for c, word in parts]))
+    broad = n(lambda m: m["tier"] != "strong")
+    also = F.when(broad > 0, F.concat(F.lit(" Also noted: "), plural(broad, "broader money, pressure or persuasion term"), F.lit("."))).otherwise("")
+    return F.concat(F.when(F.size(named) > 0, F.concat(F.lit("Detected: "), F.array_join(named, ", "), F.lit("."))).otherwise("No suspicious phrases detected."), also)
+
+
 def highlights(matched: DataFrame, key: list[str]) -> DataFrame:
     """key, start, end of the merged spans of all matches of a text: gaps and islands."""
     each = matched.select(*key, F.inline("matches"))

@@ -393,6 +393,20 @@ def msg_lang_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.scores(matched.select("message_id", "matches"), ["message_id"])
 
 
+_LANG_ORDER = "CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(fixed.LANGUAGE_LABELS)) + " END"
+_LANG_LABEL = "CASE category " + " ".join(f"WHEN '{c}' THEN '{label.lower()}'" for c, label in fixed.LANGUAGE_LABELS.items()) + " END"
+
+
+@query("msg_lang_totals", ctes("bodies") + f""", c AS ({_LANG_ROWS}),
+s AS (SELECT *, CAST(floor(least(strong * CAST({_LANG_WEIGHT} AS DOUBLE) * 10, 100) + 0.5) AS BIGINT) AS score FROM c)
+SELECT message_id, CAST(least(sum(score), 100) AS BIGINT) AS total, CASE WHEN sum(strong) = 0 THEN 'No suspicious phrases detected.' ELSE concat('Detected: ',
+  string_agg(CASE WHEN strong > 0 THEN concat(strong, ' ', {_LANG_LABEL}, ' phrase', CASE WHEN strong > 1 THEN 's' ELSE '' END) END, ', ' ORDER BY {_LANG_ORDER}), '.') END AS summary
+FROM s GROUP BY message_id""")
+def msg_lang_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = language.match(mail.relation(spark, sf_dir, "bodies"), "text", language.default_dictionary(spark), [])
+    return matched.select("message_id", language.total(language.summary(F.col("matches"))).alias("total"), language.sentence(F.col("matches")).alias("summary"))
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """message_id, auth, iocs, language, score, tier, attack_types of the message corpus.
 
