@@ -209,3 +209,40 @@ def test_summary_of_origin_and_files(spark):
     ).first()
     assert (row["origin"], row["eml"], row["pdf"]) == ("203.0.113.5", True, False)
     assert row["hash"].endswith("/file/ab12") and row["name"].endswith("/search/a%20b.pdf")
+
+
+def test_bundles_and_events(spark):
+    import json
+    import uuid
+
+    found = spark.createDataFrame(
+        [
+            (1, "email", "a@b.test", 0, "From", []), (1, "ip", "10.0.0.1", 1, "Received", []), (1, "ip", "203.0.114.7", 2, "Received", []),
+            (1, "url", "http://b.test/x'y", 3, "body", [("punycode", "high")]), (1, "domain", "b.test", 4, "body", None),
+        ],
+        "message_id long, kind string, value string, ord long, source string, risks array<struct<type:string,level:string>>",
+    )
+    verdicts = spark.createDataFrame(
+        [(1, 'Pay "now"', ("Ann", "A@b.test"), 70, "High Risk", ["dmarc-fail"], ["Sender spoofing"]), (2, None, (None, None), 5, "Low Risk", [], [])],
+        "message_id long, subject string, sender struct<name:string,email:string>, score long, tier string, reasons array<string>, attack_types array<string>",
+    )
+    at = "2024-01-01T00:00:00.000Z"
+    bundles = {r["message_id"]: json.loads(r["bundle"]) for r in export.stix_bundles(found, verdicts, at).collect()}
+    objects = bundles[1]["objects"]
+    assert [o["type"] for o in objects] == ["identity", "email-addr", "indicator", "ipv4-addr", "indicator", "url", "indicator", "domain-name", "indicator", "email-message", "report"]
+    ids = [o["id"] for o in objects]
+    assert len(set(ids)) == len(ids) and set(objects[-1]["object_refs"]) == set(ids[1:-1])
+    assert objects[1]["id"] == "email-addr--" + str(uuid.uuid5(export.STIX_SPACE, '{"value":"a@b.test"}')) == objects[-2]["from_ref"]
+    assert objects[6]["pattern"] == "[url:value = 'http://b.test/x\\'y']" and objects[6]["indicator_types"] == ["malicious-activity"]
+    assert objects[6]["description"] == "Seen in: body. Flags: punycode" and objects[8]["indicator_types"] == ["unknown"]
+    assert objects[-1]["description"] == "Verdict: High Risk (70/100). dmarc-fail" and objects[-1]["labels"] == ["phishing", "Sender spoofing"]
+    assert [o["type"] for o in bundles[2]["objects"]] == ["identity", "email-message", "report"]
+    assert bundles[2]["objects"][-1]["name"] == "Phishing analysis: (no subject)"
+    events = {r["message_id"]: json.loads(r["event"])["Event"] for r in export.misp_events(found, verdicts, "2024-01-01").collect()}
+    got = [(a["type"], a["value"], a["to_ids"], a["comment"]) for a in events[1]["Attribute"]]
+    assert got == [
+        ("email-subject", 'Pay "now"', False, "Subject"), ("email-src-display-name", "Ann", False, "From display name"), ("email-src", "a@b.test", False, "From"),
+        ("url", "http://b.test/x'y", True, "body; punycode"), ("domain", "b.test", False, "body"), ("ip-src", "203.0.114.7", False, "Received"),
+    ]
+    assert events[1]["threat_level_id"] == "1" and [t["name"] for t in events[1]["Tag"]] == ["phishing", 'vellum:verdict="High Risk"', 'vellum:attack-type="Sender spoofing"']
+    assert events[2]["Attribute"] == [] and events[2]["info"] == "Phishing: (no subject)" and events[2]["published"] is False

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import ips, text
+
 #: Columns of the indicator table, in order.
 CSV_COLUMNS = ["type", "value", "source", "risk", "risk_level", "unwrapped_from", "sha256", "reputation"]
 BOM, END = "﻿", "\r\n"
@@ -83,6 +85,112 @@ def misp(iocs: DataFrame) -> DataFrame:
     return iocs.select(F.to_json(F.struct(kind.alias("type"), group.alias("category"), F.col("value"), F.lit(True).alias("to_ids"))).alias("attribute"))
 
 
+#: What a verdict's tier is called as a threat level; 4 is undefined.
+THREAT_LEVELS = {"High Risk": "1", "Suspicious": "2", "Low Risk": "3"}
+#: The type of a MISP attribute for an address by where it stands.
+ADDRESS_TYPES = {"From": "email-src", "Reply-To": "email-reply-to", "Return-Path": "email-src"}
+
+
+def public(found: DataFrame) -> DataFrame:
+    """Indicators that mean something outside one network: private addresses go. Null risks are none."""
+    risks = F.filter("risks", lambda r: r.isNotNull())
+    return found.withColumn("risks", F.coalesce(risks, F.slice(F.array(F.struct(F.lit("").alias("type"), F.lit("").alias("level"))), 1, 0))).where((F.col("kind") != "ip") | F.coalesce(ips.is_routable(F.col("value")), F.lit(False)))
+
+
+def flags(risks: Column) -> Column:
+    return F.transform(risks, lambda r: r["type"])
+
+
+def is_high(risks: Column) -> Column:
+    return F.exists(risks, lambda r: r["level"] == "high")
+
+
+def observable_type(kind: Column, value: Column) -> Column:
+    return (
+        F.when(kind == "url", "url").when(kind == "domain", "domain-name").when(kind == "email", "email-addr")
+        .when((kind == "ip") & value.contains(":"), "ipv6-addr").when(kind == "ip", "ipv4-addr")
+    )
+
+
+def stix_bundles(found: DataFrame, verdicts: DataFrame, created: str, author: str = "vellum") -> DataFrame:
+    """message_id, bundle: a STIX 2.1 bundle (JSON) per verdict, of its author, observables, indicators, message and report.
+
+    found: message_id, kind, value, ord, source, risks; verdicts: message_id, subject, sender, score, tier, reasons, attack_types.
+    All ids are of version 5, so that an export repeated gives the same objects. A message's indicators are one row, no more.
+    """
+    named = lambda kind, name: F.concat(F.lit(f"{kind}--"), uuid5(name))
+    maker = named("identity", F.lit(author))
+    version = F.lit("2.1").alias("spec_version")
+    identity = F.to_json(F.struct(F.lit("identity").alias("type"), version, maker.alias("id"), F.lit(created).alias("created"), F.lit(created).alias("modified"), F.lit(author).alias("name"), F.lit("system").alias("identity_class")))
+    kind, value = F.col("kind"), F.col("value")
+    shown = F.when(kind == "url", text.defang_url(value)).otherwise(F.replace(value, F.lit("."), F.lit("[.]")))
+    label = F.when(kind == "url", "URL ").when(kind == "domain", "Domain ").when(kind == "ip", "IP ").otherwise("Email ")
+    typed = public(found).withColumns({"_type": observable_type(kind, value), "_pattern": pattern(kind, value)}).where("_type IS NOT NULL").withColumns({
+        "_sco": F.concat("_type", F.lit("--"), uuid5(F.to_json(F.struct("value")))),
+        "_ind": named("indicator", F.concat_ws("|", F.col("message_id").cast("string"), "_pattern")),
+        "_about": F.concat_ws(". ", F.concat(F.lit("Seen in: "), F.nullif("source", F.lit(""))), F.when(F.size("risks") > 0, F.concat(F.lit("Flags: "), F.array_join(flags(F.col("risks")), "; ")))),
+    })
+    observable = F.to_json(F.struct(F.col("_type").alias("type"), version, F.col("_sco").alias("id"), "value"))
+    indicator = F.to_json(F.struct(
+        F.lit("indicator").alias("type"), version, F.col("_ind").alias("id"), maker.alias("created_by_ref"), F.lit(created).alias("created"), F.lit(created).alias("modified"),
+        F.concat(label, shown).alias("name"), F.nullif("_about", F.lit("")).alias("description"),
+        F.array(F.when(is_high(F.col("risks")), "malicious-activity").otherwise("unknown")).alias("indicator_types"), F.col("_pattern").alias("pattern"),
+        F.lit("stix").alias("pattern_type"), F.lit(created).alias("valid_from"), F.array(F.lit("phishing")).alias("labels"),
+    ))
+    by = typed.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "value", F.col("_sco").alias("sco"), F.col("_ind").alias("ind"), observable.alias("o"), indicator.alias("i")))).alias("_items"))
+    none = F.expr("filter(array(struct(0L AS ord, '' AS kind, '' AS value, '' AS sco, '' AS ind, '' AS o, '' AS i)), x -> false)")
+    every = verdicts.join(by, "message_id", "left").withColumn("_items", F.coalesce("_items", none))
+    sender = F.get(F.filter("_items", lambda x: (x["kind"] == "email") & (F.lower(x["value"]) == F.lower("sender.email"))), F.lit(0))["sco"]
+    about = every.withColumn("_from", sender)
+    key = F.to_json(F.struct(F.col("_from").alias("from_ref"), "subject"))
+    about = about.withColumn("_mail", named("email-message", key))
+    message = F.to_json(F.struct(F.lit("email-message").alias("type"), version, F.col("_mail").alias("id"), F.lit(False).alias("is_multipart"), F.col("_from").alias("from_ref"), "subject"))
+    subject = F.coalesce(F.nullif("subject", F.lit("")), F.lit("(no subject)"))
+    refs = F.array_distinct(F.concat(F.array("_mail"), F.flatten(F.transform("_items", lambda x: F.array(x["sco"], x["ind"])))))
+    report = F.to_json(F.struct(
+        F.lit("report").alias("type"), version, named("report", F.concat_ws("|", F.col("message_id").cast("string"), F.lit(created))).alias("id"), maker.alias("created_by_ref"),
+        F.lit(created).alias("created"), F.lit(created).alias("modified"), F.concat(F.lit("Phishing analysis: "), subject).alias("name"),
+        F.concat_ws(" ", F.concat(F.lit("Verdict: "), "tier", F.lit(" ("), F.col("score").cast("string"), F.lit("/100).")), F.slice("reasons", 1, 5)).alias("description"),
+        F.array(F.lit("threat-report")).alias("report_types"), F.concat(F.array(F.lit("phishing")), "attack_types").alias("labels"), F.lit(created).alias("published"),
+        refs.alias("object_refs"),
+    ))
+    objects = F.concat(F.array(identity), F.array_distinct(F.flatten(F.transform("_items", lambda x: F.array(x["o"], x["i"])))), F.array(message, report))
+    body = F.concat(F.lit('{"type":"bundle","id":"'), named("bundle", F.col("message_id").cast("string")), F.lit('","objects":['), F.array_join(objects, ","), F.lit("]}"))
+    return about.select("message_id", body.alias("bundle"))
+
+
+def misp_events(found: DataFrame, verdicts: DataFrame, date: str, author: str = "vellum") -> DataFrame:
+    """message_id, event: a MISP event (JSON) per verdict, unpublished and for the own organisation, with its attributes in order.
+
+    found and verdicts are as in stix_bundles. Private addresses are left out; an attribute is for detection where its risks are high.
+    """
+    uid = lambda *parts: uuid5(F.concat_ws("|", F.col("message_id").cast("string"), *parts))
+    of = lambda kind, group, value, high, comment: F.struct(uid(F.lit(kind) if isinstance(kind, str) else kind, value).alias("uuid"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), group.alias("category"), value.alias("value"), high.alias("to_ids"), comment.alias("comment"))
+    kind = F.when(F.col("kind") == "ip", "ip-src").when(F.col("kind") != "email", F.col("kind"))
+    for place, name in ADDRESS_TYPES.items():
+        kind = kind.when((F.col("kind") == "email") & (F.col("source") == place), name)
+    group = F.when(F.col("kind") == "email", "Payload delivery").otherwise("Network activity")
+    each = of(kind.otherwise("email"), group, F.col("value"), is_high(F.col("risks")), F.array_join(F.concat(F.array(F.coalesce("source", F.lit(""))), flags(F.col("risks"))), "; "))
+    order = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "url", 1).when(F.col("kind") == "domain", 2).otherwise(3)
+    by = public(found).where(F.col("kind").isin("email", "url", "domain", "ip")).groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "ord", each.alias("a")))).alias("_items"))
+    head = [("email-subject", F.col("subject"), "Subject"), ("email-src-display-name", F.col("sender.name"), "From display name")]
+    first = F.array_compact(F.array(*[F.when(v != "", of(t, F.lit("Payload delivery"), v, F.lit(False), F.lit(c))) for t, v, c in head]))
+    attributes = F.when(F.col("_items").isNull(), first).otherwise(F.concat(first, F.transform("_items", lambda x: x["a"])))
+    level = F.lit("4")
+    for tier, n in THREAT_LEVELS.items():
+        level = F.when(F.col("tier") == tier, n).otherwise(level)
+    tag = lambda c: F.struct(c.alias("name"))
+    tags = F.concat(
+        F.array(tag(F.lit("phishing")), tag(F.concat(F.lit(f'{author}:verdict="'), "tier", F.lit('"')))),
+        F.transform("attack_types", lambda t: tag(F.concat(F.lit(f'{author}:attack-type="'), t, F.lit('"')))),
+    )
+    event = F.struct(
+        uid().alias("uuid"), F.concat(F.lit("Phishing: "), F.coalesce(F.nullif("subject", F.lit("")), F.lit("(no subject)"))).alias("info"), F.lit(date).alias("date"), level.alias("threat_level_id"),
+        F.lit("2").alias("analysis"), F.lit("0").alias("distribution"), F.lit(False).alias("published"), tags.alias("Tag"), attributes.alias("Attribute"),
+    )
+    return verdicts.join(by, "message_id", "left").select("message_id", F.to_json(F.struct(event.alias("Event"))).alias("event"))
+
+
 def file_slug(subject: Column, date: Column, ending: str) -> Column:
     """phishing-report_2024-01-15_account-suspended.html"""
     slug = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce(subject, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-")), 1, 40)
