@@ -246,3 +246,10 @@ def test_bundles_and_events(spark):
     ]
     assert events[1]["threat_level_id"] == "1" and [t["name"] for t in events[1]["Tag"]] == ["phishing", 'vellum:verdict="High Risk"', 'vellum:attack-type="Sender spoofing"']
     assert events[2]["Attribute"] == [] and events[2]["info"] == "Phishing: (no subject)" and events[2]["published"] is False
+
+
+def test_csv_reports(spark):
+    rows = spark.createDataFrame([(1, 2, "url", "=x,y"), (1, 1, "ip", "10.0.0.1"), (2, 1, "email", None)], "id long, ord long, type string, value string")
+    got = {r["id"]: r["csv"] for r in export.csv_reports(rows, ["id"], ["type", "value", "source"]).collect()}
+    head = export.BOM + "type,value,source" + export.END
+    assert got == {1: head + "ip,10.0.0.1," + export.END + "url,\"'=x,y\",", 2: head + "email,,"}

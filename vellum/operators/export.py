@@ -38,6 +38,13 @@ def csv_text(lines: list[str], columns: list[str] = CSV_COLUMNS) -> str:
     return BOM + END.join([",".join(columns), *lines]) + END
 
 
+def csv_reports(iocs: DataFrame, key: list[str], columns: list[str] = CSV_COLUMNS) -> DataFrame:
+    """key, csv: a message's whole report as a file's text, in the order of ord: byte-order mark, header, a line per indicator."""
+    line = csv_line([F.col(c) if c in iocs.columns else F.lit(None) for c in columns])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"])
+    return iocs.groupBy(*key).agg(F.concat(F.lit(BOM), F.array_join(F.concat(F.array(F.lit(",".join(columns))), lines), END)).alias("csv"))
+
+
 def json_report(verdicts: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return verdicts.select(F.to_json(F.struct(*(columns or verdicts.columns))).alias("json"))
 

@@ -617,6 +617,51 @@ def msg_misp_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("value", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TIERS = list(export.THREAT_LEVELS)
+_TIER_SQL = f"CASE message_id % 3 WHEN 0 THEN '{_TIERS[0]}' WHEN 1 THEN '{_TIERS[1]}' ELSE '{_TIERS[2]}' END"
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """URLs and sender addresses of the message corpus as indicators, and a verdict for every message."""
+    u = mail.relation(spark, sf_dir, "urls").select("message_id", F.lit("url").alias("kind"), "value", "ord", F.lit("body").alias("source"), iocs.url_risks(F.col("value"), F.lit(False), F.lit("body")).alias("risks"))
+    m = mail.relation(spark, sf_dir, "messages")
+    address = F.concat("local_part", F.lit("@"), "from_domain")
+    sent = m.select("message_id", F.lit("email").alias("kind"), address.alias("value"), F.lit(-1).cast("long").alias("ord"), F.lit("From").alias("source"), iocs.email_risks(address).alias("risks"))
+    verdict = m.select(
+        "message_id", "subject", F.struct(F.col("display_name").alias("name"), address.alias("email")).alias("sender"), (F.col("message_id") % 100).alias("score"), F.expr(_TIER_SQL).alias("tier"),
+        F.array(F.concat(F.lit("spf-"), F.coalesce("spf", F.lit("unknown")))).alias("reasons"), F.array(F.lit("Sender spoofing")).alias("attack_types"),
+    )
+    return u.unionByName(sent), verdict
+
+
+@query("msg_stix_bundles", ctes("messages", "urls") + f""", u AS (SELECT message_id, count(DISTINCT value) AS n FROM urls GROUP BY ALL)
+SELECT m.message_id, concat('Phishing analysis: ', subject) AS name, concat('Verdict: ', {_TIER_SQL.replace('message_id', 'm.message_id')}, ' (', m.message_id % 100, '/100). spf-', coalesce(spf, 'unknown')) AS description,
+  concat('[email-addr:value = ''', local_part, '@', from_domain, ''']') AS first_pattern, CAST(5 + 2 * (coalesce(n, 0)) AS BIGINT) AS objects, CAST(3 + 2 * coalesce(n, 0) AS BIGINT) AS refs
+FROM messages m LEFT JOIN u ON m.message_id = u.message_id""")
+def msg_stix_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, verdict = _exported(spark, sf_dir)
+    parsed = export.stix_bundles(found, verdict, "2024-01-01T00:00:00.000Z").select(
+        "message_id", F.from_json("bundle", "objects array<struct<type:string,id:string,name:string,description:string,pattern:string,object_refs:array<string>>>")["objects"].alias("o")
+    )
+    report = F.try_element_at("o", F.lit(-1))
+    return parsed.select(
+        "message_id", report["name"].alias("name"), report["description"].alias("description"), F.get("o", F.lit(2))["pattern"].alias("first_pattern"),
+        F.size("o").cast("long").alias("objects"), F.size(report["object_refs"]).cast("long").alias("refs"),
+    )
+
+
+@query("msg_misp_events", ctes("messages", "urls") + """, u AS (SELECT message_id, count(*) AS n, count(*) FILTER (WHERE contains(value, '://xn--')) AS puny FROM urls GROUP BY ALL)
+SELECT m.message_id, concat('Phishing: ', subject) AS info, CAST(m.message_id % 3 + 1 AS VARCHAR) AS level, CAST(2 + CASE WHEN display_name IS NULL THEN 0 ELSE 1 END + coalesce(n, 0) AS BIGINT) AS attributes,
+  CAST(coalesce(puny, 0) AS BIGINT) AS punycode FROM messages m LEFT JOIN u ON m.message_id = u.message_id""")
+def msg_misp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, verdict = _exported(spark, sf_dir)
+    parsed = export.misp_events(found, verdict, "2024-01-01").select(
+        "message_id", F.from_json("event", "Event struct<info:string,threat_level_id:string,Attribute:array<struct<type:string,value:string,to_ids:boolean,comment:string>>>")["Event"].alias("e")
+    )
+    punycode = F.filter("e.Attribute", lambda a: (a["type"] == "url") & a["to_ids"] & a["comment"].contains("punycode"))
+    return parsed.select("message_id", F.col("e.info").alias("info"), F.col("e.threat_level_id").alias("level"), F.size("e.Attribute").cast("long").alias("attributes"), F.size(punycode).cast("long").alias("punycode"))
+
+
 _PHRASES = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(lower(text), '\\b(?:{'|'.join(sorted(ps, key=len, reverse=True))})s?\\b')) AS phrase FROM bodies" for ps in language.PHRASES.values())
 
 
