@@ -253,3 +253,31 @@ def test_csv_reports(spark):
     got = {r["id"]: r["csv"] for r in export.csv_reports(rows, ["id"], ["type", "value", "source"]).collect()}
     head = export.BOM + "type,value,source" + export.END
     assert got == {1: head + "ip,10.0.0.1," + export.END + "url,\"'=x,y\",", 2: head + "email,,"}
+
+
+def test_described_files(spark):
+    import math
+
+    png = bytes.fromhex("89504E470D0A1A0A") + b"see http://a.test/x1 and http://a.test/x1 or bob@b.test \x00 at 10.1.2.3 short"
+    rows = spark.createDataFrame(
+        [(1, "a.png", png), (2, "a.exe", png), (3, "noending", png), (4, "t.txt", b"hello world"), (5, None, None), (6, "r.bin", bytes(range(256)) * 4)],
+        "id long, filename string, bytes binary",
+    )
+    got = {r["id"]: r["details"] for r in content.described(rows).collect()}
+    assert [got[i]["name_agrees"] for i in (1, 2, 3, 4)] == [True, False, False, None]
+    assert got[1]["detected"] == "PNG image" and got[1]["urls"] == ["http://a.test/x1"] and got[1]["emails"] == ["bob@b.test"] and got[1]["ips"] == ["10.1.2.3"]
+    assert got[1]["n_strings"] == 2 and got[1]["head_hex"].startswith("89504E47") and len(got[1]["head_hex"]) == 128 and got[1]["head_text"].startswith(".PNG....see")
+    assert (got[5]["size"], got[5]["entropy"], got[5]["entropy_note"], got[5]["head_hex"], got[5]["urls"]) == (0, 0.0, "low", "", [])
+    assert math.isclose(got[6]["entropy"], 8.0) and got[6]["entropy_note"] == "very high"
+
+
+def test_names_of_unnamed_parts():
+    from vellum.sources import mail
+
+    def names(*heads):
+        return [p[4] for h in heads for p in mail.parse(f"{h}\r\n\r\nx\r\n".encode())[1]]
+
+    assert names(
+        "Content-Type: image/png\r\nContent-ID: <pic@1>", "Content-Type: text/calendar\r\nContent-Disposition: attachment",
+        "Content-Type: application/vnd.ms-excel", "Content-Type: application/pdf; name=a.pdf", "Content-Type: text/plain",
+    ) == ["inline-pic@1", "invite.ics", "unnamed-part.vndmsexcel", "a.pdf", None]

@@ -172,11 +172,49 @@ def pe_info(raw: bytes) -> dict | None:
 
 
 def strings(raw: bytes, least: int = 6, most: int = 4 << 20) -> list[str]:
-    """Printable ASCII and UTF-16 runs."""
-    part = raw[:most]
-    narrow = [m.decode("ascii") for m in re.findall(rb"[\x20-\x7e]{%d,}" % least, part)]
-    wide = [m.decode("utf-16-le") for m in re.findall(rb"(?:[\x20-\x7e]\x00){%d,}" % least, part)]
-    return narrow + wide
+    """Printable ASCII runs."""
+    return [m.decode("ascii") for m in re.findall(rb"[\x20-\x7e]{%d,}" % least, raw[:most])]
+
+
+#: Addresses in the strings of a file, and what its entropy says.
+FILE_URL = re.compile(r"\bhttps?://[^\s\"'<>()\\]{4,}", re.A | re.I)
+FILE_EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", re.A)
+FILE_IP = re.compile(r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", re.A)
+ENTROPY_NOTES = [(7.5, "very high"), (6.0, "high"), (3.5, "typical of text")]
+DETAILS = "struct<entropy:double,n_strings:long,urls:array<string>,emails:array<string>,ips:array<string>>"
+HEAD_BYTES = 64
+
+
+def described(files: DataFrame, name: str = "filename", content: str = "bytes", most_urls: int = 15, most_others: int = 10) -> DataFrame:
+    """files with details: what a file is by its bytes, whether its name agrees (null where nothing is known), how random it is, its first bytes
+    as hexadecimal and as text, and the first addresses in its strings. A null content is an empty file."""
+    firsts = lambda pattern, text, most: list(dict.fromkeys(m[0] for m in pattern.finditer(text)))[:most]
+
+    def one(raw: bytes | None) -> dict:
+        found = strings(bytes(raw or b""))
+        text = "\n".join(found)
+        return {
+            "entropy": byte_entropy(bytes(raw or b"")), "n_strings": len(found), "urls": firsts(FILE_URL, text, most_urls),
+            "emails": firsts(FILE_EMAIL, text, most_others), "ips": firsts(FILE_IP, text, most_others),
+        }
+
+    @F.pandas_udf(DETAILS)
+    def read(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(v) for v in values], columns=["entropy", "n_strings", "urls", "emails", "ips"])
+
+    raw = F.coalesce(F.col(content), F.lit(b""))
+    kind, ending = sniff(raw), ending_of(F.coalesce(F.col(name), F.lit("")))
+    agrees = F.when(kind.isNull(), F.lit(None).cast("boolean")).otherwise((ending != "") & F.array_contains(kind["endings"], ending))
+    head = F.substring(raw, 1, HEAD_BYTES)
+    with_details = files.withColumn("_details", read(raw))
+    level = F.lit("low")
+    for least, note in reversed(ENTROPY_NOTES):
+        level = F.when(F.col("_details.entropy") >= least, note).otherwise(level)
+    shown = F.regexp_replace(F.decode(head, "ISO-8859-1"), r"[^\x20-\x7e]", ".")
+    return with_details.withColumn("details", F.struct(
+        F.length(raw).cast("long").alias("size"), kind["label"].alias("detected"), agrees.alias("name_agrees"), "_details.*", level.alias("entropy_note"),
+        F.hex(head).alias("head_hex"), shown.alias("head_text"),
+    )).drop("_details")
 
 
 def rtf_risks(raw: bytes) -> list[tuple[str, str]]:

@@ -63,6 +63,16 @@ def file_name(part: Message) -> str | None:
     return words_decoded(str(value)) if value else None
 
 
+def inferred_name(mime: str, cid: str | None) -> str:
+    """A name for a file that has none, by its Content-ID or type."""
+    if cid:
+        return f"inline-{cid}"
+    if mime == "message/rfc822":
+        return "message.eml"
+    ending = re.sub(r"[^A-Za-z0-9]", "", mime.partition("/")[2] or "bin")
+    return "invite.ics" if mime == "text/calendar" else f"unnamed-part.{ending}"
+
+
 def parts_of(message: Message, path: tuple[int, ...] = ()) -> Iterator[tuple]:
     """The leaves of a MIME tree in order, each with its path; attached messages are files."""
     inner = message.get_payload()
@@ -77,12 +87,12 @@ def parts_of(message: Message, path: tuple[int, ...] = ()) -> Iterator[tuple]:
         raw = message.get_payload(decode=True) or b""
     shown = (message.get_content_disposition() or "").lower() or None
     name = file_name(message)
+    cid = str(message.get("content-id") or "").strip("<> \t\r\n") or None
     is_file = shown == "attachment" or mime == "message/rfc822" or (bool(name) and shown != "inline" and not mime.startswith("text/")) or not mime.startswith(("text/", "multipart/"))
     if is_file and not name:
-        name = f"{'message.eml' if mime == 'message/rfc822' else 'attachment'}"
-    cid = message.get("content-id")
+        name = inferred_name(mime, cid)
     charset = message.get_content_charset()
-    yield (list(path), mime, charset, shown, name, cid.strip("<> \t\r\n") if cid else None, is_file, len(raw), None if is_file else text_of(raw, charset), raw if is_file else None)
+    yield (list(path), mime, charset, shown, name, cid, is_file, len(raw), None if is_file else text_of(raw, charset), raw if is_file else None)
 
 
 def parse(raw: bytes) -> tuple[list[tuple], list[tuple]]:
