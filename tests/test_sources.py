@@ -1,4 +1,6 @@
 import base64
+import email
+import email.policy
 import gzip
 import io
 import lzma
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import containers, content, language, thread
 from vellum.plans import analysis
+from vellum.plans import messages as corpus
 from vellum.sources import archives, mail, sevenzip
 
 GOOD = b"""Received: from mail.contoso.com (mail.contoso.com [198.51.100.9]) by mx.example.org; Mon, 15 Jan 2024 10:00:05 +0000
@@ -250,3 +253,47 @@ def test_wording_sentence(spark):
         1: ("Detected: 1 urgency / pressure phrase, 2 bec / payment fraud phrases." + also.format(1, ""), 38),
         2: ("No suspicious phrases detected." + also.format(2, "s"), 0), 3: ("No suspicious phrases detected.", 0),
     }
+
+
+def same_as_email(raw):
+    general = email.message_from_bytes(raw, policy=email.policy.compat32)
+    return mail.parse(raw) == (mail.headers_of(general), list(mail.parts_of(general)))
+
+
+def test_regular_messages_are_read_the_short_way():
+    nested = BAD.replace(b"\n", b"\r\n").replace(b"text/html; charset=utf-8\r\n\r\n", b"multipart/alternative;\r\n\tboundary=\"c d\"\r\n\r\n--c d\r\nContent-Type: text/plain\r\n\r\nhi\r\n\r\n--c d \r\nContent-Type: text/html\r\n\r\n").replace(b"</p>\r\n", b"</p>\r\n--c d--\r\n")
+    for raw in (GOOD, BAD, nested):
+        assert mail.regular(raw) and same_as_email(raw)
+    assert [p[0] for p in mail.parse(nested)[1]] == [[0, 0], [0, 1], [1]]
+    for raw in (b"", b"x", b"Subject: a", BAD.replace(b"--b--", b""), BAD.replace(b"Subject", b"S\xc3\xbcbject"), BAD.replace(b"text/html", b"message/rfc822"), b"From x\n" + GOOD, GOOD.replace(b"\n", b"\r")):
+        with pytest.raises(mail.Irregular):
+            mail.regular(raw)
+        assert same_as_email(raw)
+    rng = random.Random(3)
+    for seed in (GOOD, BAD, nested):
+        for _ in range(300):
+            at = rng.randrange(len(seed))
+            assert same_as_email(seed[:at] + rng.choice([b"\r\n", b"\n", b"\r", b"--b", b"--b--\n", b" ", b"\t", b":", b"\xff", b";", b"\n\n", b""]) + seed[at + rng.randrange(6) :])
+
+
+def test_indicators_read_messages_once(spark):
+    """One parse of a message, one shuffle, and the work dealt to as many tasks as the messages need."""
+    wrapped = b"https://nam02.safelinks.protection.outlook.com/?url=https%3A%2F%2Fevil.example%2Fa&data=1"
+    plain = GOOD.replace(b"See you at noon.", b"See " + wrapped + b" and https://evil.example/a and http://x.test/b or mail bob@x.test")
+    m = mail.read_messages(frame(spark, plain, BAD, b"\0bin"))
+    found = analysis.indicators(m, mail.core(m, "parts"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r["message_id"][1], r["kind"], r["value"]): (r["source"], r["times"], [x["type"] for x in r["risks"]]) for r in found.collect()}
+    assert got["0", "url", "https://evil.example/a"] == ("body", 1, [])
+    assert got["0", "domain", "evil.example"] == ("body", 1, [])
+    assert got["0", "domain", "contoso.com"][:2] == ("From", 2) and got["0", "domain", "x.test"][:2] == ("body", 1)
+    assert got["1", "url", "http://203.0.113.9/login"] == ("body", 2, ["ip-url", "mismatch"]) and ("1", "domain", "203.0.113.9") not in got
+    assert got["1", "ip", "203.0.113.7"][:2] == ("Received", 1) and not [k for k in got if k[0] == "2"]
+    apart = {(r["message_id"][1], r["kind"], r["value"]): (r["source"], r["times"], [x["type"] for x in r["risks"]]) for r in analysis.indicators(m, mail.core(m)).collect()}
+    assert apart == got
+
+
+def test_raw_messages_are_dealt_to_tasks(spark, tmp_path):
+    spark.range(20_000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert corpus.raw(spark, str(tmp_path)).rdd.getNumPartitions() == 3

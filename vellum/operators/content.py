@@ -109,18 +109,22 @@ def hashes(content: Column) -> Column:
     return F.struct(F.sha2(content, 256).alias("sha256"), F.md5(content).alias("md5"), F.sha1(content).alias("sha1"))
 
 
-def destinations(rows: DataFrame, key: list[str], page: str) -> DataFrame:
-    """key, url, use (most specific), exfil of every URL that a page loads or sends to."""
-    text = F.substring(F.col(page), 1, PAGE_CHARS)
+def used_in(page: Column) -> Column:
+    """array of struct(url, rank, use) of every URL that a page loads or sends to, each use by itself."""
+    text = F.substring(page, 1, PAGE_CHARS)
+    clean = lambda u: F.replace(F.trim(u), F.lit("&amp;"), F.lit("&"))
+    absolute = lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u)
 
     def used(rank: int, use: str, pattern: str) -> Column:
-        clean = lambda u: F.replace(F.trim(u), F.lit("&amp;"), F.lit("&"))
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda u: F.struct(clean(u).alias("url"), F.lit(rank).alias("rank"), F.lit(use).alias("use")))
+        urls = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), clean), lambda u: u.rlike(r"(?i)\A(?:(?:https?:)?//|wss?://)"))
+        return F.transform(urls, lambda u: F.struct(absolute(u).alias("url"), F.lit(rank).alias("rank"), F.lit(use).alias("use")))
+
+    return F.concat(*[used(k, use, pattern) for k, (use, pattern) in enumerate(USES)])
 
-    found = F.concat(*[used(k, use, pattern) for k, (use, pattern) in enumerate(USES)])
-    each = rows.select(*key, F.inline(found)).where(F.col("url").rlike(r"(?i)\A(?:(?:https?:)?//|wss?://)"))
-    named = each.withColumn("url", F.when(F.col("url").startswith("//"), F.concat(F.lit("https:"), F.col("url"))).otherwise(F.col("url")))
-    best = named.groupBy(*key, "url").agg(F.min_by("use", "rank").alias("use"))
+
+def destinations(rows: DataFrame, key: list[str], page: str) -> DataFrame:
+    """key, url, use (most specific), exfil of every URL that a page loads or sends to."""
+    best = rows.select(*key, F.inline(used_in(F.col(page)))).groupBy(*key, "url").agg(F.min_by("use", "rank").alias("use"))
     return best.withColumn("exfil", exfil_service(F.col("url"), F.col("use").isin(SENDING)))
 
 

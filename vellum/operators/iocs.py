@@ -40,9 +40,8 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
-def html_links(rows: DataFrame, key: list[str], html: str) -> DataFrame:
-    """key, ord, href, text, is_resource of every anchor and remote resource, anchors first."""
-    h = F.col(html)
+def links_in(h: Column) -> Column:
+    """array of struct(href, text, is_resource) of every anchor and remote resource of a page, anchors first."""
     anchors = F.transform(
         F.arrays_zip(F.regexp_extract_all(h, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(h, F.lit(ANCHOR), F.lit(2)).alias("text")),
         lambda a: F.struct(decode_entities(F.trim(a["href"])).alias("href"), text.strip_html(a["text"]).alias("text"), F.lit(False).alias("is_resource")),
@@ -51,9 +50,18 @@ def html_links(rows: DataFrame, key: list[str], html: str) -> DataFrame:
         F.regexp_extract_all(h, F.lit(RESOURCE), F.lit(1)),
         lambda u: F.struct(decode_entities(F.trim(u)).alias("href"), F.lit("").alias("text"), F.lit(True).alias("is_resource")),
     )
-    each = rows.select(*key, F.posexplode(F.concat(anchors, resources)).alias("ord", "link"))
-    shown = F.when((F.col("link.text") == "") & ~F.col("link.is_resource"), F.col("link.href")).otherwise(F.col("link.text"))
-    return each.select(*key, F.col("ord").cast("long").alias("ord"), F.col("link.href").alias("href"), shown.alias("text"), F.col("link.is_resource").alias("is_resource"))
+    return F.concat(anchors, resources)
+
+
+def shown_text(link: Column) -> Column:
+    """What a link shows: its text, or where an anchor has none its destination."""
+    return F.when((link["text"] == "") & ~link["is_resource"], link["href"]).otherwise(link["text"])
+
+
+def html_links(rows: DataFrame, key: list[str], html: str) -> DataFrame:
+    """key, ord, href, text, is_resource of every anchor and remote resource, anchors first."""
+    each = rows.select(*key, F.posexplode(links_in(F.col(html))).alias("ord", "link"))
+    return each.select(*key, F.col("ord").cast("long").alias("ord"), F.col("link.href").alias("href"), shown_text(F.col("link")).alias("text"), F.col("link.is_resource").alias("is_resource"))
 
 
 def text_links(rows: DataFrame, key: list[str], column: str) -> DataFrame:
@@ -187,8 +195,13 @@ def unwrapped(urls: DataFrame, key: list[str], unwrap, value: str = "value") ->
     return urls.withColumn("unwrapped_from", F.lit(None).cast("string")).unionByName(fresh, allowMissingColumns=True)
 
 
+def domain_behind(kind: Column, value: Column) -> Column:
+    """The domain of a url or an address; null for IPs and names without a dot."""
+    host = F.when(kind == "url", domains.host_of(value)).when(kind == "email", domains.domain_of(value))
+    return F.get(F.transform(F.array(host), lambda h: F.when(h.contains(".") & ~ips.is_ip(h), h)), F.lit(0))
+
+
 def collect_domains(iocs: DataFrame, key: list[str]) -> DataFrame:
     """key, value, ord, source of the domains behind urls and addresses; IPs and names without a dot drop out."""
-    host = F.when(F.col("kind") == "url", domains.host_of(F.col("value"))).when(F.col("kind") == "email", domains.domain_of(F.col("value")))
-    named = iocs.select(*key, host.alias("value"), "ord", "source").where(F.col("value").contains(".") & ~ips.is_ip(F.col("value")))
+    named = iocs.select(*key, domain_behind(F.col("kind"), F.col("value")).alias("value"), "ord", "source").where("value IS NOT NULL")
     return first_wins(named, key)

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Layers that are opened, bytes that make a payload, and code points of a page that are read.
@@ -69,6 +69,21 @@ def layers(page: str, depth: int = 0) -> Iterator[tuple]:
             yield from layers(text, depth + 1)
 
 
+#: Pages without one of these carry nothing.
+CARRIES = r"(?i)base64,|atob\s*\(|unescape|decodeURI|[A-Za-z0-9+/]{800}"
+
+
+def hidden_pages(pages: Column) -> Column:
+    """The texts of the pages hidden in an array of pages; Python runs only where a page may carry one."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda ps: [x[3].decode("utf-8", "replace") for p in ps for x in layers(p) if x[2]] if ps is not None else None)
+
+    found = F.filter(pages, lambda p: p.rlike(CARRIES))
+    return F.when(F.size(found) > 0, run(F.when(F.size(found) > 0, found))).otherwise(F.array().cast("array<string>"))
+
+
 def hidden(rows: DataFrame, key: str, page: str) -> DataFrame:
     """LAYERS of each page; content holds what the caller hands to the file and HTML operators."""
 
@@ -79,7 +94,7 @@ def hidden(rows: DataFrame, key: str, page: str) -> DataFrame:
                 if got:
                     yield pd.DataFrame(got, columns=[c.strip().split(" ")[0] for c in LAYERS.split(",")])
 
-    wanted = rows.where(F.col(page).rlike(r"(?i)base64,|atob\s*\(|unescape|decodeURI|[A-Za-z0-9+/]{800}"))
+    wanted = rows.where(F.col(page).rlike(CARRIES))
     return wanted.select(F.col(key).cast("string").alias("page_key"), F.col(page).alias("html")).mapInPandas(run, LAYERS)
 
 

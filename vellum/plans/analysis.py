@@ -63,9 +63,12 @@ def authentication(messages: DataFrame, core: DataFrame) -> DataFrame:
     }).drop("_has_results", "_has_spf")
 
 
+def is_page(part: Column) -> Column:
+    return part["is_file"] & (F.lower(part["mime"]).contains("html") | content.ending_of(part["filename"]).isin("htm", "html", "shtml", "svg"))
+
+
 def page_destinations(good: DataFrame, core: DataFrame) -> DataFrame:
     """message_id, value, ord, is_mismatch, source, sending of every URL that an HTML body, an HTML file or a page hidden in one loads or sends to."""
-    is_page = lambda p: p["is_file"] & (F.lower(p["mime"]).contains("html") | content.ending_of(p["filename"]).isin("htm", "html", "shtml", "svg"))
     files = good.select("message_id", F.explode(F.transform(F.filter("parts", is_page), lambda p: F.decode(p["bytes"], "UTF-8"))).alias("page"))
     every = core.select("message_id", F.col("body_html").alias("page")).where("page <> ''").unionByName(files)
     hidden = pages.hidden(every, "message_id", "page").where("is_text").select(F.col("page_key").alias("message_id"), F.decode("content", "UTF-8").alias("page"))
@@ -78,7 +81,6 @@ def page_destinations(good: DataFrame, core: DataFrame) -> DataFrame:
 
 def hidden_risks(good: DataFrame, core: DataFrame) -> DataFrame:
     """message_id, page_risks: files and login forms that pages of a message carry encoded."""
-    is_page = lambda p: p["is_file"] & (F.lower(p["mime"]).contains("html") | content.ending_of(p["filename"]).isin("htm", "html", "shtml", "svg"))
     files = good.select("message_id", F.explode(F.transform(F.filter("parts", is_page), lambda p: F.decode(p["bytes"], "UTF-8"))).alias("page"))
     forms = files.where(content.has_password_form(F.col("page"))).select("message_id", iocs.risk("login-form", "high").alias("risk"))
     every = core.select("message_id", F.col("body_html").alias("page")).where("page <> ''").unionByName(files)
@@ -101,35 +103,87 @@ def links(core: DataFrame) -> DataFrame:
 
 #: Links stand behind what the headers name.
 AFTER_HEADERS = 1_000_000_000
+#: Where an indicator stands, in order; a place is a long of ord, way (below) and source, so that the first one is a minimum.
+SOURCES = ["From", "Reply-To", "Return-Path", "body", "X-Originating-IP", "Received", "Message-ID", "unwrapped", *[f"page: {use}" for use, _ in content.USES]]
+#: How a value came in: named, linked, behind a link, used by a page (by rank). Of the ways of one URL the first wins.
+NAMED, LINKED, UNWRAPPED, USED = 0, 1, 2, 3
+ORD_BITS, LOW_BITS = 40, 5
 
 
 def indicators(messages: DataFrame, core: DataFrame) -> DataFrame:
     """message_id, kind, value, ord, times, source, risks of every URL, address, IP and domain of a message, each once.
 
     The first place wins: X-Originating-IP before Received before the body. Domains are those of Message-ID, URLs and addresses.
+    A core that keeps parts is read once, and all that a message holds is found in its own row; the only shuffle deals what was found by message.
     """
+    wide = core if "parts" in core.columns else core.join(messages.select("message_id", "parts"), "message_id")
     none = F.array().cast("array<string>")
-    named = lambda kind, source, values: F.transform(F.coalesce(values, none), lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), v.alias("value")))
+    at = {s: i for i, s in enumerate(SOURCES)}
     relays = F.flatten(F.transform(mail.values_of("received"), ips.sending_ips))
     issuer = F.lower(F.regexp_extract("id_header", r"@([^>\s]+)", 1))
-    found = F.concat(
-        named("email", "From", F.array("sender.email")), named("email", "Reply-To", F.array("reply_to.email")), named("email", "Return-Path", F.array("return_path.email")),
-        named("email", "body", iocs.emails_in(F.col("read_text"))), named("ip", "X-Originating-IP", ips.ips_in(F.col("originating"))), named("ip", "Received", relays),
-        named("ip", "body", ips.ips_in(F.col("read_text"))), named("domain", "Message-ID", F.array(issuer)),
+    files = F.transform(F.filter("parts", is_page), lambda p: F.coalesce(F.decode(p["bytes"], "UTF-8"), F.lit("")))
+    facts = wide.select(
+        "message_id", F.col("sender.email").alias("_from"), F.col("reply_to.email").alias("_reply"), F.col("return_path.email").alias("_return"), iocs.emails_in(F.col("read_text")).alias("_emails"),
+        ips.ips_in(F.col("originating")).alias("_origin"), relays.alias("_relays"), ips.ips_in(F.col("read_text")).alias("_ips"), issuer.alias("_issuer"),
+        F.regexp_extract_all("body_text", F.lit(text.URL), F.lit(0)).alias("_plain"), iocs.links_in(F.col("body_html")).alias("_links"),
+        F.concat(F.when(F.col("body_html") != "", F.array("body_html")).otherwise(none), files).alias("_seen"),
+    )
+    opened = facts.withColumns({
+        "_plain_to": urls.each_decoded("unwrap", F.col("_plain")), "_links_to": urls.each_decoded("unwrap", F.transform("_links", lambda x: x["href"])),
+        "_pages": F.concat("_seen", pages.hidden_pages(F.col("_seen"))),
+    })
+
+    def item(kind: str, value: Column, ord_: Column, way: Column | int, source: Column, mismatch: Column | None = None) -> Column:
+        way = way if isinstance(way, Column) else F.lit(way)
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), ord_.cast("long").alias("ord"), way.cast("long").alias("way"), source.cast("long").alias("at"), (F.lit(False) if mismatch is None else mismatch).alias("is_mismatch"))
+
+    def named(kind: str, source: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, none), lambda v: item(kind, v, F.lit(0), NAMED, F.lit(at[source])))
+
+    listed = F.concat(
+        named("email", "From", F.array("_from")), named("email", "Reply-To", F.array("_reply")), named("email", "Return-Path", F.array("_return")),
+        named("email", "body", F.col("_emails")), named("ip", "X-Originating-IP", F.col("_origin")), named("ip", "Received", F.col("_relays")),
+        named("ip", "body", F.col("_ips")), named("domain", "Message-ID", F.array("_issuer")),
+    )
+    placed = F.transform(listed, lambda x, i: x.withField("ord", i.cast("long")))
+
+    def linked(values: Column, to: Column, first: int, mismatch) -> Column:
+        """Links and what is behind them; other schemes are no links."""
+        both = F.transform(values, lambda x, i: F.struct(x.alias("x"), F.get(to, i).alias("to"), (i + F.lit(AFTER_HEADERS + first)).alias("ord")))
+        href = lambda b: b["x"]["href"]
+        good = F.filter(both, lambda b: href(b).rlike(r"(?i)\A\s*(?:[a-z][a-z0-9+.\-]*://|javascript:|vbscript:|data:)"))
+        own = F.transform(good, lambda b: item("url", href(b), b["ord"], LINKED, F.lit(at["body"]), mismatch(b)))
+        return F.concat(own, F.transform(F.filter(good, lambda b: b["to"] != href(b)), lambda b: item("url", b["to"], b["ord"], UNWRAPPED, F.lit(at["unwrapped"]))))
+
+    deceptive = lambda b: iocs.is_deceptive(iocs.shown_text(b["x"]), F.coalesce(b["to"], b["x"]["href"]))
+    plain = linked(F.transform("_plain", lambda u: F.struct(u.alias("href"))), F.col("_plain_to"), 0, lambda b: F.lit(False))
+    anchors = linked(F.col("_links"), F.col("_links_to"), 1_000_000, deceptive)
+    used = F.flatten(F.transform("_pages", lambda p: F.transform(content.used_in(p), lambda u: item("url", u["url"], F.lit(AFTER_HEADERS + 3_000_000), u["rank"] + USED, u["rank"] + F.lit(at["unwrapped"] + 1)))))
+    every = opened.select("message_id", F.inline(F.concat(placed, plain, anchors, used))).where("value <> ''").repartition("message_id")
+
+    way = F.col("way")
+    key = ["message_id", "kind", "value"]
+    place = F.shiftleft(way, ORD_BITS + LOW_BITS) + F.shiftleft("ord", LOW_BITS) + F.col("at")
+    values = every.groupBy(*key).agg(
+        F.min(place).alias("place"), F.max("is_mismatch").alias("is_mismatch"),
+        (F.sum(F.when(way == NAMED, 1).otherwise(0)) + F.max(F.when(way.isin(LINKED, UNWRAPPED), 1).otherwise(0)) + F.max(F.when(way >= USED, 1).otherwise(0))).alias("times"),
+    )
+    # among values of one domain the order alone decides
+    low = (1 << LOW_BITS) - 1
+    ord_ = F.shiftright("place", LOW_BITS).bitwiseAND(F.lit((1 << ORD_BITS) - 1))
+    by_ord = F.shiftleft(ord_, 2 * LOW_BITS) + F.shiftleft(F.shiftright("place", ORD_BITS + LOW_BITS), LOW_BITS) + F.col("place").bitwiseAND(F.lit(low))
+    own = F.struct(F.col("kind"), F.col("value"), F.col("times"), F.lit(0).alias("derived"))
+    domain = F.struct(F.lit("domain").alias("kind"), iocs.domain_behind(F.col("kind"), F.col("value")).alias("value"), F.lit(0).cast("long").alias("times"), F.lit(1).alias("derived"))
+    both = values.select("message_id", by_ord.alias("place"), "is_mismatch", F.inline(F.array(own, domain))).where("value <> ''")
+    once = both.groupBy(*key).agg(F.min("place").alias("place"), F.max("is_mismatch").alias("is_mismatch"), (F.sum("times") + F.max("derived")).alias("times")).select(
+        *key, F.shiftright("place", 2 * LOW_BITS).alias("ord"), "times", F.element_at(domains.literals(SOURCES), (F.col("place").bitwiseAND(F.lit(low)) + 1).cast("int")).alias("source"), "is_mismatch",
     )
-    listed = core.select("message_id", F.posexplode(found).alias("ord", "i")).select("message_id", "i.*", F.col("ord").cast("long").alias("ord"), F.lit(False).alias("is_mismatch"))
-    pages_to = page_destinations(messages, core).drop("sending")
-    urls_of = links(core).drop("unwrapped_from").withColumn("source", F.coalesce("source", F.lit("unwrapped"))).unionByName(pages_to)
-    web = urls_of.select("message_id", F.lit("url").alias("kind"), "source", "value", (F.col("ord") + AFTER_HEADERS).alias("ord"), F.coalesce("is_mismatch", F.lit(False)).alias("is_mismatch"))
-    every = listed.unionByName(web).where("value <> ''")
-    hosts = iocs.collect_domains(every.where(F.col("kind") != "domain"), ["message_id"]).select("message_id", F.lit("domain").alias("kind"), "source", "value", "ord", F.lit(False).alias("is_mismatch"))
-    once = iocs.first_wins(every.unionByName(hosts), ["message_id", "kind"])
     value, kind = F.col("value"), F.col("kind")
     risks = (
-        F.when(kind == "url", iocs.url_risks(value, F.col("is_mismatch"), F.col("source"))).when(kind == "email", iocs.email_risks(value))
+        F.when(kind == "url", iocs.url_risks(F.when(kind == "url", value), F.col("is_mismatch"), F.col("source"))).when(kind == "email", iocs.email_risks(value))
         .when(kind == "ip", iocs.ip_risks(value, F.col("source"))).otherwise(iocs.domain_risks(value))
     )
-    return once.select("message_id", "kind", "value", "ord", "times", "source", risks.alias("risks"))
+    return once.select(*key, "ord", "times", "source", risks.alias("risks"))
 
 
 def analyse(messages: DataFrame, dictionary: DataFrame, own_domains: list[str] | None = None) -> DataFrame:

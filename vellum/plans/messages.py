@@ -85,8 +85,11 @@ def sql(name: str, dialect: str) -> str:
     raise ValueError(name)
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def relation(spark: SparkSession, sf_dir: str, name: str, a_task: int | None = None) -> DataFrame:
+    """A relation of the corpus; a_task deals its orders to tasks of so many, before they grow."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    if a_task:
+        orders = orders.repartition(-(-max(1, orders.count()) // a_task), "o_orderkey")
     return spark.sql(sql(name, SPARK).replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
@@ -114,9 +117,13 @@ RAW = r"""SELECT concat('/mail/', CAST(message_id AS STRING), '.eml') AS path, e
 FROM (SELECT *, concat('14 Nov 2023 ', lpad(CAST(message_id % 24 AS STRING), 2, '0'), ':', lpad(CAST(message_id % 60 AS STRING), 2, '0'), ':00 +0000') AS at FROM {messages})"""
 
 
+#: Messages that one task parses: orders are so small that a file of them may be a single partition.
+PARSED_A_TASK = 8192
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content of the corpus as raw messages."""
-    messages = relation(spark, sf_dir, "messages")
+    messages = relation(spark, sf_dir, "messages", PARSED_A_TASK)
     return spark.sql(RAW.replace("{boundary}", BOUNDARY), messages=messages)
 
 

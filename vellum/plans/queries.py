@@ -822,7 +822,7 @@ SELECT id AS message_id, kind, value, arg_min(source, rank) AS source, CASE WHEN
 def raw_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every indicator of raw messages with where it stands first; of its risks, downloads and X-Originating-IP."""
     messages = _raw(spark, sf_dir)
-    found = analysis.indicators(messages, source.core(messages))
+    found = analysis.indicators(messages, source.core(messages, "parts"))
     shown = F.array_intersect(F.transform("risks", lambda r: r["type"]), F.array(F.lit("direct-download"), F.lit("x-originating")))
     return found.select("message_id", "kind", "value", "source", F.get(shown, F.lit(0)).alias("risk"))
 

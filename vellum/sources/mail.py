@@ -12,9 +12,11 @@ import re
 from collections.abc import Iterator
 from email.header import decode_header
 from email.message import Message
+from functools import lru_cache
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ HELD_ROWS, HELD_BYTES = 512, 8 << 20
 HEADER = "pos:int,name:string,value:string"
 PART = "path:array<int>,mime:string,charset:string,disposition:string,filename:string,content_id:string,is_file:boolean,size:bigint,text:string,bytes:binary"
 PARSED = f"name string, archive string, error string, headers array<struct<{HEADER}>>, parts array<struct<{PART}>>, message_id string"
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+HEADERS_ARROW, PARTS_ARROW = (pa.list_(pa.struct([(f.split(":")[0], _KINDS[f.split(":")[1]]) for f in fields.split(",")])) for fields in (HEADER, PART))
 CLAUSE = "array<struct<method:string,result:string,props:map<string,string>,raw:string>>"
 
 
@@ -73,10 +77,33 @@ def inferred_name(mime: str, cid: str | None) -> str:
     return "invite.ics" if mime == "text/calendar" else f"unnamed-part.{ending}"
 
 
+def declared(content_type: str | None, disposition: str | None, default: str) -> tuple[str, str | None, str | None, str | None, str | None]:
+    """(type, boundary, charset, disposition, file name) that the headers of a part declare."""
+    part = Message(policy=email.policy.compat32)
+    part.set_default_type(default)
+    for name, value in (("content-type", content_type), ("content-disposition", disposition)):
+        if value is not None:
+            part.set_raw(name, value)
+    return part.get_content_type(), part.get_boundary(), part.get_content_charset(), (part.get_content_disposition() or "").lower() or None, file_name(part)
+
+
+#: Headers of parts repeat; long ones are not kept.
+_DECLARED = lru_cache(2048)(declared)
+KEPT_CHARS = 500
+
+
+def declared_by(message: Message) -> tuple[str, str | None, str | None, str | None, str | None]:
+    first: dict[str, str] = {}
+    for name, value in message.raw_items():
+        first.setdefault(name.lower(), value)
+    one, two = first.get("content-type"), first.get("content-disposition")
+    return (_DECLARED if len(one or "") + len(two or "") <= KEPT_CHARS else declared)(one, two, message.get_default_type())
+
+
 def parts_of(message: Message, path: tuple[int, ...] = ()) -> Iterator[tuple]:
     """The leaves of a MIME tree in order, each with its path; attached messages are files."""
     inner = message.get_payload()
-    mime = message.get_content_type()
+    mime, _, charset, shown, name = declared_by(message)
     if mime.startswith("multipart/") and isinstance(inner, list) and len(path) < DEPTH:
         for i, child in enumerate(inner):
             yield from parts_of(child, (*path, i))
@@ -85,25 +112,76 @@ def parts_of(message: Message, path: tuple[int, ...] = ()) -> Iterator[tuple]:
         raw = b"".join(x.as_bytes() for x in inner)
     else:
         raw = message.get_payload(decode=True) or b""
-    shown = (message.get_content_disposition() or "").lower() or None
-    name = file_name(message)
     cid = str(message.get("content-id") or "").strip("<> \t\r\n") or None
     is_file = shown == "attachment" or mime == "message/rfc822" or (bool(name) and shown != "inline" and not mime.startswith("text/")) or not mime.startswith(("text/", "multipart/"))
     if is_file and not name:
         name = inferred_name(mime, cid)
-    charset = message.get_content_charset()
     yield (list(path), mime, charset, shown, name, cid, is_file, len(raw), None if is_file else text_of(raw, charset), raw if is_file else None)
 
 
-def parse(raw: bytes) -> tuple[list[tuple], list[tuple]]:
-    """(headers, parts) of one message."""
-    message = email.message_from_bytes(raw, policy=email.policy.compat32)
+#: A regular head: fields of printable ASCII, folded or not, and the empty line behind them. Possessive, so that it takes linear time.
+HEAD = re.compile(rb"(?:[!-9;-~]++:[\t -~]*+\r?\n(?:[\t ][\t -~]*+\r?\n)*+)++\r?\n")
+FIELD = re.compile(r"([!-9;-~]+):([\t -~]*(?:\r?\n[\t ][\t -~]*)*)\r?\n")
+FOLD = re.compile(r"\r?\n[ \t]+")
+EOL = re.compile(rb"\r?\n\Z")
+
+
+class Irregular(ValueError):
+    """A message that only the general parser reads."""
+
+
+def regular(raw: bytes, depth: int = 0, inside: bool = False) -> Message:
+    """What email.message_from_bytes makes of a message with regular heads, closed boundaries and no attached messages."""
+    head = HEAD.match(raw)
+    if not head or depth > DEPTH:
+        raise Irregular
+    message = Message(policy=email.policy.compat32)
+    for name, value in FIELD.findall(head[0].decode("ascii")):
+        message.set_raw(name, value.lstrip(" \t").rstrip("\r\n"))
+    mime, boundary, *_ = declared_by(message)
+    if not mime.startswith(("multipart/", "message/")):
+        body = raw[head.end() :]
+        message.set_payload((EOL.sub(b"", body) if inside else body).decode("ascii", "surrogateescape"))
+        return message
+    if mime.startswith("message/") or mime == "multipart/digest" or not boundary or not boundary.isascii():
+        raise Irregular
+    start, closed = None, False
+    for line in re.finditer(rb"^--%s(--)?[ \t]*(?:\r?\n|\Z)" % re.escape(boundary.encode()), raw[head.end() :], re.M):
+        at = head.end() + line.start()
+        if start is not None:
+            message.attach(regular(raw[start:at], depth + 1, True))
+        start, closed = head.end() + line.end(), bool(line[1])
+        if closed:
+            break
+    if not closed or not message.is_multipart():
+        raise Irregular
+    return message
+
+
+def message_of(raw: bytes) -> Message:
+    """email.message_from_bytes, by a shorter way where the message is regular."""
+    try:
+        if raw.count(b"\r") == raw.count(b"\r\n"):
+            return regular(raw)
+    except Irregular:
+        pass
+    return email.message_from_bytes(raw, policy=email.policy.compat32)
+
+
+def headers_of(message: Message) -> list[tuple[int, str, str]]:
     headers = []
     for i, (name, value) in enumerate(message.items()):
-        flat = re.sub(r"\r?\n[ \t]+", " ", str(value)).strip()
-        flat = flat.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        flat = FOLD.sub(" ", str(value)).strip()
+        if not flat.isascii():
+            flat = flat.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         headers.append((i, name, flat))
-    return headers, list(parts_of(message))
+    return headers
+
+
+def parse(raw: bytes) -> tuple[list[tuple], list[tuple]]:
+    """(headers, parts) of one message."""
+    message = message_of(raw)
+    return headers_of(message), list(parts_of(message))
 
 
 def read_messages(files: DataFrame, passwords: list[str] | None = None) -> DataFrame:
@@ -114,29 +192,32 @@ def read_messages(files: DataFrame, passwords: list[str] | None = None) -> DataF
     tried = [None, "infected", *(passwords or [])]
     h, p = [c.split(":")[0] for c in HEADER.split(",")], [c.split(":")[0] for c in re.split(r",(?![^<]*>)", PART)]
 
-    def rows(path: str, content: bytes | None) -> Iterator[dict]:
+    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
         for number, (name, archive, raw, error) in enumerate(archives.messages(path.rsplit("/", 1)[-1], content or b"", tried)):
             headers, parts = ([], []) if error else parse(raw)
             known = any(x[1].lower() in KNOWN for x in headers)
-            yield {
-                "name": name, "archive": archive, "error": error or (None if known else "no known header"),
-                "headers": [dict(zip(h, x)) for x in headers], "parts": [dict(zip(p, x)) for x in parts], "message_id": f"{path}#{number}",
-            }
+            yield name, archive, error or (None if known else "no known header"), headers, parts, f"{path}#{number}"
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        name, archive, error, headers, parts, message_id = zip(*held)
+        headers, parts = [[dict(zip(h, x)) for x in xs] for xs in headers], [[dict(zip(p, x)) for x in xs] for xs in parts]
+        columns = [pa.array(name, pa.string()), pa.array(archive, pa.string()), pa.array(error, pa.string()), pa.array(headers, HEADERS_ARROW), pa.array(parts, PARTS_ARROW), pa.array(message_id, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["name", "archive", "error", "headers", "parts", "message_id"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                for row in rows(path, content):
+                for row in rows(path.as_py(), content.as_py()):
                     held.append(row)
-                    size += sum(x["size"] for x in row["parts"])
+                    size += sum(x[p.index("size")] for x in row[4])
                     if size > HELD_BYTES or len(held) >= HELD_ROWS:
-                        yield pd.DataFrame(held)
+                        yield batch_of(held)
                         held, size = [], 0
         if held:
-            yield pd.DataFrame(held)
+            yield batch_of(held)
 
-    return files.select("path", "content").mapInPandas(run, PARSED)
+    return files.select("path", "content").mapInArrow(run, PARSED)
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -216,9 +297,9 @@ def address_list(values: Column) -> Column:
     return addresses(values)["email"]
 
 
-def core(messages: DataFrame) -> DataFrame:
-    """One row of typed columns per message."""
-    m = messages.select("message_id", "name", "archive", "error", "headers", F.filter("parts", lambda p: ~p["is_file"]).alias("texts"))
+def core(messages: DataFrame, *keep: str) -> DataFrame:
+    """One row of typed columns per message, with the columns of messages that are to be kept."""
+    m = messages.select("message_id", "name", "archive", "error", "headers", *keep, F.filter("parts", lambda p: ~p["is_file"]).alias("texts"))
     body = lambda mime: F.array_join(F.transform(F.filter("texts", lambda p: p["mime"] == mime), lambda p: p["text"]), "\n")
     with_fields = m.withColumns({
         "sender": address(decoded(value_of("from"))), "reply_to": address(value_of("reply-to")), "return_path": address(value_of("return-path")),
