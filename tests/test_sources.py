@@ -6,6 +6,7 @@ import io
 import lzma
 import random
 import struct
+import time
 import zipfile
 import zlib
 
@@ -297,3 +298,17 @@ def test_indicators_read_messages_once(spark):
 def test_raw_messages_are_dealt_to_tasks(spark, tmp_path):
     spark.range(20_000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert corpus.raw(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_headers_without_bodies(spark):
+    """A head alone is read where only headers are asked for, with the same headers and errors."""
+    raws = [GOOD, BAD, BAD.replace(b"\n", b"\r\n"), BAD.replace(b"Subject:", b"X-A: 1\n\tfolded\nx-b:\n  \nSubject:"), GOOD.replace(b"Lunch", b"L\xc3\xbcnch"), GOOD.replace(b"\n", b"\r"), b"", b"x", b"Subject: a", b"\0", zipped(a__eml=GOOD, b__eml=BAD), b"X-A\r:b\n\nc"]
+    for raw in raws:
+        assert mail.parse_headers(raw) == mail.parse(raw)[0]
+    whole, heads = mail.read_messages(frame(spark, *raws)), mail.read_messages(frame(spark, *raws), bodies=False)
+    kept = ["message_id", "name", "archive", "error", "headers"]
+    assert "parts" not in heads.columns and sorted(heads.select(kept).collect()) == sorted(whole.select(kept).collect())
+    assert [(r["name"], r["value"]) for r in mail.x_headers(heads).collect()] == [("X-A", "1 folded"), ("x-b", "")]
+    long = GOOD + b"--b\n" * 2_000_000
+    began = time.perf_counter()
+    assert mail.parse_headers(long) == mail.parse_headers(GOOD) and time.perf_counter() - began < 0.5

@@ -697,8 +697,8 @@ def msg_auth_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- raw messages ---------------------------------------------------------------------------------
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.read_messages(mail.raw(spark, sf_dir))
+def _raw(spark: SparkSession, sf_dir: str, bodies: bool = True) -> DataFrame:
+    return source.read_messages(mail.raw(spark, sf_dir), bodies=bodies)
 
 
 _RAW_SQL = ctes("messages") + """, r AS (SELECT *, concat('/mail/', message_id, '.eml#0') AS id, 1699920000 + (message_id % 24) * 3600 + (message_id % 60) * 60 AS ts FROM messages)"""
@@ -728,7 +728,7 @@ def raw_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("raw_x_headers", _RAW_SQL + """ SELECT id AS message_id, 'x-mailer' AS name_lc, concat('Mailer ', message_id % 5) AS value FROM r WHERE message_id % 3 = 0
  UNION ALL SELECT id, 'x-originating-ip', concat('[', sender_ip, ']') FROM r WHERE message_id % 5 = 1""")
 def raw_x_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.x_headers(_raw(spark, sf_dir)).select("message_id", "name_lc", "value")
+    return source.x_headers(_raw(spark, sf_dir, bodies=False)).select("message_id", "name_lc", "value")
 
 
 @query("raw_parts", _RAW_SQL + """, p AS (SELECT 0 AS place, 'text/plain' AS mime, 'utf-8' AS charset, NULL AS disposition, NULL AS filename, FALSE AS is_file FROM r

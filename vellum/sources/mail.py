@@ -7,12 +7,14 @@ tables are projections of that one frame. File contents are a column of their ow
 from __future__ import annotations
 
 import email
+import email.parser
 import email.policy
 import re
 from collections.abc import Iterator
 from email.header import decode_header
 from email.message import Message
 from functools import lru_cache
+from itertools import accumulate
 from urllib.parse import unquote_to_bytes
 
 import pandas as pd
@@ -158,6 +160,18 @@ def regular(raw: bytes, depth: int = 0, inside: bool = False) -> Message:
     return message
 
 
+def flat_headers(fields: list[tuple[str, str]]) -> list[tuple[int, str, str]]:
+    return [(i, name, (FOLD.sub(" ", value) if "\n" in value else value).strip()) for i, (name, value) in enumerate(fields)]
+
+
+def parse_headers(raw: bytes) -> list[tuple[int, str, str]]:
+    """The headers of one message, as parse gives them; of a regular head nothing else is read."""
+    head = HEAD.match(raw)
+    if head:
+        return flat_headers(FIELD.findall(head[0].decode("ascii")))
+    return headers_of(email.parser.BytesParser(policy=email.policy.compat32).parsebytes(raw, headersonly=True))
+
+
 def message_of(raw: bytes) -> Message:
     """email.message_from_bytes, by a shorter way where the message is regular."""
     try:
@@ -184,25 +198,37 @@ def parse(raw: bytes) -> tuple[list[tuple], list[tuple]]:
     return headers_of(message), list(parts_of(message))
 
 
-def read_messages(files: DataFrame, passwords: list[str] | None = None) -> DataFrame:
+def nested(rows: tuple[list[tuple], ...], kind: pa.ListType) -> pa.Array:
+    """Lists of tuples as an Arrow array of lists of structs, made field by field."""
+    each = [x for xs in rows for x in xs]
+    fields = list(kind.value_type)
+    values = [pa.array(column, f.type) for column, f in zip(zip(*each), fields)] if each else [pa.array([], f.type) for f in fields]
+    offsets = pa.array([0, *accumulate(len(xs) for xs in rows)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(values, fields=fields), type=kind)
+
+
+def read_messages(files: DataFrame, passwords: list[str] | None = None, bodies: bool = True) -> DataFrame:
     """One row per message of files (path, content): archives are opened, each failure is a row with its error.
 
+    Without bodies there is no column parts, and what follows a message's head is not parsed.
     message_id is the file's path and the message's number in it, the same at every run; what a file holds stays together in one task.
     """
     tried = [None, "infected", *(passwords or [])]
-    h, p = [c.split(":")[0] for c in HEADER.split(",")], [c.split(":")[0] for c in re.split(r",(?![^<]*>)", PART)]
+    size_at = PARTS_ARROW.value_type.get_field_index("size")
 
     def rows(path: str, content: bytes | None) -> Iterator[tuple]:
         for number, (name, archive, raw, error) in enumerate(archives.messages(path.rsplit("/", 1)[-1], content or b"", tried)):
-            headers, parts = ([], []) if error else parse(raw)
+            headers, parts = ([], []) if error else parse(raw) if bodies else (parse_headers(raw), [])
             known = any(x[1].lower() in KNOWN for x in headers)
             yield name, archive, error or (None if known else "no known header"), headers, parts, f"{path}#{number}"
 
     def batch_of(held: list[tuple]) -> pa.RecordBatch:
-        name, archive, error, headers, parts, message_id = zip(*held)
-        headers, parts = [[dict(zip(h, x)) for x in xs] for xs in headers], [[dict(zip(p, x)) for x in xs] for xs in parts]
-        columns = [pa.array(name, pa.string()), pa.array(archive, pa.string()), pa.array(error, pa.string()), pa.array(headers, HEADERS_ARROW), pa.array(parts, PARTS_ARROW), pa.array(message_id, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, ["name", "archive", "error", "headers", "parts", "message_id"])
+        *texts, headers, parts, message_id = zip(*held)
+        columns = {c: pa.array(values, pa.string()) for c, values in zip(("name", "archive", "error"), texts)}
+        columns["headers"] = nested(headers, HEADERS_ARROW)
+        if bodies:
+            columns["parts"] = nested(parts, PARTS_ARROW)
+        return pa.RecordBatch.from_pydict(columns | {"message_id": pa.array(message_id, pa.string())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -210,14 +236,14 @@ def read_messages(files: DataFrame, passwords: list[str] | None = None) -> DataF
             for path, content in zip(batch["path"], batch["content"]):
                 for row in rows(path.as_py(), content.as_py()):
                     held.append(row)
-                    size += sum(x[p.index("size")] for x in row[4])
+                    size += sum(x[size_at] for x in row[4])
                     if size > HELD_BYTES or len(held) >= HELD_ROWS:
                         yield batch_of(held)
                         held, size = [], 0
         if held:
             yield batch_of(held)
 
-    return files.select("path", "content").mapInArrow(run, PARSED)
+    return files.select("path", "content").mapInArrow(run, PARSED if bodies else PARSED.replace(f" parts array<struct<{PART}>>,", ""))
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
